@@ -33,7 +33,7 @@ def stability(attempts: Column) -> Column:
     done = F.filter(kept, lambda item: item["final_status"].isNotNull())
     errors = F.size(F.filter(kept, lambda item: item["error_type"].isNotNull()))
     seen = F.size(F.array_distinct(F.transform(done, lambda item: item["final_status"])))
-    last = F.element_at(done, -1)["final_status"]
+    last = F.try_element_at(done, F.lit(-1))["final_status"]
     return (
         F.when(attempts.isNull() | (F.size(kept) <= 0), F.lit("insufficient_evidence"))
         .when((F.size(done) == 0) & (errors > 0), F.lit("technical_error"))
@@ -54,7 +54,7 @@ def robots_directives(text: Column) -> Column:
     return F.filter(
         F.transform(
             F.split(F.lower(F.coalesce(text, F.lit(""))), "[;,]"),
-            lambda item: F.element_at(F.split(F.trim(item), r"\s+"), 1),
+            lambda item: F.try_element_at(F.split(F.trim(item), r"\s+"), F.lit(1)),
         ),
         lambda item: item != "",
     )
