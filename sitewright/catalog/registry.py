@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = (
     "page_queries",
     "header_queries",
+    "link_queries",
 )
 
 

@@ -159,6 +159,8 @@ SELECT concat(lower(replace(n_name, ' ', '-')), '.empty.example') AS run_id,
 FROM nation
 """
 
+VIEWS["page_total"] = "SELECT CAST(max(page_id) + 1 AS BIGINT) AS n FROM pages"
+
 VIEWS["page_hrefs"] = """
 SELECT page_id, host, url, {unnest}(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href
 FROM raw_pages
@@ -199,8 +201,6 @@ SELECT run_id, page_id + 100000000, concat('https://', run_id, '/unlisted/', CAS
 FROM site_pages WHERE depth = 3
 """
 
-VIEWS["page_total"] = "SELECT CAST(max(page_id) + 1 AS BIGINT) AS n FROM pages"
-
 VIEWS["site_resources"] = """
 SELECT p.run_id, p.page_id, p.url AS page_url, p.final_url, o.o_orderkey AS resource_id,
   concat(CASE WHEN o.o_custkey % 3 = 0 THEN 'https://cdn.vendor.test/r' ELSE concat('https://', p.run_id, '/r') END,
@@ -377,9 +377,23 @@ def dependencies(text: str) -> list[str]:
     return [name for name in VIEWS if name in wanted]
 
 
+def plain_counts(sql: str) -> str:
+    """DuckDB counts conditions in a wider type than Spark; write them as filtered counts instead."""
+    output, rest = "", sql
+    while "count_if(" in rest:
+        head, rest = rest.split("count_if(", 1)
+        depth, end = 1, 0
+        while depth:
+            depth += {"(": 1, ")": -1}.get(rest[end], 0)
+            end += 1
+        output += f"{head}count(*) FILTER (WHERE "
+        rest = plain_counts(rest[: end - 1]) + ")" + rest[end:]
+    return output + rest
+
+
 def with_views(sql: str) -> str:
     """DuckDB text: the query with the views it needs as common table expressions."""
-    body = sql.strip()
+    body = plain_counts(sql.strip())
     needed = dependencies(body)
     ctes = [f"{name} AS ({VIEWS[name].strip().replace('{unnest}', 'unnest')})" for name in needed]
     if not ctes:
@@ -395,20 +409,19 @@ class Site:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._frames:
+            self._frames[name] = self._read(name) if name in TABLES else self._view(name)
+        return self._frames[name]
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def _view(self, name: str) -> DataFrame:
         text = VIEWS[name].replace("{unnest}", "explode")
-        for base in TABLES:
-            if re.search(rf"\b{base}\b", text):
-                self.table(base).createOrReplaceTempView(base)
-        for view in dependencies(text):
-            if view != name:
-                self.table(view).createOrReplaceTempView(view)
+        for used in (*TABLES, *VIEWS):
+            if used != name and re.search(rf"(FROM|JOIN)\s+{used}\b", text):
+                self.table(used).createOrReplaceTempView(used)
         return self.spark.sql(text)
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name in VIEWS or name in TABLES:
-            return self.table(name)
-        raise AttributeError(name)
