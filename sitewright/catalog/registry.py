@@ -8,6 +8,7 @@ MODULES = (
     "page_queries",
     "header_queries",
     "link_queries",
+    "template_queries",
 )
 
 

@@ -17,6 +17,11 @@ _PARTS = r"(?is)^(https?):[/\\]{2}([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 _SCHEME = r"(?i)^[a-z][a-z0-9+.\-]*:"
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once for an expression that uses it many times, so that plans stay small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _PARTS, group)
 
@@ -54,48 +59,55 @@ def query(url: Column) -> Column:
 
 def resolve(href: Column, base: Column) -> Column:
     """Absolute http(s) URL of an authored reference; NULL for other schemes and invalid input."""
-    ref = F.trim(href)
-    directory = F.regexp_replace(path(base), "[^/]*$", "")
-    return (
-        F.when(href.isNull() | (ref == ""), F.lit(None))
-        .when(ref.rlike(r"(?i)^https?:[/\\]{2}"), ref)
-        .when(ref.rlike(_SCHEME), F.lit(None))
-        .when(scheme(base) == "", F.lit(None))
-        .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(origin(base), ref))
-        .when(ref.startswith("?"), F.concat(origin(base), path(base), ref))
-        .when(ref.startswith("#"), F.concat(origin(base), path(base), _part(base, 4)))
-        .otherwise(F.concat(origin(base), directory, ref))
-    )
 
+    def against(ref: Column) -> Column:
+        directory = F.regexp_replace(path(base), "[^/]*$", "")
+        return (
+            F.when(ref.isNull() | (ref == ""), F.lit(None))
+            .when(ref.rlike(r"(?i)^https?:[/\\]{2}"), ref)
+            .when(ref.rlike(_SCHEME), F.lit(None))
+            .when(scheme(base) == "", F.lit(None))
+            .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
+            .when(ref.startswith("/"), F.concat(origin(base), ref))
+            .when(ref.startswith("?"), F.concat(origin(base), path(base), ref))
+            .when(ref.startswith("#"), F.concat(origin(base), path(base), _part(base, 4)))
+            .otherwise(F.concat(origin(base), directory, ref))
+        )
 
-def _clean_path(raw: Column) -> Column:
-    """Dot segments removed, unsafe characters escaped, runs of slashes collapsed."""
-    segments = F.split(raw, "/")
+    return let(F.trim(href), against)
+
+
+def _without_dots(raw: Column) -> Column:
     folded = F.aggregate(
-        segments,
+        F.split(raw, "/"),
         F.array().cast("array<string>"),
         lambda acc, part: F.when(part == ".", acc)
-        .when(part == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1))))
+        .when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
         .otherwise(F.concat(acc, F.array(part))),
     )
-    dotted = F.when(
-        raw.rlike(r"(^|/)\.{1,2}(/|$)"),
-        F.concat(F.array_join(folded, "/"), F.when(raw.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))),
-    ).otherwise(raw)
-    escaped = F.when(
-        dotted.rlike(r'[^!-~]|["<>`{}]'),
-        F.array_join(
-            F.transform(
-                F.split(dotted, ""),
-                lambda ch: F.when(
-                    ch.rlike(r'^([^!-~]|["<>`{}])$'), F.regexp_replace(F.url_encode(ch), r"\+", "%20")
-                ).otherwise(ch),
-            ),
-            "",
-        ),
-    ).otherwise(dotted)
-    return F.regexp_replace(escaped, "/{2,}", "/")
+    closed = F.concat(F.array_join(folded, "/"), F.when(raw.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit("")))
+    return F.when(raw.rlike(r"(^|/)\.{1,2}(/|$)"), closed).otherwise(raw)
+
+
+def _escaped(text: Column) -> Column:
+    unsafe = r'[^!-~]|["<>`{}]'
+    letters = F.transform(
+        F.split(text, ""),
+        lambda ch: F.when(ch.rlike(f"^({unsafe})$"), F.regexp_replace(F.url_encode(ch), r"\+", "%20")).otherwise(ch),
+    )
+    return F.when(text.rlike(unsafe), F.array_join(letters, "")).otherwise(text)
+
+
+def _clean_path(raw: Column, keep_trailing_slash: bool) -> Column:
+    """Dot segments removed, unsafe characters escaped, runs of slashes collapsed."""
+
+    def finish(text: Column) -> Column:
+        if keep_trailing_slash:
+            return text
+        return F.when(F.regexp_replace(text, "/+$", "") == "", F.lit("/")).otherwise(F.regexp_replace(text, "/+$", ""))
+
+    plain = let(F.regexp_replace(raw, r"\\", "/"), _without_dots)
+    return let(F.regexp_replace(let(plain, _escaped), "/{2,}", "/"), finish)
 
 
 def _clean_query(raw: Column) -> Column:
@@ -115,35 +127,35 @@ def _clean_query(raw: Column) -> Column:
     )
     kept = F.filter(pairs, lambda pair: ~F.lower(pair["k"]).isin(*tracking))
     text = F.array_join(F.transform(F.array_sort(kept), lambda pair: F.concat(pair["k"], F.lit("="), pair["v"])), "&")
-    return F.when(raw == "", F.lit("")).otherwise(F.when(text == "", F.lit("")).otherwise(F.concat(F.lit("?"), text)))
+    marked = let(text, lambda joined: F.when(joined == "", F.lit("")).otherwise(F.concat(F.lit("?"), joined)))
+    return F.when(raw == "", F.lit("")).otherwise(marked)
 
 
 def normalize(url: Column, base: Column | None = None, keep_trailing_slash: bool = False) -> Column:
     """Page identity of a URL; with ``keep_trailing_slash`` the form that is requested."""
-    absolute = resolve(url, base) if base is not None else F.trim(url)
-    absolute = F.when(absolute.rlike(r"(?is)^https?:[/\\]{2}[^/?#\\]"), absolute)
-    cleaned = _clean_path(F.regexp_replace(path(absolute), r"\\", "/"))
-    if not keep_trailing_slash:
-        cleaned = F.when(cleaned == "/", cleaned).otherwise(F.regexp_replace(cleaned, "/+$", ""))
-        cleaned = F.when(cleaned == "", F.lit("/")).otherwise(cleaned)
-    return F.concat(origin(absolute), cleaned, _clean_query(query(absolute)))
+
+    def rebuild(absolute: Column) -> Column:
+        text = F.concat(origin(absolute), _clean_path(path(absolute), keep_trailing_slash), _clean_query(query(absolute)))
+        return F.when(absolute.rlike(r"(?is)^https?:[/\\]{2}[^/?#\\]"), text)
+
+    return let(resolve(url, base) if base is not None else F.trim(url), rebuild)
 
 
 def canonical_comparable(url: Column, base: Column | None = None) -> Column:
     """Normalised URL with unreserved percent escapes decoded and the others in upper case."""
-    normal = normalize(url, base)
-    decoded = F.array_join(
-        F.transform(
+
+    def decode(normal: Column) -> Column:
+        pieces = F.transform(
             F.regexp_extract_all(normal, F.lit(r"(?s)(%[0-9A-Fa-f]{2}|.)"), F.lit(1)),
             lambda piece: F.when(
                 piece.rlike(r"(?i)^%(2d|2e|5f|7e|3[0-9]|4[1-9a-f]|5[0-9a]|6[1-9a-f]|7[0-9a])$"), F.url_decode(piece)
             )
             .when(piece.rlike("(?i)^%[0-9a-f]{2}$"), F.upper(piece))
             .otherwise(piece),
-        ),
-        "",
-    )
-    return F.when(normal.contains("%"), decoded).otherwise(normal)
+        )
+        return F.when(normal.contains("%"), F.array_join(pieces, "")).otherwise(normal)
+
+    return let(normalize(url, base), decode)
 
 
 def strip_www(name: Column) -> Column:
@@ -181,17 +193,19 @@ def host_relation(requested: Column, candidate: Column) -> Column:
 
 
 def canonical_relationship(canonical: Column, primary: Column) -> Column:
-    left, right = host(canonical), host(primary)
-    return (
-        F.when(left.isNull() | right.isNull(), F.lit("invalid_url"))
-        .when(left == right, F.lit("same_host"))
-        .when(strip_www(left) == strip_www(right), F.lit("www_host_variant"))
-        .when(
-            F.coalesce(registrable_domain(left), left) == F.coalesce(registrable_domain(right), right),
-            F.lit("same_registrable_domain_subdomain"),
+    def relate(left: Column, right: Column) -> Column:
+        return (
+            F.when(left.isNull() | right.isNull(), F.lit("invalid_url"))
+            .when(left == right, F.lit("same_host"))
+            .when(strip_www(left) == strip_www(right), F.lit("www_host_variant"))
+            .when(
+                F.coalesce(registrable_domain(left), left) == F.coalesce(registrable_domain(right), right),
+                F.lit("same_registrable_domain_subdomain"),
+            )
+            .otherwise(F.lit("cross_registrable_domain"))
         )
-        .otherwise(F.lit("cross_registrable_domain"))
-    )
+
+    return let(F.struct(host(canonical).alias("l"), host(primary).alias("r")), lambda pair: relate(pair["l"], pair["r"]))
 
 
 def extension(url: Column) -> Column:
