@@ -16,7 +16,10 @@ ORACLE = {}
 def _family(builder):
     def run(spark, folder):
         site = Site(spark, folder)
-        return inputs.flat_results(evaluate_checks(inputs.pages(site), site.table("site_runs"), builder()))
+        rows = inputs.pages(site)
+        if builder in (page_checks.crawl_checks, page_checks.structured_data_page_checks):
+            rows = page_checks.prepare(rows)
+        return inputs.flat_results(evaluate_checks(rows, site.table("site_runs"), builder()))
 
     return run
 

@@ -9,6 +9,7 @@ MODULES = (
     "header_queries",
     "link_queries",
     "template_queries",
+    "score_queries",
 )
 
 

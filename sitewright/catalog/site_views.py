@@ -317,6 +317,17 @@ SELECT concat('run-', CAST(l_suppkey AS VARCHAR(20))) AS run_id, concat('f-', CA
 FROM lineitem
 """
 
+VIEWS["finding_runs"] = """
+SELECT concat('run-', CAST(s_suppkey AS VARCHAR(20))) AS run_id, concat('https://site', CAST(s_suppkey % 40 AS VARCHAR(20)), '.example') AS final_domain,
+  CAST(s_suppkey AS INT) AS run_no, CAST(s_suppkey % 10 AS INT) AS schedule_id,
+  CASE WHEN s_suppkey % 4 = 3 THEN 'import' ELSE 'crawl' END AS source_type, CASE WHEN s_suppkey % 3 = 2 THEN 0 ELSE 1 END AS lab_sampling,
+  CASE WHEN s_suppkey % 5 = 4 THEN 0 ELSE 1 END AS browser_sampling, CAST(s_suppkey % 3 AS INT) AS render_required, CAST(s_suppkey % 2 AS INT) AS render_optional_open,
+  CASE WHEN s_suppkey % 7 = 1 THEN 2 ELSE 0 END AS render_exhausted, CASE WHEN s_suppkey % 11 = 1 THEN 1 ELSE 0 END AS render_unavailable,
+  CASE WHEN s_suppkey % 9 = 8 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN s_suppkey % 6 = 5 THEN 'tech' ELSE 'both' END AS audit_type,
+  CAST(100 + s_suppkey % 3 AS INT) AS max_urls, CAST(1700000000 + s_suppkey * 3600 AS BIGINT) AS finished_at, CASE WHEN s_suppkey % 8 = 0 THEN 'root-cause-scoring-v3' ELSE NULL END AS scoring_version
+FROM supplier
+"""
+
 VIEWS["base_pages"] = """
 SELECT run_id, page_id, url, normalized_url, status_code, indexable, title, canonical_values AS canonical, page_type, word_count_raw, internal_links, external_links, schema_types
 FROM site_pages WHERE page_id % 10 <> 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.config import (
@@ -22,6 +22,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns behind a generator, so that later filters and projections read them instead of repeating them.
+
+    The optimizer copies an expensive expression into every filter and projection that names it; it does not look
+    through a generator. ``inline`` over one struct yields exactly one row per input row.
+    """
+    struct = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.drop(*columns).select("*", F.inline(F.array(struct)))
+
+
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _PARTS, group)
 

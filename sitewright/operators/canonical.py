@@ -19,12 +19,14 @@ def evaluate(pages: DataFrame, site_url: Column | None = None) -> DataFrame:
     final = F.coalesce(c("final_url"), c("normalized_url"), c("url"))
     declared = F.transform(F.coalesce(c("canonical_values"), F.array().cast("array<string>")), lambda value: U.canonical_comparable(value, final))
     primary = site_url if site_url is not None else final
-    step = pages.withColumns({"expected_canonical": U.canonical_comparable(final), "canonicals": F.array_distinct(F.array_compact(declared)), "declared_count": F.size(F.array_compact(declared))})
+    step = U.computed_once(pages, {"expected_canonical": U.canonical_comparable(final), "declared_canonicals": F.array_compact(declared)})
+    step = step.withColumns({"canonicals": F.array_distinct("declared_canonicals"), "declared_count": F.size("declared_canonicals")}).drop("declared_canonicals")
     count = F.size(c("canonicals"))
     own = (count == 1) & (F.get(c("canonicals"), F.lit(0)) == c("expected_canonical"))
     foreign = F.filter(c("canonicals"), lambda value: U.canonical_relationship(value, primary) == "cross_registrable_domain")
     other = F.size(F.array_remove(c("canonicals"), c("expected_canonical"))) > 0
-    return step.withColumns(
+    return U.computed_once(
+        step,
         {
             "canonical_missing": count == 0,
             "canonical_conflict": count > 1,
@@ -32,7 +34,7 @@ def evaluate(pages: DataFrame, site_url: Column | None = None) -> DataFrame:
             "canonical_self": F.coalesce(own, F.lit(False)),
             "canonical_foreign": foreign,
             "canonical_issue": F.when(count > 1, "conflicting_canonical_tags").when(other, "non_self").when(count > 0, "self").otherwise("missing"),
-        }
+        },
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewright.config import STATE_FAIL, STATE_INSUFFICIENT, THRESHOLDS
 from sitewright.functions import text as TX
+from sitewright.functions import url as U
 from sitewright.operators import canonical as CA
 from sitewright.operators import scopes as S
 from sitewright.operators.predicates import Check, evaluate_checks, ladder
@@ -21,7 +22,8 @@ def population(pages: DataFrame, field: str, compatibility_forms: bool = False)
     evaluated = CA.evaluate(CA.in_scope(pages)).withColumn("evaluated", S.complete_state())
     consolidated = c("evaluated") & ~c("canonical_missing") & (~c("canonical_self") | c("canonical_conflict"))
     value = F.when(c("evaluated") & c(field).isNotNull(), TX.head_text(c(field), compatibility_forms))
-    return evaluated.withColumn("consolidated", consolidated).withColumn("head_value", value).withColumn("head_key", F.lower(F.coalesce("head_value", F.lit(""))))
+    rows = U.computed_once(evaluated, {"consolidated": consolidated, "head_value": value})
+    return rows.withColumn("head_key", F.lower(F.coalesce("head_value", F.lit(""))))
 
 
 def population_counts(pages: DataFrame, field: str) -> DataFrame:

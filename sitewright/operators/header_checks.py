@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitewright.config import STATE_FAIL, STATE_INSUFFICIENT, STATE_NOT_APPLICABLE, STATE_NOT_EXECUTED
 from sitewright.functions import headers as H
+from sitewright.functions import url as U
 from sitewright.operators import scopes as S
 from sitewright.operators.predicates import Check, _fail_count, evaluate_checks, flag_off, ladder, none
 
@@ -33,7 +34,7 @@ def policy_states(pages: DataFrame) -> DataFrame:
     columns["policy_cache"] = H.cache_policy(bag, F.lit("html"))
     columns["cache_ttl"] = H.cache_ttl(bag)
     columns["policy_compression"] = H.compression(bag, c("content_type"), c("raw_html_size"))
-    return pages.withColumns(columns)
+    return U.computed_once(pages, columns)
 
 
 def _executable_resources(resources: DataFrame) -> DataFrame:
@@ -76,7 +77,8 @@ def security_results(pages: DataFrame, resources: DataFrame, runs: DataFrame) ->
         "run_id", F.col("resource_url").alias("url"), F.col("resource_url").alias("final_url"),
         F.lit(None).cast("string").alias("page_type"), "response_headers", F.lit("resource").alias("source"), F.lit(True).alias("in_scope"),
     )
-    rows = page_rows.unionByName(resource_rows).withColumns({f"policy_{name}": rule(c("response_headers")) for name, rule in POLICIES.items()})
+    policies = {f"policy_{name}": rule(c("response_headers")) for name, rule in POLICIES.items()}
+    rows = U.computed_once(page_rows.unionByName(resource_rows), policies)
     return evaluate_checks(rows, runs, security_checks(), repeated=True)
 
 
@@ -131,11 +133,12 @@ def delivery_checks() -> list[Check]:
 
 
 def delivery_results(pages: DataFrame, resources: DataFrame, runs: DataFrame) -> DataFrame:
-    rows = delivery_rows(pages, resources).withColumns(
+    rows = U.computed_once(
+        delivery_rows(pages, resources),
         {
             "compression": H.compression(c("response_headers"), c("content_type"), c("body_bytes")),
             "cache": H.cache_policy(c("response_headers"), c("kind")),
-        }
+        },
     )
     return evaluate_checks(rows, runs, delivery_checks(), repeated=True)
 
@@ -143,7 +146,7 @@ def delivery_results(pages: DataFrame, resources: DataFrame, runs: DataFrame) ->
 def cache_impact(pages: DataFrame, resources: DataFrame) -> DataFrame:
     """Per run and state: responses, affected pages and decoded bytes behind cache findings."""
     rows = delivery_rows(pages, resources).where("cache_scope and response_headers is not null")
-    rows = rows.withColumn("cache", H.cache_policy(c("response_headers"), c("kind")))
+    rows = U.computed_once(rows, {"cache": H.cache_policy(c("response_headers"), c("kind"))})
     return rows.groupBy("run_id", F.col("cache").alias("state")).agg(
         F.count(F.lit(1)).alias("responses"),
         F.count_distinct("page_url").alias("pages"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.config import (
@@ -16,6 +16,7 @@ from sitewright.config import (
 )
 from sitewright.functions import http
 from sitewright.functions import page_type as PT
+from sitewright.functions import url as U
 from sitewright.functions.schema_types import in_family
 from sitewright.operators import scopes as S
 from sitewright.operators.predicates import (
@@ -55,6 +56,18 @@ def _text_length(name: str, short: bool, limit: int) -> Column:
     return (F.coalesce(c(name), F.lit("")) != "") & ((size < limit) if short else (size > limit))
 
 
+def prepare(pages: DataFrame) -> DataFrame:
+    """Pages with the derived columns that several checks read: attempt stability, search class, listing by URL."""
+    found = PT.classify_search(
+        c("url"), c("page_type"), F.concat_ws(" ", c("title"), c("h1_text")), types=_array("schema_types"),
+        explicit_results=F.lit(0), main_forms=c("main_regions"), result_lists=c("nav_regions") - 1, search_action=F.lit(0), forms=c("nav_regions"),
+    )
+    return U.computed_once(
+        pages,
+        {"http_stability": http.stability(c("attempts")), "search_class": found["classification"], "listing_by_url": PT.listing_by_url(c("url"))},
+    )
+
+
 def head_checks() -> list[Check]:
     content, ok, complete = S.content_html(), S.successful_html(), S.complete_state()
     pending = content & ~complete
@@ -118,7 +131,7 @@ def head_checks() -> list[Check]:
 def crawl_checks() -> list[Check]:
     html = S.is_html()
     legal = S.page_type() == "legal"
-    stable = http.stability(c("attempts"))
+    stable = c("http_stability")
     client = S.between(c("status_code"), 400, 500)
     sure, unsure = client & ~c("status_code").isin(408, 429), client & c("status_code").isin(408, 429)
     server = S.between(c("status_code"), 500, 600)
@@ -133,11 +146,7 @@ def crawl_checks() -> list[Check]:
     other_types = F.coalesce(~S.page_type().isin("legal", "contact"), F.lit(True))
     conflict = tagged & (F.size(meta) > 0) & (F.size(header) > 0) & (F.array_join(meta, ",") != F.array_join(header, ","))
     inventory = ladder((none("html"), STATE_NOT_EXECUTED), last=STATE_NOT_APPLICABLE)
-    found = PT.classify_search(
-        c("url"), c("page_type"), F.concat_ws(" ", c("title"), c("h1_text")), types=_array("schema_types"),
-        explicit_results=F.lit(0), main_forms=c("main_regions"), result_lists=c("nav_regions") - 1, search_action=F.lit(0), forms=c("nav_regions"),
-    )
-    kind = found["classification"]
+    kind = c("search_class")
     open_search = html & (kind == "internal_search") & (F.coalesce(c("noindex"), F.lit(0)) == 0) & ~S.robots_text().contains("noindex")
     search_state = ladder(
         (none("html"), STATE_NOT_EXECUTED),
@@ -236,9 +245,7 @@ def breadcrumb_scope() -> Column:
 
 def schema_family_measures(page_type: str, family: str) -> dict[str, Column]:
     """Candidates of one page type and whether they carry the expected type family."""
-    by_url = PT.classify(c("url"))
-    listing = (by_url["confidence"] == "high") & by_url["page_type"].isin(*PT.LISTING_TYPES)
-    scope = S.successful_html() & (c("page_type") == page_type) & ~listing
+    scope = S.successful_html() & (c("page_type") == page_type) & ~c("listing_by_url")
     typed = in_family(_array("schema_types"), family)
     address = F.lower(c("url"))
     fallback = (

@@ -19,7 +19,7 @@ T = THRESHOLDS
 def with_cluster_key(pages: DataFrame) -> DataFrame:
     """Pages with their URL template and cluster key (page type and template)."""
     template = U.url_template(F.coalesce(c("final_url"), c("url")), S.page_type())
-    return pages.withColumn("url_pattern", template).withColumn("cluster_key", F.concat(S.page_type(), F.lit(":"), c("url_pattern")))
+    return U.computed_once(pages, {"url_pattern": template}).withColumn("cluster_key", F.concat(S.page_type(), F.lit(":"), c("url_pattern")))
 
 
 def issue_counts(check_samples: DataFrame) -> DataFrame:
