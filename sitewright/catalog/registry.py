@@ -10,6 +10,7 @@ MODULES = (
     "link_queries",
     "template_queries",
     "score_queries",
+    "compare_queries",
 )
 
 

@@ -313,7 +313,13 @@ SELECT concat('run-', CAST(l_suppkey AS VARCHAR(20))) AS run_id, concat('f-', CA
   CAST(l_quantity AS BIGINT) AS affected_count, CAST(l_quantity AS BIGINT) * 2 AS occurrence_count,
   CASE WHEN l_returnflag = 'A' THEN 10 WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 WHEN l_linestatus = 'O' AND l_returnflag = 'N' AND l_linenumber < 3 THEN NULL ELSE 5 END AS score,
   CASE WHEN CAST(l_quantity AS INT) % 7 = 3 THEN 1 ELSE 0 END AS review_recommended,
-  CAST(l_suppkey AS INT) AS run_no, l_shipdate AS stored_at
+  CAST(l_suppkey AS INT) AS run_no, l_shipdate AS stored_at,
+  CASE CAST(l_quantity AS INT) % 8 WHEN 1 THEN 'The resource was not found.' WHEN 2 THEN 'Status recorded: 404 for the probe.' WHEN 3 THEN 'Markup is missing on some pages.' WHEN 4 THEN 'The bot is not explicitly mentioned.' ELSE 'Checked stored facts.' END AS finding,
+  CASE WHEN l_partkey % 10 = 3 THEN 'false_positive' WHEN l_partkey % 10 = 4 THEN 'confirmed' WHEN l_partkey % 50 = 5 THEN 'ignored' ELSE NULL END AS review_status,
+  CASE WHEN l_partkey % 12 = 7 THEN 'done' ELSE NULL END AS action_status,
+  CASE WHEN l_partkey % 40 = 9 THEN 'OK' WHEN l_partkey % 40 = 10 THEN 'Error' ELSE NULL END AS manual_status,
+  CASE WHEN l_partkey % 30 = 8 THEN 'Low' ELSE NULL END AS manual_priority,
+  CASE l_linenumber % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'M' WHEN 2 THEN 'L' ELSE NULL END AS effort
 FROM lineitem
 """
 
