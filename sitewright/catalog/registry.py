@@ -11,6 +11,7 @@ MODULES = (
     "template_queries",
     "score_queries",
     "compare_queries",
+    "asset_queries",
 )
 
 
@@ -25,8 +26,18 @@ def _gather(attribute: str) -> dict:
     return merged
 
 
+def _wide_ranks(query):
+    """Ranks leave a query as long numbers, as counts do."""
+
+    def run(spark, folder):
+        result = query(spark, folder)
+        return result.withColumn("position", result["position"].cast("bigint")) if "position" in result.columns else result
+
+    return run
+
+
 def queries() -> dict:
-    return _gather("QUERIES")
+    return {name: _wide_ranks(query) for name, query in _gather("QUERIES").items()}
 
 
 def oracle_sql() -> dict:

@@ -323,6 +323,57 @@ SELECT concat('run-', CAST(l_suppkey AS VARCHAR(20))) AS run_id, concat('f-', CA
 FROM lineitem
 """
 
+VIEWS["asset_robots"] = """
+SELECT page_id AS asset_id, host AS run_id, url AS page_url, concat('https://', host, '/robots.txt') AS url,
+  CASE page_id % 12 WHEN 7 THEN 404 WHEN 8 THEN 503 WHEN 9 THEN 403 WHEN 10 THEN 301 WHEN 11 THEN NULL ELSE 200 END AS status_code,
+  CASE WHEN page_id % 30 = 1 THEN 'unstable' WHEN page_id % 30 = 3 THEN 'technical_error' ELSE 'confirmed' END AS measurement_state,
+  CASE WHEN page_id % 34 = 6 THEN 1 ELSE 0 END AS truncated, CASE WHEN page_id % 26 = 5 THEN 0 ELSE 1 END AS provenance_complete,
+  replace(CASE page_id % 6
+    WHEN 0 THEN 'User-agent: *|Disallow: /'
+    WHEN 1 THEN concat('User-agent: GPTBot|User-agent: CCBot|Disallow: /private|Allow: /|Sitemap: https://', host, '/sitemap.xml|Sitemap: /relative.xml|User-agent: *|Disallow: /blog|Disallow: /wissen')
+    WHEN 2 THEN CASE WHEN page_id % 18 = 8 THEN '<!DOCTYPE html><html><body>Not here</body></html>' ELSE 'Disallow: /x|User-agent: *|Allow: /' END
+    WHEN 3 THEN ''
+    WHEN 4 THEN 'User-agent: ClaudeBot # named|Disallow: /*.html$|Allow: /llms.txt|Crawl-delay: 5|User-agent: PerplexityBot|Disallow: /|Allow: /llms'
+    ELSE 'no directive here|User-agent: *|Disallow: /search|Disallow: /suche|Allow: /suche/en' END, '|', chr(10)) AS content
+FROM raw_pages
+"""
+
+VIEWS["asset_sitemaps"] = """
+SELECT page_id AS asset_id, host AS run_id, concat('https://', host, '/sitemap-', CAST(page_id AS VARCHAR(20)), '.xml') AS url,
+  CASE page_id % 14 WHEN 9 THEN 404 WHEN 10 THEN 503 ELSE 200 END AS status_code, CASE WHEN page_id % 3 = 0 THEN 'robots_sitemap' ELSE 'sitemap_default' END AS source_type,
+  CASE page_id % 7
+    WHEN 0 THEN concat('<?xml version="1.0"?><urlset><url><loc>', replace(url, '&', '&amp;'), '</loc></url><url><loc> ', replace(url, '&', '&amp;'), ' </loc></url><url><loc>https://other.test/x</loc></url><url><loc>nothing</loc></url></urlset>')
+    WHEN 1 THEN concat('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://', host, '/a</loc></url><url><loc>https://', host, '/b/', CAST(page_id AS VARCHAR(20)), '</loc></url></urlset>')
+    WHEN 2 THEN concat('<sitemapindex><sitemap><loc>https://', host, '/sitemap-', CAST(page_id + 1 AS VARCHAR(20)), '.xml</loc></sitemap><sitemap><loc>https://', host, '/sitemap-', CAST(page_id AS VARCHAR(20)), '.xml</loc></sitemap></sitemapindex>')
+    WHEN 3 THEN '<!DOCTYPE foo><urlset></urlset>' WHEN 4 THEN '<urlset><url><loc>broken</url>' WHEN 5 THEN '   ' ELSE '<feed><entry/></feed>' END AS content
+FROM raw_pages
+"""
+
+VIEWS["asset_llms"] = """
+SELECT doc_id AS asset_id, concat('https://docs', CAST(doc_id % 40 AS VARCHAR(20)), '.example/llms.txt') AS url, concat('docs', CAST(doc_id % 40 AS VARCHAR(20)), '.example') AS run_id,
+  CASE doc_id % 9 WHEN 1 THEN 'text/html' WHEN 2 THEN 'text/markdown; charset=iso-8859-1' WHEN 3 THEN 'text/markdown' ELSE 'text/plain; charset=utf-8' END AS content_type,
+  CASE WHEN doc_id % 11 = 3 THEN 301 WHEN doc_id % 11 = 4 THEN 404 ELSE 200 END AS initial_status, CASE WHEN doc_id % 11 = 4 THEN 404 ELSE 200 END AS final_status,
+  CASE WHEN doc_id % 13 = 5 THEN 'unstable' WHEN doc_id % 13 = 6 THEN 'technical_error' ELSE 'confirmed' END AS measurement_state, CASE WHEN doc_id % 17 = 2 THEN 1 ELSE 0 END AS truncated,
+  CASE doc_id % 8 WHEN 0 THEN concat('# Project ', CAST(doc_id AS VARCHAR(20)), chr(10), '## Guides', chr(10), text) WHEN 1 THEN concat('# Docs', chr(10), '## Guides ##', chr(10), text)
+    WHEN 2 THEN concat('# Site two', chr(10), '## Empty', chr(10), '<!-- nothing -->', chr(10)) WHEN 3 THEN concat('# Site three', chr(10), 'See [start](/start) and https://docs', CAST(doc_id % 40 AS VARCHAR(20)), '.example/a. End') WHEN 4 THEN '   '
+    WHEN 5 THEN concat('<html><body>', text, '</body></html>') ELSE text END AS content
+FROM documents
+"""
+
+VIEWS["host_probes"] = """
+SELECT host AS run_id, p.page_id AS probe_id, k.kind, CASE k.kind WHEN 1 THEN concat('https://', host, '/') WHEN 2 THEN concat('http://', host, '/') WHEN 3 THEN concat('http://www.', host, '/') ELSE concat('http://', host, '/deep') END AS start_url,
+  CASE WHEN k.kind = 4 THEN 'representative_public_path' ELSE 'root' END AS probe_role, CASE WHEN k.kind = 3 THEN concat('www.', host) ELSE host END AS start_host,
+  CASE WHEN p.page_id % 9 = 4 THEN concat('http://', host, '/') WHEN p.page_id % 9 = 5 THEN 'https://elsewhere.test/' ELSE concat('https://', host, '/') END AS final_url,
+  CASE WHEN p.page_id % 9 = 5 THEN 'elsewhere.test' ELSE host END AS final_host,
+  CASE WHEN p.page_id % 13 = 6 THEN NULL WHEN p.page_id % 11 = 3 THEN 503 ELSE 200 END AS final_status, CASE WHEN p.page_id % 13 = 6 THEN NULL WHEN k.kind = 1 THEN 200 ELSE CASE p.page_id % 5 WHEN 0 THEN 302 WHEN 1 THEN 308 ELSE 301 END END AS initial_status,
+  CASE WHEN k.kind = 1 THEN '' WHEN p.page_id % 5 = 0 THEN '302' WHEN p.page_id % 5 = 1 THEN '308' WHEN p.page_id % 5 = 2 THEN '301,301' ELSE '301' END AS redirect_statuses,
+  CASE WHEN p.page_id % 13 = 6 THEN 'timeout' WHEN p.page_id % 11 = 3 THEN '503' ELSE '200' END AS attempt_statuses,
+  CASE WHEN p.page_id % 17 = 7 THEN 1 ELSE 0 END AS loop_detected, CASE WHEN p.page_id % 7 = 3 THEN 0 ELSE 1 END AS path_preserved,
+  CASE WHEN k.kind <> 1 THEN NULL WHEN p.page_id % 19 = 8 THEN 'certificate_error' WHEN p.page_id % 13 = 6 THEN 'technical_error' ELSE 'connected' END AS tls_state, CASE WHEN p.page_id % 19 = 8 THEN 2 ELSE 0 END AS certificate_failures,
+  CASE p.page_id % 3 WHEN 0 THEN 'h2' WHEN 1 THEN 'http/1.1' ELSE 'h3' END AS negotiated_protocol
+FROM raw_pages p CROSS JOIN (SELECT 1 AS kind UNION ALL SELECT 2 AS kind UNION ALL SELECT 3 AS kind UNION ALL SELECT 4 AS kind) k
+"""
+
 VIEWS["finding_runs"] = """
 SELECT concat('run-', CAST(s_suppkey AS VARCHAR(20))) AS run_id, concat('https://site', CAST(s_suppkey % 40 AS VARCHAR(20)), '.example') AS final_domain,
   CAST(s_suppkey AS INT) AS run_no, CAST(s_suppkey % 10 AS INT) AS schedule_id,
@@ -415,6 +466,8 @@ def with_views(sql: str) -> str:
     ctes = [f"{name} AS ({VIEWS[name].strip().replace('{unnest}', 'unnest')})" for name in needed]
     if not ctes:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -14,14 +14,18 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
-def _nfkc(values: pd.Series) -> pd.Series:
+def _nfkc_batch(values: pd.Series) -> pd.Series:
     return values.map(lambda text: unicodedata.normalize("NFKC", text) if isinstance(text, str) else text)
 
 
+def compatibility_form(text: Column) -> Column:
+    """Unicode NFKC form; the one text rule without a built-in expression."""
+    return F.pandas_udf(_nfkc_batch, "string")(text)
+
+
 def head_text(text: Column, compatibility_forms: bool = False) -> Column:
     """Comparable head value. Compatibility folding needs Python, so it is applied only when asked for."""
-    return collapse(_nfkc(text) if compatibility_forms else text)
+    return collapse(compatibility_form(text) if compatibility_forms else text)
 
 
 def head_key(text: Column, compatibility_forms: bool = False) -> Column:

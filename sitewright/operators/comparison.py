@@ -205,8 +205,8 @@ def regressions(finding_changes: DataFrame, summaries: DataFrame) -> DataFrame:
     rules = F.array_compact(
         F.array(
             F.when(c("new_high") > 0, F.struct(F.lit("new_high_priority_findings").alias("regression"), c("new_high").cast("double").alias("size"), F.lit("warning").alias("severity"))),
-            F.when(c("score_delta") <= -5, F.struct(F.lit("overall_score_drop"), c("score_delta").cast("double"), F.lit("warning"))),
-            F.when(c("resolved") > 0, F.struct(F.lit("resolved_findings"), c("resolved").cast("double"), F.lit("positive"))),
+            F.when(c("score_delta") <= -5, F.struct(F.lit("overall_score_drop").alias("regression"), c("score_delta").cast("double").alias("size"), F.lit("warning").alias("severity"))),
+            F.when(c("resolved") > 0, F.struct(F.lit("resolved_findings").alias("regression"), c("resolved").cast("double").alias("size"), F.lit("positive").alias("severity"))),
         )
     )
     return joined.select("base_run", "compare_run", F.inline(rules))
