@@ -12,6 +12,8 @@ MODULES = (
     "score_queries",
     "compare_queries",
     "asset_queries",
+    "extract_queries",
+    "plan_queries",
 )
 
 

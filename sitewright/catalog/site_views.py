@@ -374,6 +374,17 @@ SELECT host AS run_id, p.page_id AS probe_id, k.kind, CASE k.kind WHEN 1 THEN co
 FROM raw_pages p CROSS JOIN (SELECT 1 AS kind UNION ALL SELECT 2 AS kind UNION ALL SELECT 3 AS kind UNION ALL SELECT 4 AS kind) k
 """
 
+VIEWS["html_pages"] = """
+SELECT page_id, url, replace(replace(html, '</head>', concat(
+   CASE WHEN page_id % 4 = 0 THEN '' ELSE concat('<link rel="canonical" href="', CASE WHEN page_id % 4 = 1 THEN url ELSE '/canonical' END, '">') END,
+   CASE WHEN page_id % 3 = 0 THEN '' ELSE '<meta name="description" content="A  short   description">' END, CASE WHEN page_id % 5 = 0 THEN '<meta name="robots" content="noindex,follow">' ELSE '' END,
+   '<meta property="og:title" content="OG ', CAST(page_id AS VARCHAR(20)), '"><link rel="alternate" hreflang="x-default" href="/"><link rel="icon" href="/favicon.ico"><script src="https://cdn.vendor.test/gtag/js?id=1"></script><link rel="stylesheet" href="/style.css"><link rel="preload" as="font" href="/f.woff2">',
+   CASE page_id % 6 WHEN 0 THEN '<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"Article","@id":"#a","author":{"@id":"#p"}},{"@type":["Person","schema:Thing"],"@id":"#p","name":"N"}]}</script>'
+     WHEN 1 THEN '<script type="application/ld+json">{broken</script>' WHEN 2 THEN '<script type="application/ld+json">  </script>' WHEN 3 THEN '<script type="application/ld+json">{"@type":"https://schema.org/Organization","sameAs":["https://x.test"],"name":"O"}</script>' ELSE '' END, '</head>')),
+   '</nav>', concat('</nav><img src="/img/hero-', CAST(page_id AS VARCHAR(20)), '.jpg" alt="Hero" width="800" height="400"><img src="/img/pixel.gif" width="1" height="1"><img data-src="/img/photo.webp" alt="" loading="lazy"><a rel="nofollow" href="https://social.test/x?utm_source=a&b=2&a=1#f">Social  site</a>')) AS html
+FROM raw_pages
+"""
+
 VIEWS["finding_runs"] = """
 SELECT concat('run-', CAST(s_suppkey AS VARCHAR(20))) AS run_id, concat('https://site', CAST(s_suppkey % 40 AS VARCHAR(20)), '.example') AS final_domain,
   CAST(s_suppkey AS INT) AS run_no, CAST(s_suppkey % 10 AS INT) AS schedule_id,
