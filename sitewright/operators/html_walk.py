@@ -94,7 +94,8 @@ class PageWalk(HTMLParser):
         if inside is None or not inside["body"]:
             return
         self.raw.append(data)
-        if not inside["hidden"] and not inside["folded"]:
+        closed = inside["tag"] == "details" and "open" not in inside["attrs"]
+        if not inside["hidden"] and not inside["folded"] and not closed:
             self.visible.append(data)
             if inside["main"]:
                 self.main.append(data)
