@@ -14,6 +14,7 @@ MODULES = (
     "asset_queries",
     "extract_queries",
     "plan_queries",
+    "match_queries",
 )
 
 
