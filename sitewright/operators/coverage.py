@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewright.functions import url as U
+
 c = F.col
 
 # fixed values: weights, check sets and patterns that decide the evidence class of a check
@@ -94,6 +96,15 @@ def weight_of(evidence: Column) -> Column:
     return column.otherwise(F.lit(0.0))
 
 
+def check_facts(results: DataFrame) -> DataFrame:
+    """What depends on the check id alone, worked out once per distinct id instead of once per result."""
+    check = c("check_id")
+    browser = check.isin(*BROWSER_DIAGNOSTICS) | (check == "tech.js_dependent_content")
+    sensitive = browser | check.isin(*LAB_CHECKS, *BROWSER_TEMPLATE_CHECKS) | check.rlike("(title|meta_description|canonical|h1|html_lang|hreflang|open_graph)")
+    columns = {"class_plain": evidence_class(check, F.lit(0)), "class_when_rendered": evidence_class(check, F.lit(1)), "coverage_unit": unit_key(check), "render_sensitive": sensitive}
+    return U.computed_once(results.select("check_id").distinct(), columns)
+
+
 def annotate(results: DataFrame, runs: DataFrame) -> DataFrame:
     """Evidence class, coverage unit and the execution, evidence and coverage status of every result.
 
@@ -101,9 +112,10 @@ def annotate(results: DataFrame, runs: DataFrame) -> DataFrame:
     render_optional_open, render_exhausted, render_unavailable. It is one row per run and joins by hash.
     """
     context = runs.select("run_id", "source_type", "lab_sampling", "browser_sampling", "render_required", "render_optional_open", "render_exhausted", "render_unavailable")
-    rows = results.join(context, "run_id", "left")
+    rows = results.join(context, "run_id", "left").join(check_facts(results), "check_id")
     check, state = c("check_id"), c("evaluation_state")
-    rows = rows.withColumns({"evidence_class": evidence_class(check, F.coalesce(c("render_required"), F.lit(0))), "coverage_unit": unit_key(check)})
+    kind = F.when(F.coalesce(c("render_required"), F.lit(0)) > 0, c("class_when_rendered")).otherwise(c("class_plain"))
+    rows = rows.withColumn("evidence_class", kind)
     done = state.isin("pass", "fail", "inventory")
     diagnostic = c("evidence_class").isin("secondary_diagnostic", "optional_opportunity")
     import_only = (check == "tech.imported_resource_performance_signals") & (c("source_type") != "import")
@@ -112,7 +124,7 @@ def annotate(results: DataFrame, runs: DataFrame) -> DataFrame:
     browser_check = check.isin(*BROWSER_DIAGNOSTICS) | (check == "tech.js_dependent_content")
     not_planned = browser_check & (c("render_required") == 0) & ~state.isin("pass", "fail")
     short = F.size(F.coalesce(c("missing_facts"), F.array())) > 0 if "missing_facts" in results.columns else F.lit(False)
-    sensitive = browser_check | check.isin(*LAB_CHECKS, *BROWSER_TEMPLATE_CHECKS) | check.rlike("(title|meta_description|canonical|h1|html_lang|hreflang|open_graph)")
+    sensitive = c("render_sensitive")
     exhausted, gone = sensitive & (c("render_exhausted") > 0), sensitive & (c("render_unavailable") > 0)
     disabled = import_only | lab_off | browser_off
     execution = (
@@ -128,4 +140,4 @@ def annotate(results: DataFrame, runs: DataFrame) -> DataFrame:
         F.when(disabled | not_planned | (state == "not_applicable"), "excluded").when(done & ~short, "covered").when(diagnostic, "diagnostic_unavailable").otherwise("uncovered")
     )
     output = rows.withColumns({"execution_status": execution, "evidence_status": evidence, "coverage_status": coverage, "coverage_weight": weight_of(c("evidence_class"))})
-    return output.drop("source_type", "lab_sampling", "browser_sampling", "render_required", "render_optional_open", "render_exhausted", "render_unavailable")
+    return output.drop("class_plain", "class_when_rendered", "render_sensitive", "source_type", "lab_sampling", "browser_sampling", "render_required", "render_optional_open", "render_exhausted", "render_unavailable")

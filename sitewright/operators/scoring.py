@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewright.functions import url as U
 from sitewright.operators import coverage as CV
 
 c = F.col
@@ -111,24 +112,30 @@ def family(check: Column) -> Column:
 def prepare(results: DataFrame, runs: DataFrame) -> DataFrame:
     """Normalised scoring columns of every result row."""
     rows = CV.annotate(results, runs)
+    names = results.select("check_id", "category", "audit_type").distinct()
+    facts = U.computed_once(names, {"category_key": category_key(c("category"), c("check_id"), c("audit_type")), "scope_when_hit": inferred_scope(c("check_id"), F.lit(1)), "scope_when_clear": inferred_scope(c("check_id"), F.lit(0))})
+    keys = ("check_id", "category", "audit_type")
+    facts = facts.select(*[c(name).alias(f"fact_{name}") for name in keys], "category_key", "scope_when_hit", "scope_when_clear")
+    match = [c(name).eqNullSafe(c(f"fact_{name}")) for name in keys]
+    rows = rows.join(facts, match[0] & match[1] & match[2]).drop(*[f"fact_{name}" for name in keys])
     low = F.lower(F.coalesce(c("severity"), F.lit("")))
     priority = F.lower(F.coalesce(c("priority"), F.lit("")))
     confidence = F.lower(F.coalesce(c("confidence"), F.lit("")))
     severity = (
         F.when(low.isin(*SEVERITY_RANK), low).when(priority.isin(*SEVERITY_RANK), priority).when(c("status") == "Error", "high").when(c("status") == "Warning", "medium").otherwise("none")
     )
-    scope = F.lower(F.coalesce(F.nullif(c("scope_type"), F.lit("")), inferred_scope(c("check_id"), c("affected_count"))))
+    scope = F.lower(F.coalesce(F.nullif(c("scope_type"), F.lit("")), F.when(c("affected_count") > 0, c("scope_when_hit")).otherwise(c("scope_when_clear"))))
     rows = rows.withColumns(
         {
             "severity": severity,
             "confidence": F.when(confidence.isin(*CONFIDENCE_RANK), confidence).otherwise("high"),
             "finding_type": F.coalesce(F.nullif(c("finding_type"), F.lit("")), F.lit("core_issue")),
-            "category_key": category_key(c("category"), c("check_id"), c("audit_type")),
             "scope_type": F.when(scope.isin(*SCOPE_FACTOR), scope).otherwise("unknown"),
             "explicit_key": clean_key(c("root_cause_key")),
         }
     )
     eligible = F.coalesce(c("score_eligible"), c("evaluation_state").isin("pass", "fail")) if "score_eligible" in results.columns else c("evaluation_state").isin("pass", "fail")
+    rows = rows.drop("scope_when_hit", "scope_when_clear")
     reliable = eligible & c("evaluation_state").isin("pass", "fail") & (c("confidence") != "low") & (c("coverage_status") == "covered")
     return rows.withColumn("reliable", F.coalesce(reliable, F.lit(False)))
 
@@ -256,15 +263,17 @@ def run_coverage(modelled: DataFrame, units: DataFrame) -> DataFrame:
     total = _shares(units.groupBy("run_id", "model").agg(*_weights()))
     weak = category_coverage(units).where(c("category_key").isin(*CRITICAL_CATEGORIES) & (c("primary_eligible") > 0) & (c("primary_coverage") < PROVISIONAL_COVERAGE))
     weak = weak.groupBy("run_id", "model").agg(F.count(F.lit(1)).alias("weak_categories"))
-    render = modelled.where((c("check_id") == "tech.js_dependent_content") & (c("evidence_class") == "primary_conditional")).groupBy("run_id", "model").agg(
-        F.count_if(c("coverage_status") == "covered").alias("render_covered"), F.count_if(c("coverage_status") != "excluded").alias("render_needed")
+    needed = (c("check_id") == "tech.js_dependent_content") & (c("evidence_class") == "primary_conditional")
+    render = modelled.groupBy("run_id", "model").agg(
+        F.count_if(needed).alias("render_checks"), F.count_if(needed & (c("coverage_status") == "covered")).alias("render_covered"), F.count_if(needed & (c("coverage_status") != "excluded")).alias("render_needed"),
+        F.count(F.lit(1)).alias("results"), F.count_if(c("evaluation_state") == "fail").alias("failing"), F.count_if(~c("reliable")).alias("excluded_results"),
     )
     joined = total.join(weak, ["run_id", "model"], "left").join(render, ["run_id", "model"], "left")
-    rendered = F.when(c("render_needed").isNull(), F.lit(100.0)).otherwise(percent(c("render_covered"), c("render_needed")))
+    rendered = F.when(c("render_checks") == 0, F.lit(100.0)).otherwise(percent(c("render_covered"), c("render_needed")))
     joined = joined.withColumn("render_coverage", rendered)
     first = coverage_status(c("primary_coverage"))
     status = F.when(first != "final", first).when(c("render_coverage") < 100, "provisional").when(F.coalesce(c("weak_categories"), F.lit(0)) > 0, "provisional").otherwise("final")
-    return joined.withColumn("score_status", status).drop("weak_categories", "render_covered", "render_needed")
+    return joined.withColumn("score_status", status).drop("weak_categories", "render_checks", "render_covered", "render_needed")
 
 
 def scores(results: DataFrame, runs: DataFrame) -> DataFrame:
@@ -272,10 +281,7 @@ def scores(results: DataFrame, runs: DataFrame) -> DataFrame:
     modelled = per_model(prepare(results, runs))
     causes = apply_caps(root_causes(modelled))
     penalties = causes.groupBy("run_id", "model").agg(exact_sum(c("raw_penalty")).alias("raw"), exact_sum(c("applied_penalty")).alias("applied"), F.count(F.lit(1)).alias("root_causes"))
-    counts = modelled.groupBy("run_id", "model").agg(
-        F.count(F.lit(1)).alias("results"), F.count_if(c("evaluation_state") == "fail").alias("failing"), F.count_if(~c("reliable")).alias("excluded_results")
-    )
-    joined = run_coverage(modelled, coverage_units(modelled)).join(penalties, ["run_id", "model"], "left").join(counts, ["run_id", "model"], "left")
+    joined = run_coverage(modelled, coverage_units(modelled)).join(penalties, ["run_id", "model"], "left")
     joined = joined.na.fill(0, ["raw", "applied", "root_causes"])
     joined = joined.withColumns({"raw_penalty": half_up_3(c("raw")), "applied_penalty": half_up_3(c("applied"))})
     diagnostic = F.least(F.lit(100.0), F.greatest(F.lit(0.0), half_up(100 - c("applied_penalty"))))
