@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewright.functions import url as U
 from sitewright.operators.scoring import half_up, lookup
 
 c = F.col
@@ -84,13 +85,14 @@ def effective_values(findings: DataFrame) -> DataFrame:
 def display_semantics(findings: DataFrame) -> DataFrame:
     """Report section, display status and review flags of every finding."""
     status = c("effective_status")
-    text = F.lower(F.concat_ws(" ", c("check_id"), c("category"), F.coalesce(c("report_grouping_key"), F.lit(""))))
+    findings = U.computed_once(findings, {"_text": F.lower(F.concat_ws(" ", c("check_id"), c("category"), F.coalesce(c("report_grouping_key"), F.lit(""))))})
+    text = c("_text")
     browser = text.rlike("webmanifest|browser metadata opportunity|pwa")
     kind = (
         F.when(status.isin("OK", "NA"), "info").when(browser, "opportunity").when(F.lower(c("category")).contains("security"), "best_practice")
         .when(c("finding_type").isin("llm_assisted", "core_issue", "opportunity", "best_practice", "info"), c("finding_type")).otherwise("core_issue")
     )
-    rows = findings.withColumn("display_type", kind)
+    rows = U.computed_once(findings, {"display_type": kind})
     ignored = c("review_status").isin("false_positive", "ignored")
     issue = status.isin("Warning", "Error")
     manual_na = (status == "NA") & (c("review_recommended") == 1) & (c("display_type") != "info")
@@ -102,7 +104,7 @@ def display_semantics(findings: DataFrame) -> DataFrame:
         .when((c("audit_type") == "geo") | (c("display_type") == "opportunity") | text.rlike("geo|ai crawler policy|ai bot|speakable|llms|webmanifest|pwa"), "geo_opportunities")
         .when(c("display_type") == "core_issue", "action_items").otherwise("technical_appendix")
     )
-    rows = rows.withColumns({"reviewable": reviewable, "report_section": section})
+    rows = U.computed_once(rows, {"reviewable": reviewable, "report_section": section}).drop("_text")
     review = F.when(c("review_status") != "unreviewed", c("review_status")).when(~c("reviewable"), "not_required").otherwise("unreviewed")
     rows = rows.withColumn("display_review_status", review)
     action = F.when(c("action_status") != "open", c("action_status")).when(~c("reviewable") | (c("display_review_status") == "not_required"), "none").otherwise("open")
@@ -156,7 +158,7 @@ def points(displayed: DataFrame) -> DataFrame:
     label = F.when(contradiction & ~excluded, F.when(kind == "opportunity", "Opportunity").otherwise("Warning")).otherwise(status)
     table = F.create_map(*[F.lit(x) for name, ids in CATEGORY_CHECKS.items() for check in ids.split() for x in (check, name)])
     category = F.coalesce(F.try_element_at(table, c("check_id")), F.lit("uncategorized"))
-    return displayed.withColumns({"point": point, "maturity_status": label, "maturity_category": category})
+    return U.computed_once(displayed, {"point": point, "maturity_status": label, "maturity_category": category})
 
 
 def label(score: Column) -> Column:
