@@ -168,23 +168,28 @@ def label(score: Column) -> Column:
     return rule.otherwise(F.lit("Top"))
 
 
-def category_scores(pointed: DataFrame) -> DataFrame:
+def _by_category(pointed: DataFrame) -> DataFrame:
     status, used = c("maturity_status"), c("point").isNotNull()
     rows = pointed.groupBy("run_id", "maturity_category").agg(
         F.count(F.lit(1)).alias("checks"), F.count_if(used).alias("evaluated"), half_up(F.avg("point"), 1).alias("score"), F.count_if(used & (status == "OK")).alias("passed"),
         F.count_if(used & (status == "Warning")).alias("warnings"), F.count_if(used & (status == "Error")).alias("errors"), F.count_if(used & (status == "Opportunity")).alias("opportunities"), F.count_if(~used).alias("excluded"),
+        F.sum("point").alias("points"),
     )
     return rows.withColumns({"weight": lookup(c("maturity_category"), CATEGORY_WEIGHT, 1.0), "label": label(c("score"))})
 
 
+def category_scores(pointed: DataFrame) -> DataFrame:
+    return _by_category(pointed).drop("points")
+
+
 def run_maturity(pointed: DataFrame) -> DataFrame:
-    """Weighted, plain and per-check averages of a run with its label."""
-    scored = category_scores(pointed).where(c("score").isNotNull())
-    categories = scored.groupBy("run_id").agg(
-        half_up(F.round(F.sum(c("score") * c("weight")) / F.sum("weight"), 8), 1).alias("maturity_score"), half_up(F.round(F.avg("score"), 8), 1).alias("unweighted_score"), F.count(F.lit(1)).alias("categories")
+    """Weighted, plain and per-check averages of a run with its label, summed up from its categories in one pass."""
+    weight = F.when(c("score").isNotNull(), c("weight"))
+    rows = _by_category(pointed).groupBy("run_id").agg(
+        half_up(F.round(F.sum(c("score") * weight) / F.nullif(F.sum(weight), F.lit(0.0)), 8), 1).alias("maturity_score"), half_up(F.round(F.avg("score"), 8), 1).alias("unweighted_score"),
+        F.nullif(F.count("score"), F.lit(0)).alias("categories"), half_up(F.sum("points") / F.nullif(F.sum("evaluated"), F.lit(0)), 1).alias("check_average"), F.sum("checks").alias("checks"), F.sum("excluded").alias("excluded"),
     )
-    plain = pointed.groupBy("run_id").agg(half_up(F.avg("point"), 1).alias("check_average"), F.count(F.lit(1)).alias("checks"), F.count_if(c("point").isNull()).alias("excluded"))
-    return plain.join(categories, "run_id", "left").withColumn("label", label(c("maturity_score")))
+    return rows.withColumn("label", label(c("maturity_score")))
 
 
 def highlights(pointed: DataFrame, top: int = 5) -> DataFrame:
