@@ -1,11 +1,10 @@
-"""Session helpers: sane defaults for tests and checkpoint handling for clusters."""
+"""Session helpers: sane defaults for tests and the shared folder of a cluster."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "sitewright", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -28,13 +27,15 @@ def build_session(app: str = "sitewright", master: str | None = None, shuffle_pa
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local session gets a temporary one; on a cluster that is an error, as executors could not see it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="sitewright-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sitewright-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
