@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewright.llm import substrings, tables
+from sitewright.llm import near_duplicates, substrings, tables, token_counts
 
 
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.removal_report(tables.load(spark, folder, "documents"))
 
 
+def token_count(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.count_tokens(tables.load(spark, folder, "documents"), path, limit=1024)
+
+
+def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.report(tables.load(spark, folder, "documents"), percent=85)
+
+
 QUERIES = {
     "op2_substring_dedup": substring_dedup,
+    "op4_token_count": token_count,
+    "op7_near_dedup": near_dedup,
 }
 
 ORACLE: dict[str, str] = {}

@@ -76,6 +76,8 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     prefix: np.ndarray
+    text: np.ndarray
+    bounds: np.ndarray
 
     @property
     def rows(self) -> int:
@@ -133,7 +135,7 @@ def _words(text: np.ndarray, bounds: np.ndarray, row: int, separators: np.ndarra
     np.cumsum((_LOWERED if lower else _BYTES)[text] * up[: len(text)], out=prefix[1:])
     first = np.searchsorted(start, bounds)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
-    return Words(row, first, doc, start, end, mixed((prefix[end] - prefix[start]) * down[start]), prefix)
+    return Words(row, first, doc, start, end, mixed((prefix[end] - prefix[start]) * down[start]), prefix, text, bounds)
 
 
 def runs(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
