@@ -7,8 +7,8 @@ it is empty and linked with nothing. Two documents are linked if 100 * |A and B|
    low bits, packed by bit plane.
 2. Equal sets are one class, formed by an aggregate that combines before the shuffle. Only classes go on.
 3. Classes that share a band bucket are candidates. Bands are so many that a pair at the threshold is missed with a chance
-   below 1e-9. Small buckets give all their pairs. Of a large one, a pivot is compared with all others; then only members that
-   are not yet in the bucket's largest component are compared, until none is left: no link between two components is lost, and
+   below 1e-9. Small buckets give all their pairs. Of a large one, a few pivots are compared with all others; then only members
+   that are not yet in the bucket's largest component are compared, until none is left: no link between two components is lost, and
    a bucket of thousands of copies costs about its size, not its square.
 4. A candidate whose collision-corrected estimate from the packed bits lies six deviations below the threshold is let go. All
    others are confirmed on their full sets.
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright.llm import tables, words
@@ -37,6 +37,10 @@ MISS = 1e-9
 MOST_BANDS = 40
 #: Buckets up to this size give all pairs at once.
 SMALL_BUCKET = 12
+#: Members of a large bucket that are compared with all its others at first, and in each later step.
+FIRST_PIVOTS, PIVOTS = 4, 16
+#: Comparisons for each member of a large bucket up to which all that are left are made at once.
+BUDGET = 32
 
 
 @dataclass(frozen=True)
@@ -198,16 +202,21 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _first(members: DataFrame, count: int, step: int) -> DataFrame:
+    """So many members of each bucket, others in each step."""
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("fp", F.lit(step)), "fp"))
+    return members.withColumn("rank", rank).where(F.col("rank") <= count).drop("rank")
+
+
 def _candidates(members: DataFrame, links: _Links) -> None:
     """Confirms links until no bucket can hold one between two components."""
-    sized = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("fp", F.xxhash64("fp")).alias("pivot"))
-    sized = tables.stored(sized)
+    sized = tables.stored(members.groupBy("bucket").agg(F.count("*").alias("size")))
     small = members.join(sized.where(F.col("size") <= SMALL_BUCKET).select("bucket"), "bucket")
-    large = tables.stored(members.join(sized.where(F.col("size") > SMALL_BUCKET), "bucket"))
+    large = tables.stored(members.join(sized.where(F.col("size") > SMALL_BUCKET).select("bucket"), "bucket"))
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.fp") < F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    links.confirm(pairs.unionByName(large.select(F.col("pivot").alias("a"), F.col("fp").alias("b"))))
-    large = large.select("bucket", "fp")
-    budget = 8 * large.count()
+    pivots = tables.stored(_first(large, FIRST_PIVOTS, 0).withColumnRenamed("fp", "a"))
+    links.confirm(pairs.unionByName(pivots.join(large.withColumnRenamed("fp", "b"), "bucket").select("a", "b")))
+    budget = BUDGET * large.count()
     done = None
     step = 0
     while budget:
@@ -216,17 +225,18 @@ def _candidates(members: DataFrame, links: _Links) -> None:
         labelled = tables.stored(large.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
         shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("part"))
         split = shares.groupBy("bucket").agg(F.max_by("label", "part").alias("main"), F.sum("part").alias("size"), F.count("*").alias("labels")).where("labels > 1")
-        split = tables.stored(split)
-        open_ = labelled.join(split, "bucket").where("label <> main")
+        open_ = labelled.join(tables.stored(split), "bucket").where("label <> main")
         if done is not None:
             open_ = open_.join(done, ["bucket", "fp"], "left_anti")
-        open_ = tables.stored(open_)
+        open_ = tables.stored(open_.select("bucket", "fp", "label", "size"))
         if not (work := open_.agg(F.sum("size")).first()[0]):
             return
         if work > budget:
-            open_ = tables.stored(open_.groupBy("bucket").agg(F.min_by("fp", F.xxhash64("fp", F.lit(step))).alias("fp")).join(labelled, ["bucket", "fp"]))
+            open_ = tables.stored(_first(open_, PIVOTS, step))
         others = labelled.select("bucket", F.col("fp").alias("b"), F.col("label").alias("own"))
         links.confirm(open_.select("bucket", F.col("fp").alias("a"), "label").join(others, "bucket").where("label <> own").select("a", "b"))
+        if work <= budget:
+            return
         finished = open_.select("bucket", "fp")
         done = finished if done is None else done.unionByName(finished)
 

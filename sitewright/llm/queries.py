@@ -5,26 +5,55 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewright.llm import near_duplicates, substrings, tables, token_counts
+from sitewright.llm import archives, decontamination, mixing, near_duplicates, quality, substrings, token_counts, toxicity
+from sitewright.llm.tables import load
+
+
+def mixing_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.report(load(spark, folder, "documents"))
 
 
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return substrings.removal_report(tables.load(spark, folder, "documents"))
+    return substrings.removal_report(load(spark, folder, "documents"))
+
+
+def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.report(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
 
 
 def token_count(spark: SparkSession, folder: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return token_counts.count_tokens(tables.load(spark, folder, "documents"), path, limit=1024)
+    return token_counts.count_tokens(load(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def toxicity_grades(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
 
 def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.report(tables.load(spark, folder, "documents"), percent=85)
+    return near_duplicates.report(load(spark, folder, "documents"), percent=85)
+
+
+def warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.report(load(spark, folder, "pages"))
+
+
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.report(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
 
 QUERIES = {
+    "op1_mixing": mixing_weights,
     "op2_substring_dedup": substring_dedup,
+    "op3_decontamination": benchmark_hits,
     "op4_token_count": token_count,
+    "op6_toxicity": toxicity_grades,
     "op7_near_dedup": near_dedup,
+    "op8_warc": warc_revisits,
+    "op10_quality": quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+#: DuckDB texts where SQL can express the result; the others are tested against brute force.
+ORACLE: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
+    "op8_warc": archives.ORACLE,
+}
