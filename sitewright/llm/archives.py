@@ -137,8 +137,8 @@ def report(pages: DataFrame, least: int = 0) -> DataFrame:
 #: The rows that reading gives back, made from the pages alone. Base 32 goes by five hexadecimal digits, as above.
 ORACLE = """
 WITH payloads AS (SELECT page_id, sha1(coalesce(html, '')) AS code, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
-named AS (SELECT page_id, payload_bytes, list_aggregate(list_transform([1, 6, 11, 16, 21, 26, 31, 36], lambda at: list_aggregate(list_transform([15, 10, 5, 0],
-    lambda shift: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(code, at, 5))::BIGINT >> shift) & 31) + 1)::BIGINT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest
+named AS (SELECT page_id, payload_bytes, list_aggregate(list_transform([1, 6, 11, 16, 21, 26, 31, 36], lambda i: list_aggregate(list_transform([15, 10, 5, 0],
+    lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(code, i, 5))::BIGINT >> j) & 31) + 1)::BIGINT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest
   FROM payloads),
 newest AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM named)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
