@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewright.llm import archives, decontamination, mixing, near_duplicates, quality, substrings, token_counts, toxicity
+from sitewright.llm import archives, decontamination, languages, mixing, near_duplicates, neighbours, quality, substrings, token_counts, toxicity
 from sitewright.llm.tables import load
 
 
@@ -37,6 +37,14 @@ def warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return archives.report(load(spark, folder, "pages"))
 
 
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(load(spark, folder, "embeddings"), k=20, query_every=20)
+
+
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.classify(load(spark, folder, "documents"), load(spark, folder, "pages"))
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
@@ -46,9 +54,11 @@ QUERIES = {
     "op2_substring_dedup": substring_dedup,
     "op3_decontamination": benchmark_hits,
     "op4_token_count": token_count,
+    "op5_nearest_vectors": nearest_vectors,
     "op6_toxicity": toxicity_grades,
     "op7_near_dedup": near_dedup,
     "op8_warc": warc_revisits,
+    "op9_language_id": language_id,
     "op10_quality": quality_rules,
 }
 
