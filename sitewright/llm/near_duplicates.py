@@ -7,9 +7,9 @@ it is empty and linked with nothing. Two documents are linked if 100 * |A and B|
    low bits, packed by bit plane.
 2. Equal sets are one class, formed by an aggregate that combines before the shuffle. Only classes go on.
 3. Classes that share a band bucket are candidates. Bands are so many that a pair at the threshold is missed with a chance
-   below 1e-9. Small buckets give all their pairs. Of a large one, a few pivots are compared with all others; then only members
-   that are not yet in the bucket's largest component are compared, until none is left: no link between two components is lost, and
-   a bucket of thousands of copies costs about its size, not its square.
+   below 1e-9. Small buckets give all their pairs. In a large one a few pivots are compared with all others; then the members that
+   are not linked with its main pivot are compared with all, until none is left. No link between two components is lost, and a
+   bucket of thousands of copies costs about its size, not its square.
 4. A candidate whose collision-corrected estimate from the packed bits lies six deviations below the threshold is let go. All
    others are confirmed on their full sets.
 5. Components spread the smallest label along the links, with pointer jumping.
@@ -177,29 +177,37 @@ class _Links:
         pairs = tables.stored(pairs)
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
         left, right = self.classes.alias("l"), self.classes.alias("r")
-        close = pairs.join(left, F.col("a") == F.col("l.fp")).join(right, F.col("b") == F.col("r.fp")).where(_estimate(self.plan, "l", "r") >= _lowest_estimate(self.plan))
-        close = tables.stored(close.select("a", "b"))
+        close = pairs.join(left, F.col("a") == F.col("l.fp")).join(right, F.col("b") == F.col("r.fp")).where(_estimate(self.plan, "l", "r") >= _lowest_estimate(self.plan)).select("a", "b")
         one, other = (self.sets.select(F.col("fp").alias(key), F.col("shingles").alias(f"of_{key}")) for key in ("a", "b"))
         both = F.size(F.array_intersect("of_a", "of_b"))
         met = close.join(one, "a").join(other, "b").where(100 * both >= self.plan.percent * (F.size("of_a") + F.size("of_b") - both))
         links = tables.stored(met.select("a", "b").distinct())
         self.links = links if self.links is None else self.links.unionByName(links)
 
+    def both_ways(self) -> DataFrame:
+        return self.links.select("a", "b").unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, label): every end of a link with the smallest end that it reaches. Labels and links are stored, so that adaptive execution can split the joins on a much-linked end."""
-    edges = tables.stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+
+def components(links: _Links) -> DataFrame:
+    """(v, label): every end of a link with the smallest end that it reaches.
+
+    Labels and links are stored, so that adaptive execution can split the joins on a much-linked end. Long chains are shortened by
+    pointer jumping, from the third step on.
+    """
+    edges = tables.stored(links.both_ways().toDF("u", "v"))
     labels = tables.stored(edges.groupBy("v").agg(F.least("v", F.min("u")).alias("label")))
-    state = None
+    state, step = None, 0
+    facts = {"n": F.count("*"), "total": F.sum(F.col("label").cast("decimal(38,0)")), "mark": F.sum(F.xxhash64("v", "label").cast("decimal(38,0)"))}
     while True:
+        step += 1
         heard = edges.join(labels.withColumnRenamed("v", "u"), "u").select("v", "label").unionByName(labels)
-        hooked = tables.stored(heard.groupBy("v").agg(F.min("label").alias("label")))
-        ahead = hooked.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        labels = tables.stored(hooked.join(ahead, "label").select("v", F.col("next").alias("label")))
-        now = labels.select(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "label").cast("decimal(38,0)"))).first()
+        labels, now = tables.stored_with(heard.groupBy("v").agg(F.min("label").alias("label")), **facts)
         if now == state:
             return labels
         state = now
+        if step >= 3:
+            ahead = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
+            labels, state = tables.stored_with(labels.join(ahead, "label").select("v", F.col("next").alias("label")), **facts)
 
 
 def _first(members: DataFrame, count: int, step: int) -> DataFrame:
@@ -209,36 +217,40 @@ def _first(members: DataFrame, count: int, step: int) -> DataFrame:
 
 
 def _candidates(members: DataFrame, links: _Links) -> None:
-    """Confirms links until no bucket can hold one between two components."""
+    """Confirms links until no bucket can hold one between two components.
+
+    Members of a large bucket that are linked with the same pivot need no comparison: they are in one component. Those outside the
+    largest such star are compared with all others of the bucket; if these are too many, with some of them as further pivots.
+    """
     sized = tables.stored(members.groupBy("bucket").agg(F.count("*").alias("size")))
     small = members.join(sized.where(F.col("size") <= SMALL_BUCKET).select("bucket"), "bucket")
-    large = tables.stored(members.join(sized.where(F.col("size") > SMALL_BUCKET).select("bucket"), "bucket"))
+    large, facts = tables.stored_with(members.join(sized.where(F.col("size") > SMALL_BUCKET).select("bucket"), "bucket"), n=F.count("*"))
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.fp") < F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    pivots = tables.stored(_first(large, FIRST_PIVOTS, 0).withColumnRenamed("fp", "a"))
-    links.confirm(pairs.unionByName(pivots.join(large.withColumnRenamed("fp", "b"), "bucket").select("a", "b")))
-    budget = BUDGET * large.count()
-    done = None
+    budget = BUDGET * facts["n"]
+    if not budget:
+        links.confirm(pairs)
+        return
+    pivots = tables.stored(_first(large, FIRST_PIVOTS, 0))
+    links.confirm(pairs.unionByName(pivots.withColumnRenamed("fp", "a").join(large.withColumnRenamed("fp", "b"), "bucket").select("a", "b")))
     step = 0
-    while budget:
+    while True:
         step += 1
-        labels = components(links.links).withColumnRenamed("v", "fp")
-        labelled = tables.stored(large.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+        hubs = pivots.select("bucket", F.col("fp").alias("a"))
+        star = hubs.join(links.both_ways(), "a").unionByName(hubs.withColumn("b", F.col("a"))).groupBy("bucket", F.col("b").alias("fp")).agg(F.min("a").alias("label"))
+        labelled = tables.stored(large.join(star, ["bucket", "fp"], "left").withColumn("label", F.coalesce("label", "fp")))
         shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("part"))
         split = shares.groupBy("bucket").agg(F.max_by("label", "part").alias("main"), F.sum("part").alias("size"), F.count("*").alias("labels")).where("labels > 1")
-        open_ = labelled.join(tables.stored(split), "bucket").where("label <> main")
-        if done is not None:
-            open_ = open_.join(done, ["bucket", "fp"], "left_anti")
-        open_ = tables.stored(open_.select("bucket", "fp", "label", "size"))
-        if not (work := open_.agg(F.sum("size")).first()[0]):
+        left = labelled.join(tables.stored(split), "bucket").where("label <> main").join(pivots, ["bucket", "fp"], "left_anti")
+        left, facts = tables.stored_with(left.select("bucket", "fp", "label", "size"), work=F.sum("size"))
+        work = facts["work"] or 0
+        if not work:
             return
-        if work > budget:
-            open_ = tables.stored(_first(open_, PIVOTS, step))
+        chosen = left if work <= budget else tables.stored(_first(left, PIVOTS, step))
         others = labelled.select("bucket", F.col("fp").alias("b"), F.col("label").alias("own"))
-        links.confirm(open_.select("bucket", F.col("fp").alias("a"), "label").join(others, "bucket").where("label <> own").select("a", "b"))
+        links.confirm(chosen.select("bucket", F.col("fp").alias("a"), "label").join(others, "bucket").where("label <> own").select("a", "b"))
         if work <= budget:
             return
-        finished = open_.select("bucket", "fp")
-        done = finished if done is None else done.unionByName(finished)
+        pivots = pivots.unionByName(chosen.select("bucket", "fp"))
 
 
 def groups(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
@@ -253,10 +265,10 @@ def groups(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame
     texts = docs.select("text", tables.order_key().alias("__d")).join(wanted, "__d", "left_semi")
     links = _Links(plan, classes, tables.stored(_set_rows(texts, size)))
     _candidates(members, links)
-    labels = components(links.links).withColumnRenamed("v", "fp")
+    labels = components(links).withColumnRenamed("v", "fp")
     named = labels.join(classes.select("fp", "d"), "fp")
     smallest = tables.stored(named.groupBy("label").agg(F.min("d").alias("component")))
-    linked = tables.stored(labels.join(smallest, "label").select("fp", "component"))
+    linked = labels.join(smallest, "label").select("fp", "component")
     found = tables.stored(classes.join(linked, "fp", "left").select("fp", "fp2", F.coalesce("component", "d").alias("component")))
     return rows.select("d", "t", "n", "fp", "fp2").join(found, ["fp", "fp2"], "left").select("d", "t", F.col("n").alias("n_shingles"), F.coalesce("component", "d").alias("component"))
 

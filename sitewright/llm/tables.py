@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.session import shared_folder
@@ -19,6 +19,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
+    """The stored frame and aggregates over its rows that are taken while it is written."""
+    seen = Observation()
+    frame = stored(df.observe(seen, *[fact.alias(name) for name, fact in facts.items()]))
+    return frame, seen.get
+
+
 def new_folder(spark: SparkSession) -> str:
     """A path of its own below the shared folder."""
     return f"{shared_folder(spark)}/sitewright/{uuid.uuid4().hex}"
