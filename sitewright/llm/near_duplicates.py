@@ -8,8 +8,8 @@ it is empty and linked with nothing. Two documents are linked if 100 * |A and B|
 2. Equal sets are one class, formed by an aggregate that combines before the shuffle. Only classes go on.
 3. Classes that share a band bucket are candidates. Bands are so many that a pair at the threshold is missed with a chance
    below 1e-9. Small buckets give all their pairs. In a large one a few pivots are compared with all others; then the members that
-   are not linked with its main pivot are compared with all, until none is left. No link between two components is lost, and a
-   bucket of thousands of copies costs about its size, not its square.
+   are not linked with its main pivot are compared with all others by longer sketches. No link between two components is lost. A
+   bucket of thousands of copies of one text costs about its size; what is compared further is what is similar, but not linked.
 4. A candidate whose collision-corrected estimate from the packed bits lies six deviations below the threshold is let go. All
    others are confirmed on their full sets.
 5. Components spread the smallest label along the links, with pointer jumping.
@@ -37,10 +37,11 @@ MISS = 1e-9
 MOST_BANDS = 40
 #: Buckets up to this size give all pairs at once.
 SMALL_BUCKET = 12
-#: Members of a large bucket that are compared with all its others at first, and in each later step.
-FIRST_PIVOTS, PIVOTS = 4, 16
-#: Comparisons for each member of a large bucket up to which all that are left are made at once.
-BUDGET = 32
+#: Members of a large bucket that are compared with all its others at first.
+PIVOTS = 4
+#: Bits of the sketches by which the other members of large buckets are compared, and members compared in one block.
+SKETCH, BLOCK = 2048, 4096
+_LONG = [f"l{i}" for i in range(SKETCH // 64)]
 
 
 @dataclass(frozen=True)
@@ -164,18 +165,14 @@ def _lowest_estimate(plan: Bands) -> float:
 
 
 class _Links:
-    """Confirms pairs of classes and remembers what has been looked at."""
+    """Confirms pairs of classes and gathers the links."""
 
     def __init__(self, plan: Bands, classes: DataFrame, sets: DataFrame) -> None:
         self.plan, self.classes, self.sets = plan, classes, sets
-        self.seen = self.links = None
+        self.links = None
 
     def confirm(self, pairs: DataFrame) -> None:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        pairs = tables.stored(pairs)
-        self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
         left, right = self.classes.alias("l"), self.classes.alias("r")
         close = pairs.join(left, F.col("a") == F.col("l.fp")).join(right, F.col("b") == F.col("r.fp")).where(_estimate(self.plan, "l", "r") >= _lowest_estimate(self.plan)).select("a", "b")
         one, other = (self.sets.select(F.col("fp").alias(key), F.col("shingles").alias(f"of_{key}")) for key in ("a", "b"))
@@ -210,47 +207,72 @@ def components(links: _Links) -> DataFrame:
             labels, state = tables.stored_with(labels.join(ahead, "label").select("v", F.col("next").alias("label")), **facts)
 
 
-def _first(members: DataFrame, count: int, step: int) -> DataFrame:
-    """So many members of each bucket, others in each step."""
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("fp", F.lit(step)), "fp"))
-    return members.withColumn("rank", rank).where(F.col("rank") <= count).drop("rank")
+def _sketches(sets: DataFrame) -> DataFrame:
+    """One low bit of SKETCH further minima for each set, packed."""
+    factors = words.mixed(np.arange(1 << 20, (1 << 20) + SKETCH, dtype=np.uint64)) | np.uint64(1)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                lists = part.column(1)
+                shingle = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                first = np.append(0, np.cumsum([len(x) for x in lists]))[:-1]
+                low = np.empty((part.num_rows, SKETCH), dtype=np.uint8)
+                turned = np.empty_like(shingle)
+                for j, factor in enumerate(factors):
+                    np.multiply(shingle, factor, out=turned)
+                    low[:, j] = (np.minimum.reduceat(turned, first) >> np.uint64(8)) & np.uint64(1)
+                packed = np.packbits(low, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(column)) for column in packed.T]], ["fp", *_LONG])
+
+    return sets.select("fp", "shingles").mapInArrow(rows, "fp long, " + ", ".join(f"{name} long" for name in _LONG))
+
+
+def _far_estimate(left: str, right: str) -> Column:
+    apart = [F.bit_count(F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}"))) for name in _LONG]
+    return 1 - 2 * sum(apart[1:], apart[0]) / F.lit(float(SKETCH))
 
 
 def _candidates(members: DataFrame, links: _Links) -> None:
     """Confirms links until no bucket can hold one between two components.
 
-    Members of a large bucket that are linked with the same pivot need no comparison: they are in one component. Those outside the
-    largest such star are compared with all others of the bucket; if these are too many, with some of them as further pivots.
+    A text from which many copies were made shares buckets with most of them, so the members that meet the most others are the pivots.
+    All that are linked with one pivot are in one component and need no comparison. Members of a large bucket outside its main
+    component are compared with its other members, in blocks. The comparison is of longer sketches, inside the join, and a pair counts in
+    the first bucket that it shares; only what may be a link leaves the join.
     """
     sized = tables.stored(members.groupBy("bucket").agg(F.count("*").alias("size")))
     small = members.join(sized.where(F.col("size") <= SMALL_BUCKET).select("bucket"), "bucket")
-    large, facts = tables.stored_with(members.join(sized.where(F.col("size") > SMALL_BUCKET).select("bucket"), "bucket"), n=F.count("*"))
+    met = members.join(sized.where(F.col("size") > SMALL_BUCKET), "bucket")
+    degrees = tables.stored(met.groupBy("fp").agg(F.sum("size").alias("degree"), F.array_sort(F.collect_list("bucket")).alias("buckets")))
+    large, facts = tables.stored_with(met.join(degrees.drop("buckets"), "fp").select("bucket", "fp", "degree"), n=F.count("*"))
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.fp") < F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    budget = BUDGET * facts["n"]
-    if not budget:
+    if not facts["n"]:
         links.confirm(pairs)
         return
-    pivots = tables.stored(_first(large, FIRST_PIVOTS, 0))
-    links.confirm(pairs.unionByName(pivots.withColumnRenamed("fp", "a").join(large.withColumnRenamed("fp", "b"), "bucket").select("a", "b")))
-    step = 0
-    while True:
-        step += 1
-        hubs = pivots.select("bucket", F.col("fp").alias("a"))
-        star = hubs.join(links.both_ways(), "a").unionByName(hubs.withColumn("b", F.col("a"))).groupBy("bucket", F.col("b").alias("fp")).agg(F.min("a").alias("label"))
-        labelled = tables.stored(large.join(star, ["bucket", "fp"], "left").withColumn("label", F.coalesce("label", "fp")))
-        shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("part"))
-        split = shares.groupBy("bucket").agg(F.max_by("label", "part").alias("main"), F.sum("part").alias("size"), F.count("*").alias("labels")).where("labels > 1")
-        left = labelled.join(tables.stored(split), "bucket").where("label <> main").join(pivots, ["bucket", "fp"], "left_anti")
-        left, facts = tables.stored_with(left.select("bucket", "fp", "label", "size"), work=F.sum("size"))
-        work = facts["work"] or 0
-        if not work:
-            return
-        chosen = left if work <= budget else tables.stored(_first(left, PIVOTS, step))
-        others = labelled.select("bucket", F.col("fp").alias("b"), F.col("label").alias("own"))
-        links.confirm(chosen.select("bucket", F.col("fp").alias("a"), "label").join(others, "bucket").where("label <> own").select("a", "b"))
-        if work <= budget:
-            return
-        pivots = pivots.unionByName(chosen.select("bucket", "fp"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "fp"))
+    pivots = tables.stored(large.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("bucket", F.col("fp").alias("a"), F.col("degree").alias("of")))
+    links.confirm(pairs.unionByName(pivots.select("bucket", "a").join(large.select("bucket", F.col("fp").alias("b")), "bucket").select("a", "b")))
+    hubs = pivots.select("a", "of").distinct()
+    star = hubs.join(links.both_ways(), "a").unionByName(hubs.withColumn("b", F.col("a"))).groupBy(F.col("b").alias("fp")).agg(F.max_by("a", F.struct("of", "a")).alias("label"))
+    known = degrees.select("fp", "buckets").join(star, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    labelled = tables.stored(large.select("bucket", "fp").join(known.select("fp", "label"), "fp"))
+    shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("part"))
+    split = shares.groupBy("bucket").agg(F.max_by("label", "part").alias("main"), F.sum("part").alias("size"), F.max("part").alias("most")).where("most < size")
+    split = tables.stored(split.select("bucket", "main", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("long").alias("blocks")))
+    left = labelled.join(split, "bucket").where("label <> main").join(pivots.select("bucket", F.col("a").alias("fp")), ["bucket", "fp"], "left_anti")
+    left, facts = tables.stored_with(left.select("bucket", "fp", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("block")), n=F.count("*"))
+    if not facts["n"]:
+        return
+    sketched = tables.stored(known.join(_sketches(links.sets.join(degrees.select("fp"), "fp", "left_semi")), "fp"))
+    one = left.join(sketched, "fp").alias("x")
+    other = labelled.select("bucket", "fp").join(split.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")), "bucket").join(sketched, "fp").alias("y")
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block"))
+    least = links.plan.percent / 100 - 12 * math.sqrt((1 - (links.plan.percent / 100) ** 2) / 4 / SKETCH)
+    close = (F.col("x.label") != F.col("y.label")) & (_far_estimate("x", "y") >= least)
+    first = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")
+    links.confirm(one.join(other, same & close & first).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
 
 
 def groups(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:

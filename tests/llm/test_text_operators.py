@@ -82,8 +82,7 @@ def test_large_bucket_loses_no_link(spark, monkeypatch):
     """A chain in which only neighbours are linked, compared a few at a time."""
     monkeypatch.setattr(near_duplicates, "SMALL_BUCKET", 2)
     monkeypatch.setattr(near_duplicates, "PIVOTS", 1)
-    monkeypatch.setattr(near_duplicates, "FIRST_PIVOTS", 1)
-    monkeypatch.setattr(near_duplicates, "BUDGET", 1)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 2)
     rows = [(i, " ".join(f"w{j}" for j in range(4 * i, 4 * i + 80))) for i in range(9)]
     want, _ = brute.components(rows, 80)
     got = {row.doc_id: row.component_id for row in near_duplicates.report(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()}
