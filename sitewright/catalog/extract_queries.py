@@ -55,7 +55,7 @@ QUERIES["extract_head_by_expression"] = _simple(lambda s: EX.head_by_expression(
 ORACLE["extract_head_by_expression"] = """SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[[:space:]]+', ' ', 'g')), '') AS title, nullif(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '[[:space:]]+', ' ', 'g')), '') AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS html_lang, true AS meta_utf8,
  CAST(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS INT) AS link_count, CAST(strlen(html) AS INT) AS html_bytes, sha256(html) AS html_hash FROM pages"""
 QUERIES["extract_targeted_facts"] = _simple(lambda s: EX.targeted_facts(s.table("pages"), "title").unionByName(EX.targeted_facts(s.table("pages"), "html_lang")).select("page_id", "job_type", "value_length", "value_hash", "value_pattern", "missing"))
-PATTERN = "left(trim(regexp_replace(regexp_replace(regexp_replace(lower(v), '[0-9]+', '{{num}}', 'g'), '[a-f0-9]{{8,}}', '{{hash}}', 'g'), '[^\\p{{L}}\\p{{N}}{{}}]+', ' ', 'g')), 220)".replace("{{", "{").replace("}}", "}")
+PATTERN = "trim(regexp_replace(regexp_replace(regexp_replace(lower(v), '[0-9]+', '{{num}}', 'g'), '[a-f0-9]{{8,}}', '{{hash}}', 'g'), '[^\\p{{L}}\\p{{N}}{{}}]+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
 TF = f"""SELECT page_id, job AS job_type, CAST(length(v) AS INT) AS value_length, left(sha1(v), 16) AS value_hash, {PATTERN} AS value_pattern, v IS NULL AS missing FROM (SELECT page_id, 'title' AS job, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[[:space:]]+', ' ', 'g')), '') AS v FROM pages UNION ALL SELECT page_id, 'html_lang', regexp_extract(html, '<html lang="([^"]*)"', 1) FROM pages) x"""
 ORACLE["extract_targeted_facts"] = TF
 

@@ -75,11 +75,11 @@ BLOCKED = "x_robots_tag IN ('noindex', 'none; nosnippet')"
 QUERY = "regexp_extract(url, '[?]([^#]*)', 1)"
 PATH = "lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1))"
 SEARCH_PATH = f"regexp_matches({PATH}, '(^|/)(search|suche|site-search)(/|$)')"
-HEADING = "regexp_matches(lower(concat(coalesce(title,''), ' ', h1_text)), 'search results?|suchergebnisse')"
-PLUS = f"(CASE WHEN {SEARCH_PATH} THEN 3 ELSE 0 END + CASE WHEN {HEADING} THEN 3 ELSE 0 END + CASE WHEN main_regions > 0 THEN 2 ELSE 0 END + CASE WHEN nav_regions > 1 THEN 2 ELSE 0 END)"
+HEADING = "(search_result_text > 0 OR regexp_matches(lower(concat(coalesce(title,''), ' ', h1_text)), 'search results?|suchergebnisse'))"
+PLUS = f"(CASE WHEN {SEARCH_PATH} THEN 3 ELSE 0 END + CASE WHEN {HEADING} THEN 3 ELSE 0 END + CASE WHEN main_search_forms > 0 THEN 2 ELSE 0 END + CASE WHEN search_result_lists > 0 THEN 2 ELSE 0 END + search_action)"
 MINUS = (f"(CASE WHEN page_type IN ('category_index', 'category') THEN -3 ELSE 0 END + CASE WHEN regexp_matches({PATH}, '(^|/)(tag|tags|kategorie|category)(/|$)') THEN -3 ELSE 0 END"
          f" + CASE WHEN {QUERY} LIKE '%page=%' THEN -2 ELSE 0 END)")
-STRONG = f"(CASE WHEN {SEARCH_PATH} THEN 1 ELSE 0 END + CASE WHEN {HEADING} THEN 1 ELSE 0 END + CASE WHEN main_regions > 0 THEN 1 ELSE 0 END + CASE WHEN nav_regions > 1 THEN 1 ELSE 0 END)"
+STRONG = f"(CASE WHEN {SEARCH_PATH} THEN 1 ELSE 0 END + CASE WHEN {HEADING} THEN 1 ELSE 0 END + CASE WHEN main_search_forms > 0 THEN 1 ELSE 0 END + CASE WHEN search_result_lists > 0 THEN 1 ELSE 0 END)"
 CERTAIN = f"({STRONG} >= 2 AND {PLUS} + {MINUS} >= 5 AND {MINUS} > -3)"
 UNCLEAR = f"(NOT {CERTAIN} AND {PLUS} >= 2)"
 OPEN_SEARCH = f"{HTML} AND {CERTAIN} AND coalesce(noindex, 0) = 0 AND {ROBOTS} NOT LIKE '%noindex%'"

@@ -105,6 +105,9 @@ SELECT page_id, host AS run_id, url,
   CASE WHEN page_id % 9 = 1 THEN 'onetrust' WHEN page_id % 9 = 2 THEN 'cookiebot' ELSE '' END AS consent_vendors,
   CASE WHEN page_id % 4 = 2 THEN 1 ELSE 0 END AS has_tag_manager,
   CAST(page_id % 2 AS INT) AS main_regions, CAST(page_id % 3 AS INT) AS nav_regions,
+  CASE WHEN page_id % 4 = 0 THEN 2 ELSE 0 END AS search_forms, CASE WHEN page_id % 8 = 0 THEN 1 ELSE 0 END AS main_search_forms,
+  CASE WHEN page_id % 20 IN (8, 17) AND page_id % 3 = 0 THEN 1 ELSE 0 END AS search_result_lists,
+  CASE WHEN page_id % 35 = 8 THEN 1 ELSE 0 END AS search_result_text, CASE WHEN page_id % 6 = 5 THEN 1 ELSE 0 END AS search_action,
   CASE WHEN page_id % 18 = 5 THEN 1 ELSE 0 END AS empty_headings,
   CAST(page_id % 4 AS INT) AS heading_skips,
   CASE page_id % 6 WHEN 0 THEN 'success' WHEN 1 THEN 'success' WHEN 2 THEN 'success' WHEN 3 THEN 'unstable' WHEN 4 THEN 'technical_error' ELSE NULL END AS render_status,

@@ -203,7 +203,7 @@ def _pattern_sql(condition, minimum, extra="true"):
     hit = f"(coalesce({HTML}, true) AND {extra} AND coalesce({condition}, false))"
     return f"""SELECT run_id, pattern_key, pattern_type, affected_count, avg_html_size, CAST(total AS BIGINT) AS total_in_pattern FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY affected_count DESC, total DESC, pattern_key, pattern_type) AS rn FROM (
       SELECT run_id, cluster_key AS pattern_key, page_type AS pattern_type, count_if({hit}) AS affected_count, round(avg(CASE WHEN {hit} THEN raw_html_size END), 2) AS avg_html_size, sum(count(*)) OVER (PARTITION BY run_id, cluster_key) AS total FROM {KEYED} k GROUP BY 1, 2, 3) a
-      WHERE affected_count >= {minimum} AND affected_count >= greatest(2.0, total * 0.5)) b WHERE rn <= 20"""
+      WHERE affected_count >= {minimum} AND affected_count >= greatest(2.0, total * 0.5)) b"""
 
 
 QUERIES["patterns_noindex"] = _simple(lambda s: TP.noindex_patterns(TP.with_cluster_key(inputs.pages(s))))

@@ -28,8 +28,8 @@ def last_attempts(attempts: Column) -> Column:
 
 
 def stability(attempts: Column) -> Column:
-    """confirmed, transient, insufficient_evidence or technical_error for an array of attempts."""
-    kept = last_attempts(attempts)
+    """confirmed, transient, insufficient_evidence or technical_error, from all attempts; only the stored history is cut."""
+    kept = attempts
     done = F.filter(kept, lambda item: item["final_status"].isNotNull())
     errors = F.size(F.filter(kept, lambda item: item["error_type"].isNotNull()))
     seen = F.size(F.array_distinct(F.transform(done, lambda item: item["final_status"])))

@@ -58,7 +58,7 @@ def text_pattern(text: Column) -> Column:
     low = F.lower(F.trim(text))
     masked = F.regexp_replace(F.regexp_replace(low, "[0-9]+", "{num}"), "[a-f0-9]{8,}", "{hash}")
     shape = F.trim(F.regexp_replace(masked, r"[^\p{L}\p{N}{}]+", " "))
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.left(shape, F.lit(220)))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", shape)
 
 
 def short_hash(text: Column) -> Column:

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from sitewright.config import AI_BOTS
 from sitewright.functions import url as U
+from sitewright.session import stored
 
 c = F.col
 # fixed values: limits of a sitemap file and words that name no project
-SITEMAP_MAX_BYTES = 50 * 1024 * 1024
+
 SITEMAP_MAX_LOCATIONS = 50_000
-SITEMAP_MAX_DEPTH = 4
 GENERIC_NAMES = r"(?i)^(llms(\.txt)?|documentation|docs|website|site|home|index|readme)$"
 TEXT_TYPES = r"(?i)^(text/plain|text/markdown|text/x-markdown|application/markdown)(;|$)"
 
@@ -69,7 +69,7 @@ def robots_directives(assets: DataFrame) -> DataFrame:
 def robots_state(assets: DataFrame) -> DataFrame:
     """State of a robots file from status, measurement and representation."""
     status, measured = c("status_code"), c("measurement_state")
-    html = F.left(F.coalesce(c("content"), F.lit("")), F.lit(4096)).rlike(r"(?i)<\s*!doctype\s+html|<\s*html(\s|>)")
+    html = F.coalesce(c("content"), F.lit("")).rlike(r"(?i)<\s*!doctype\s+html|<\s*html(\s|>)")
     state = (
         F.when(status.isNull() | (measured == "technical_error"), "technical_error").when(measured.isin("rate_limited", "transient", "unstable") | (status == 429) | (status >= 500), "temporarily_unreachable")
         .when(status.isin(404, 410), "absent").when(status.isin(401, 403), "access_restricted").when((status < 200) | (status >= 300), "unexpected_status").when(c("truncated") == 1, "truncated")
@@ -202,8 +202,6 @@ def _parse_document(payload) -> dict:
             raw = gzip.decompress(raw)
         except (OSError, EOFError):
             return failed("invalid", "gzip_decode_failed")
-    if len(raw) > SITEMAP_MAX_BYTES:
-        return failed("invalid", "uncompressed_size_limit_exceeded")
     text = raw.decode("utf-8", "replace").lstrip("﻿")
     if not text.strip():
         return failed("empty", "empty_document")
@@ -212,7 +210,7 @@ def _parse_document(payload) -> dict:
     try:
         root = ElementTree.fromstring(text.strip())
     except ElementTree.ParseError:
-        return failed("html" if re.search(r"<\s*html(\s|>)", text[:4096], re.I) else "invalid", "invalid_xml")
+        return failed("html" if re.search(r"<\s*html(\s|>)", text, re.I) else "invalid", "invalid_xml")
     local = lambda element: element.tag.rsplit("}", 1)[-1]
     name = local(root)
     if name not in ("urlset", "sitemapindex"):
@@ -262,19 +260,28 @@ def planned_urls(reconciled: DataFrame, cap: int, per_template: int | None = Non
     return ranked.where(c("position") <= cap)
 
 
-def expand_indexes(parsed: DataFrame, depth: int = SITEMAP_MAX_DEPTH) -> DataFrame:
-    """Files reachable from the files that no index names, level by level, without cycles, down to ``depth``."""
-    links = parsed.where((c("document_type") == "sitemapindex") & c("valid")).select("run_id", F.col("url").alias("parent"), F.explode(F.array_distinct("locations")).alias("child"))
-    known = parsed.select("run_id", "url", "document_type").dropDuplicates(["run_id", "url"])
-    named = links.where(c("parent") != c("child")).select("run_id", F.col("child").alias("url")).distinct()
-    level = known.join(named, ["run_id", "url"], "left_anti").select("run_id", "url", F.array("url").alias("path"), F.lit(0).alias("level"))
-    output = level
-    for step in range(1, depth + 1):
-        joined = level.select("run_id", F.col("url").alias("parent"), "path").join(links, ["run_id", "parent"])
-        level = joined.where(~F.array_contains("path", c("child"))).select("run_id", F.col("child").alias("url"), F.concat("path", F.array("child")).alias("path"), F.lit(step).alias("level"))
-        output = output.unionByName(level)
-    reached = output.groupBy("run_id", "url").agg(F.min("level").alias("level"))
-    return known.join(reached, ["run_id", "url"])
+def expand_indexes(parsed: DataFrame) -> DataFrame:
+    """Files reachable from the files that no index names, with the level at which each is first reached.
+
+    The references are parsed and stored once. Every level keeps only files not seen before, so cycles end and a file that
+    many indexes name is followed once; the walk goes on until a level adds nothing.
+    """
+    links = stored(
+        parsed.where((c("document_type") == "sitemapindex") & c("valid"))
+        .select("run_id", F.col("url").alias("parent"), F.explode("locations").alias("child")).where(c("parent") != c("child")).distinct()
+    )
+    known = stored(parsed.select("run_id", "url", "document_type").dropDuplicates(["run_id", "url"]))
+    named = links.select("run_id", F.col("child").alias("url")).distinct()
+    reached = stored(known.select("run_id", "url").join(named, ["run_id", "url"], "left_anti").withColumn("level", F.lit(0)))
+    level = 0
+    while True:
+        level += 1
+        ahead = reached.where(c("level") == level - 1).select("run_id", F.col("url").alias("parent")).join(links, ["run_id", "parent"])
+        fresh = ahead.select("run_id", F.col("child").alias("url")).distinct().join(reached.select("run_id", "url"), ["run_id", "url"], "left_anti")
+        fresh = stored(fresh.withColumn("level", F.lit(level)))
+        if fresh.isEmpty():
+            return known.join(reached, ["run_id", "url"])
+        reached = reached.unionByName(fresh)
 
 
 def sitemap_results(parsed: DataFrame, runs: DataFrame) -> DataFrame:
@@ -327,7 +334,7 @@ def analyze_llms(assets: DataFrame) -> DataFrame:
     rows = U.computed_once(assets, {"fold": folded, "internal_urls": F.size(internal)})
     kind = F.lower(F.trim(F.coalesce(c("content_type"), F.lit(""))))
     charset = F.regexp_extract(kind, r"""charset\s*=\s*["']?([^;"'\s]+)""", 1)
-    html = F.left(F.trim(text), F.lit(4096)).rlike(r"(?i)<\s*!doctype\s+html|<\s*html(\s|>)|<\s*(head|body|title)(\s|>)")
+    html = F.trim(text).rlike(r"(?i)<\s*!doctype\s+html|<\s*html(\s|>)|<\s*(head|body|title)(\s|>)")
     reasons = F.array_compact(
         F.array(
             F.when(F.trim(text) == "", F.lit("empty_or_whitespace_body")), F.when(html, F.lit("html_or_soft_error_representation")), F.when(~kind.rlike(TEXT_TYPES), F.lit("unsupported_content_type")),

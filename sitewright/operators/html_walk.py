@@ -1,8 +1,13 @@
-"""Per-page helper of the extraction job: one pass of the standard HTML tokenizer with an element stack."""
+"""Per-page helper of the extraction job: one pass of the standard HTML tokenizer with an element stack.
+
+The walk is linear in the page: open elements are counted by tag, implied ends pop the stack, and text goes to the few open
+headings, links, titles and scripts only.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -10,6 +15,13 @@ HIDDEN_TAGS = {"head", "script", "style", "noscript", "template", "svg"}
 HIDDEN_STYLE = re.compile(r"(display|visibility|content-visibility):(none|hidden)")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_PARAGRAPH = {"p", "div", "ul", "ol", "table", "section", "article", "nav", "header", "footer", "main", "form", "blockquote", "pre"} | HEADINGS
+BARRIERS = {"table", "caption", "td", "th", "html", "template", "object", "button", "marquee", "applet"}
+GATHERING = HEADINGS | {"a", "title", "script"}
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.IGNORECASE)
+# fixed values: what marks a search form and a list of results
+SEARCH_INPUTS = {"s", "q", "query", "search"}
+SEARCH_ACTION = re.compile(r"/(search|suche|site-search)(?:/|$)|[?&](s|q|query|search)=", re.IGNORECASE)
+RESULT_LIST = re.compile(r"search-results|search-result-list")
 
 
 def squeeze(text: str) -> str:
@@ -22,6 +34,13 @@ class PageWalk(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[dict] = []
+        self.open_tags: Counter[str] = Counter()
+        #: positions in the stack of open paragraphs, and of elements that a paragraph's implied end does not pass
+        self.paragraphs: list[int] = []
+        self.barriers: list[int] = []
+        #: open elements that gather text: headings, links, titles, scripts
+        self.gathering: list[dict] = []
+        self.forms: list[dict] = []
         self.titles: list[str] = []
         self.meta: list[dict] = []
         self.rels: list[dict] = []
@@ -38,8 +57,10 @@ class PageWalk(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         attributes = {name: (value or "") for name, value in attrs}
-        if tag in CLOSES_PARAGRAPH and self.stack and self.stack[-1]["tag"] == "p":
-            self.stack.pop()
+        if tag in CLOSES_PARAGRAPH and self.paragraphs and (not self.barriers or self.barriers[-1] < self.paragraphs[-1]):
+            self._pop_to(self.paragraphs[-1])
+        if tag == "a" or tag in HEADINGS:
+            self._end_gathering(HEADINGS if tag in HEADINGS else {"a"})
         parent = self.stack[-1] if self.stack else None
         style = re.sub(r"\s+", "", attributes.get("style", "").lower())
         hidden = bool(
@@ -49,12 +70,29 @@ class PageWalk(HTMLParser):
         folded = bool(parent and (parent["folded"] or (parent["tag"] == "details" and "open" not in parent["attrs"])) and tag != "summary")
         role = attributes.get("role", "")
         item = {
-            "tag": tag, "attrs": attributes, "hidden": hidden, "folded": folded, "text": [], "alts": [],
+            "tag": tag, "attrs": attributes, "hidden": hidden, "folded": folded, "text": [], "alts": [], "done": False,
             "main": bool(tag in ("main", "article") or role == "main" or (parent and parent["main"])), "body": bool(tag == "body" or (parent and parent["body"])),
+            "chrome": bool(tag in ("header", "nav", "footer") or (parent and parent["chrome"])),
         }
-        self.counts[tag] = self.counts.get(tag, 0) + 1
+        self._count(tag)
         if role:
-            self.counts[f"role:{role}"] = self.counts.get(f"role:{role}", 0) + 1
+            self._count(f"role:{role}")
+        self._note(tag, attributes, item)
+        if tag not in VOID:
+            position = len(self.stack)
+            self.stack.append(item)
+            self.open_tags[tag] += 1
+            if tag == "p":
+                self.paragraphs.append(position)
+            elif tag in BARRIERS:
+                self.barriers.append(position)
+            if tag in GATHERING:
+                self.gathering.append(item)
+
+    def _count(self, key: str) -> None:
+        self.counts[key] = self.counts.get(key, 0) + 1
+
+    def _note(self, tag: str, attributes: dict, item: dict) -> None:
         if tag == "html" and self.html_lang is None:
             self.html_lang = attributes.get("lang", "").strip() or None
         elif tag == "meta":
@@ -64,12 +102,19 @@ class PageWalk(HTMLParser):
         elif tag == "script" and attributes.get("src"):
             self.scripts.append(attributes["src"])
         elif tag == "img":
-            self.images.append(attributes | {"_hidden": hidden})
-            for outer in self.stack:
+            self.images.append(attributes | {"_hidden": item["hidden"]})
+            for outer in self.gathering:
                 if outer["tag"] in HEADINGS and "alt" in attributes:
                     outer["alts"].append(attributes["alt"])
-        if tag not in VOID:
-            self.stack.append(item)
+        elif tag == "form":
+            action = attributes.get("action", "").strip()
+            search = attributes.get("role", "").lower() == "search" or bool(SEARCH_ACTION.search(action))
+            self.forms.append({"search": search, "main": item["main"] and not item["chrome"], "chrome": item["chrome"]})
+        elif tag == "input" and self.forms and self.open_tags["form"]:
+            kind, role, name = (attributes.get(key, "").lower() for key in ("type", "role", "name"))
+            self.forms[-1]["search"] |= kind == "search" or role == "searchbox" or name in SEARCH_INPUTS
+        if RESULT_LIST.search(f"{attributes.get('class', '')} {attributes.get('id', '')}") or "data-search-results" in attributes:
+            self._count("search:result_lists")
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -77,19 +122,31 @@ class PageWalk(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for position in range(len(self.stack) - 1, -1, -1):
-            if self.stack[position]["tag"] == tag:
-                for item in reversed(self.stack[position:]):
-                    self._close(item)
-                del self.stack[position:]
-                return
+        if self.open_tags[tag]:
+            position = len(self.stack) - 1
+            while self.stack[position]["tag"] != tag:
+                position -= 1
+            self._pop_to(position)
+
+    def _pop_to(self, position: int) -> None:
+        """Closes the elements from the top of the stack down to a position."""
+        while len(self.stack) > position:
+            item = self.stack.pop()
+            self.open_tags[item["tag"]] -= 1
+            for places in (self.paragraphs, self.barriers):
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+            self._close(item)
+
+    def _end_gathering(self, tags: set[str]) -> None:
+        """A link ends at the next link and a heading at the next heading, even if its end tag is missing."""
+        for item in [x for x in self.gathering if x["tag"] in tags]:
+            self._close(item)
 
     def handle_data(self, data):
         inside = self.stack[-1] if self.stack else None
-        for outer in self.stack:
-            if outer["tag"] in HEADINGS and inside["hidden"] and not outer["hidden"]:
-                continue
-            if outer["tag"] in HEADINGS or outer["tag"] in ("a", "title", "script"):
+        for outer in self.gathering:
+            if not (outer["tag"] in HEADINGS and inside["hidden"] and not outer["hidden"]):
                 outer["text"].append(data)
         if inside is None or not inside["body"]:
             return
@@ -101,11 +158,15 @@ class PageWalk(HTMLParser):
                 self.main.append(data)
 
     def _close(self, item):
+        if item["tag"] not in GATHERING or item["done"]:
+            return
+        item["done"] = True
+        self.gathering = [x for x in self.gathering if x is not item]
         tag, attributes, text = item["tag"], item["attrs"], "".join(item["text"])
         if tag == "title" and not item["body"]:
             self.titles.append(squeeze(text))
         elif tag == "a" and "href" in attributes:
-            self.links.append({"href": attributes["href"], "anchor": squeeze(text)[:500], "rel": attributes.get("rel", "").strip()})
+            self.links.append({"href": attributes["href"], "anchor": squeeze(text), "rel": attributes.get("rel", "").strip()})
         elif tag == "script" and attributes.get("type", "").strip().lower() == "application/ld+json":
             self.blocks.append(text)
         elif tag in HEADINGS:
@@ -115,11 +176,20 @@ class PageWalk(HTMLParser):
 
     def finish(self) -> "PageWalk":
         self.close()
-        for item in reversed(self.stack):
-            self._close(item)
-        self.stack.clear()
+        self._pop_to(0)
+        searching = [form for form in self.forms if form["search"]]
+        self.counts |= {"search:forms": len(searching), "search:main_forms": sum(form["main"] for form in searching), "search:chrome_forms": sum(form["chrome"] for form in searching)}
         return self
 
+    def charset(self) -> str | None:
+        """Declared encoding: a charset attribute, or the one in an http-equiv content type."""
+        for item in self.meta:
+            if item.get("charset", "").strip():
+                return item["charset"].strip()
+            if item.get("http-equiv", "").lower() == "content-type" and (found := CHARSET.search(item.get("content", ""))):
+                return found[1]
+        return None
+
     def first_meta(self, key: str, name: str) -> str | None:
         for item in self.meta:
             if item.get(key, "").lower() == name and item.get("content", "").strip():

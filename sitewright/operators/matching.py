@@ -102,12 +102,11 @@ def candidates(mapped: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def coverage(mapped: DataFrame, scored: DataFrame, top: int = 8) -> DataFrame:
+def coverage(mapped: DataFrame, scored: DataFrame) -> DataFrame:
     """Coverage status per item from its best active candidates; several related ones lift the score by at most 22."""
     active = scored.where(c("status").isin("Warning", "Error"))
     order = Window.partitionBy("run_id", "item_id").orderBy(F.desc("direct"), F.desc("family_match"), F.desc("match_score"), F.desc("affected_count"), "finding_id")
-    first = active.withColumn("position", F.row_number().over(order)).where(c("position") <= top)
-    best = first.groupBy("run_id", "item_id").agg(
+    best = active.withColumn("position", F.row_number().over(order)).groupBy("run_id", "item_id").agg(
         F.max("match_score").alias("best"), F.count_distinct("check_id").alias("checks"), F.count_distinct(check_family(c("check_id"))).alias("families"), F.count(F.lit(1)).alias("related"), F.bool_or(c("direct") | c("family_match")).alias("mapped"), F.max("affected_count").alias("reach"),
         F.min_by("check_id", "position").alias("matched_check_id"),
     )

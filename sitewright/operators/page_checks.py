@@ -60,7 +60,7 @@ def prepare(pages: DataFrame) -> DataFrame:
     """Pages with the derived columns that several checks read: attempt stability, search class, listing by URL."""
     found = PT.classify_search(
         c("url"), c("page_type"), F.concat_ws(" ", c("title"), c("h1_text")), types=_array("schema_types"),
-        explicit_results=F.lit(0), main_forms=c("main_regions"), result_lists=c("nav_regions") - 1, search_action=F.lit(0), forms=c("nav_regions"),
+        explicit_results=c("search_result_text"), main_forms=c("main_search_forms"), result_lists=c("search_result_lists"), search_action=c("search_action"), forms=c("search_forms"),
     )
     return U.computed_once(
         pages,

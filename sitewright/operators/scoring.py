@@ -66,7 +66,7 @@ def name_of(rank: Column, table: dict[str, int]) -> Column:
 
 def clean_key(text: Column) -> Column:
     body = F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9._:-]+", "_")
-    return F.nullif(F.left(F.regexp_replace(body, "^_+|_+$", ""), F.lit(300)), F.lit(""))
+    return F.nullif(F.regexp_replace(body, "^_+|_+$", ""), F.lit(""))
 
 
 def scope_factor(count: Column, scope: Column) -> Column:

@@ -179,16 +179,14 @@ def canonical_patterns(pages: DataFrame) -> DataFrame:
     return specific.unionByName(sitewide)
 
 
-def simple_patterns(pages: DataFrame, condition: Column, minimum: int, top: int = 20, extra: Column | None = None) -> DataFrame:
+def simple_patterns(pages: DataFrame, condition: Column, minimum: int, extra: Column | None = None) -> DataFrame:
     """Templates in which a condition holds for ``minimum`` pages and at least half of the template."""
     html = F.coalesce(S.is_html(), F.lit(True))
     rows = _scoped(pages)
     hit = html & (extra if extra is not None else F.lit(True)) & F.coalesce(condition, F.lit(False))
     per_type = rows.groupBy("run_id", "pattern_key", "pattern_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("affected_count"), F.round(F.avg(F.when(hit, c("raw_html_size"))), 2).alias("avg_html_size"))
     totals = per_type.withColumn("total_in_pattern", F.sum("n").over(Window.partitionBy("run_id", "pattern_key")))
-    kept = totals.where((c("affected_count") >= minimum) & (c("affected_count") >= F.greatest(F.lit(2.0), c("total_in_pattern") * 0.5)))
-    order = Window.partitionBy("run_id").orderBy(F.desc("affected_count"), F.desc("total_in_pattern"), "pattern_key", "pattern_type")
-    return kept.withColumn("position", F.row_number().over(order)).where(c("position") <= top).drop("n", "position")
+    return totals.where((c("affected_count") >= minimum) & (c("affected_count") >= F.greatest(F.lit(2.0), c("total_in_pattern") * 0.5))).drop("n")
 
 
 def noindex_patterns(pages: DataFrame) -> DataFrame:

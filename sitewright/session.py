@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sitewright", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -39,3 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="sitewright-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written as Parquet into the shared folder and read back: a lost executor costs no more than its running tasks."""
+    path = f"{shared_folder(df.sparkSession)}/sitewright/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -39,20 +39,12 @@ def report_facts(pages: DataFrame) -> DataFrame:
     return pages.select("run_id", F.inline(pairs)).groupBy("run_id", "fact", "value").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def bundle(tables: dict[str, DataFrame], path: str, cap: int | None = None) -> DataFrame:
-    """Write all tables as JSON and return the manifest of row counts; ``cap`` bounds the rows kept per run and table."""
+def bundle(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Write all rows of all tables as JSON and return the manifest of row counts."""
     manifest = None
     for name, df in tables.items():
-        rows = df
-        if cap is not None:
-            order = Window.partitionBy("run_id").orderBy(*[column for column, kind in df.dtypes if kind in ("bigint", "int", "string") and column != "run_id"])
-            rows = df.withColumn("_rank", F.row_number().over(order)).where(c("_rank") <= cap).drop("_rank")
-        rows.write.mode("overwrite").json(f"{path}/{name}")
-        counted = df.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_rows")).withColumn("table_name", F.lit(name))
-        if cap is not None:
-            counted = counted.withColumn("stored_rows", F.least(c("total_rows"), F.lit(cap)))
-        else:
-            counted = counted.withColumn("stored_rows", c("total_rows"))
+        df.write.mode("overwrite").json(f"{path}/{name}")
+        counted = df.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_rows")).withColumn("table_name", F.lit(name)).withColumn("stored_rows", c("total_rows"))
         manifest = counted if manifest is None else manifest.unionByName(counted)
     return manifest
 

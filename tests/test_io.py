@@ -31,9 +31,9 @@ def test_import(spark, tmp_path):
 
 def test_bundle_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("r", i, ["x"]) for i in range(5)], "run_id string, n int, tags array<string>")
-    manifest = XP.bundle({"rows": df}, str(tmp_path / "bundle"), cap=3).collect()[0]
-    assert (manifest.total_rows, manifest.stored_rows) == (5, 3)
-    assert spark.read.json(str(tmp_path / "bundle" / "rows")).count() == 3
+    manifest = XP.bundle({"rows": df}, str(tmp_path / "bundle")).collect()[0]
+    assert (manifest.total_rows, manifest.stored_rows) == (5, 5)
+    assert spark.read.json(str(tmp_path / "bundle" / "rows")).count() == 5
     XP.write_table(df, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).where(c("tags") == '["x"]').count() == 5
 

@@ -119,3 +119,36 @@ def test_plan_does_not_depend_on_row_order(spark):
         random.Random(seed).shuffle(rows)
         plans.append(sorted(map(tuple, RN.render_plan(spark.createDataFrame(rows, schema), 7).collect())))
     assert plans[0] == plans[1] and len(plans[0]) == 7
+
+
+def test_page_walk_is_linear_and_uncut():
+    from sitewright.operators.html_walk import walk
+
+    heads = "".join(f"<h1>head {i}</h1>" for i in range(80))
+    page = walk(f"<html><head><meta http-equiv=Content-Type content='text/html; charset=latin1'></head><body><p><b>a<p>b{heads}<a href='/x'>{'word ' * 400}</a><main><form role=search></form></main>")
+    assert (len(page.headings), len(page.links[0]["anchor"]), page.charset(), page.counts["search:main_forms"]) == (80, 1999, "latin1", 1)
+    deep = walk("<body>" + "<p><b>text <i>" * 50_000)
+    assert deep.counts["p"] == 50_000 and len(deep.raw) == 50_000
+
+
+def test_deep_and_cyclic_sitemap_indexes(spark):
+    from sitewright.operators import assets
+
+    chain = [("r", f"s{i}", "sitemapindex", True, [f"s{i + 1}", f"s{max(0, i - 1)}"]) for i in range(7)] + [("r", "s7", "urlset", True, ["u"])]
+    rows = spark.createDataFrame([("r", "top", "sitemapindex", True, ["s0"]), *chain], "run_id string, url string, document_type string, valid boolean, locations array<string>")
+    assert {row.url: row.level for row in assets.expand_indexes(rows).collect()} == {"top": 0} | {f"s{i}": i + 1 for i in range(8)}
+
+
+def test_markup_far_into_a_robots_file(spark):
+    from sitewright.operators import assets
+
+    row = spark.createDataFrame([(200, "ok", "# x\n" * 3000 + "<html>", 0)], "status_code int, measurement_state string, content string, truncated int")
+    assert assets.robots_state(row).first().robots_state == "invalid_html_representation"
+
+
+def test_sitemap_of_many_bytes_keeps_its_locations():
+    from sitewright.operators.assets import _parse_document
+
+    body = "<urlset>" + "<url><loc>http://e.com/" + "a" * 1000 + "</loc></url>"
+    text = body + "<!--" + "x" * (51 * 1024 * 1024) + "--></urlset>"
+    assert len(_parse_document(text)["locations"]) == 1
