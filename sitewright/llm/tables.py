@@ -7,16 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.session import shared_folder
-
-LAST = (1 << 63) - 1
+from sitewright.session import shared_folder, stored
 
+__all__ = ["LAST", "load", "new_folder", "order_key", "shuffle_partitions", "stored", "stored_with", "text_key"]
 
-def stored(df: DataFrame) -> DataFrame:
-    """The frame written as Parquet into the shared folder and read back: a lost executor costs no more than its running tasks."""
-    path = new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+LAST = (1 << 63) - 1
 
 
 def stored_with(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
