@@ -1,3 +1,3 @@
-"""Site-audit analytics as Spark DataFrame operators."""
+"""Website analytics as Spark DataFrame operators."""
 
 __version__ = "0.1.0"

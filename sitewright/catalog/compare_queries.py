@@ -28,7 +28,7 @@ ORACLE["compare_schedule_pairs"] = f"SELECT * FROM {PAIRS} p"
 
 QUERIES["compare_comparability"] = _simple(lambda s: CP.comparability(_pairs(s), s.table("finding_runs")).withColumn("warnings", F.array_join("warnings", ",")))
 ORACLE["compare_comparability"] = f"""SELECT base_run, compare_run, CASE WHEN b.final_domain = c.final_domain THEN 'completed' ELSE 'not_comparable' END AS status, CASE WHEN b.final_domain = c.final_domain THEN concat_ws(',', CASE WHEN b.status <> 'completed' OR c.status <> 'completed' THEN 'incomplete_run' END,
-  CASE WHEN b.audit_type <> c.audit_type THEN 'audit_type_differs' END, CASE WHEN b.max_urls <> c.max_urls THEN 'crawl_configuration_differs' END, CASE WHEN b.lab_sampling <> c.lab_sampling OR b.browser_sampling <> c.browser_sampling THEN 'sampling_configuration_differs' END) ELSE 'different_domain' END AS warnings
+  CASE WHEN b.check_area <> c.check_area THEN 'check_area_differs' END, CASE WHEN b.max_urls <> c.max_urls THEN 'crawl_configuration_differs' END, CASE WHEN b.lab_sampling <> c.lab_sampling OR b.browser_sampling <> c.browser_sampling THEN 'sampling_configuration_differs' END) ELSE 'different_domain' END AS warnings
  FROM {PAIRS} p JOIN finding_runs b ON b.run_id = p.base_run JOIN finding_runs c ON c.run_id = p.compare_run"""
 
 SRANK = "CASE {0} WHEN 'OK' THEN 0 WHEN 'NA' THEN 1 WHEN 'Warning' THEN 2 WHEN 'Error' THEN 3 ELSE -1 END".format
@@ -88,7 +88,7 @@ QUERIES["compare_performance"] = _simple(lambda s: CP.performance_delta(_device(
 ORACLE["compare_performance"] = f"SELECT * FROM {PDELTA} p"
 
 ACT = "(status IN ('Warning', 'Error') AND coalesce(review_status, 'unreviewed') NOT IN ('false_positive', 'ignored'))"
-FC = f"""(SELECT run_id, count_if({ACT} AND status = 'Warning') AS warnings, count_if({ACT} AND status = 'Error') AS errors, count_if(review_recommended = 1) AS review_recommended, count_if({ACT} AND finding_type = 'core_issue') AS core_issues, count_if({ACT} AND audit_type = 'geo' AND (finding_type = 'opportunity' OR lower(category) LIKE '%geo%')) AS geo_opportunities,
+FC = f"""(SELECT run_id, count_if({ACT} AND status = 'Warning') AS warnings, count_if({ACT} AND status = 'Error') AS errors, count_if(review_recommended = 1) AS review_recommended, count_if({ACT} AND finding_type = 'core_issue') AS core_issues, count_if({ACT} AND check_area = 'geo' AND (finding_type = 'opportunity' OR lower(category) LIKE '%geo%')) AS geo_opportunities,
   count_if({ACT} AND (lower(category) LIKE '%security%' OR finding_type = 'best_practice')) AS security_best_practices, count_if({ACT} AND lower(category) LIKE '%media%') AS media_findings, count_if({ACT} AND (regexp_matches(lower(category), 'template performance|javascript & rendering') OR check_id LIKE 'template.%')) AS template_performance FROM site_findings GROUP BY 1)"""
 QUERIES["compare_finding_counts"] = _simple(lambda s: CP.finding_counts(s.table("site_findings")))
 ORACLE["compare_finding_counts"] = f"SELECT * FROM {FC} f"
@@ -117,7 +117,7 @@ DISP0 = f"(SELECT *, {DTYPE} AS dt FROM {EFF} e0)"
 IGN = "rs IN ('false_positive', 'ignored')"
 DISP1 = f"""(SELECT *, NOT {IGN} AND (es IN ('Warning', 'Error') OR (es = 'NA' AND review_recommended = 1 AND dt <> 'info')) AS rv, CASE WHEN {IGN} THEN 'all_findings' WHEN es = 'OK' THEN 'passed_checks' WHEN es = 'NA' THEN 'not_applicable' WHEN regexp_matches(tx, 'template performance|javascript & rendering|^template[.]') THEN 'template_performance'
   WHEN tx LIKE '%media%' THEN 'media_findings' WHEN tx LIKE '%security%' OR dt = 'best_practice' THEN 'security_best_practices' WHEN dt = 'core_issue' AND regexp_matches(tx, 'geo[.](robots_mentions_|robots_blocks_txt_files|llms_txt_)') THEN 'action_items'
-  WHEN audit_type = 'geo' OR dt = 'opportunity' OR regexp_matches(tx, 'geo|ai crawler policy|ai bot|speakable|llms|webmanifest|pwa') THEN 'geo_opportunities' WHEN dt = 'core_issue' THEN 'action_items' ELSE 'technical_appendix' END AS sec FROM {DISP0} d0)"""
+  WHEN check_area = 'geo' OR dt = 'opportunity' OR regexp_matches(tx, 'geo|ai crawler policy|ai bot|speakable|llms|webmanifest|pwa') THEN 'geo_opportunities' WHEN dt = 'core_issue' THEN 'action_items' ELSE 'technical_appendix' END AS sec FROM {DISP0} d0)"""
 DISP2 = f"""(SELECT *, CASE WHEN rs <> 'unreviewed' THEN rs WHEN NOT rv THEN 'not_required' ELSE 'unreviewed' END AS drs, CASE WHEN dt = 'opportunity' AND es IN ('Warning', 'Error') THEN 'Opportunity' ELSE es END AS ds, NOT {IGN} AND sec IN ('action_items', 'geo_opportunities', 'security_best_practices', 'media_findings', 'template_performance') AS ac, rv AND (review_recommended = 1 OR confidence IN ('low', 'medium')) AS drr FROM {DISP1} d1)"""
 DISP = f"(SELECT *, CASE WHEN act <> 'open' THEN act WHEN NOT rv OR drs = 'not_required' THEN 'none' ELSE 'open' END AS das FROM {DISP2} d2)"
 

@@ -1,4 +1,4 @@
-"""Queries over manual-audit matching, exports and imported facts."""
+"""Queries over matching with manual reviews, exports and imported facts."""
 
 from __future__ import annotations
 

@@ -49,16 +49,16 @@ ANN = f"""ann AS (SELECT b.*, CASE WHEN {OFF} THEN 'disabled' WHEN {SKIP} THEN C
    WHEN {SENSITIVE} AND render_exhausted > 0 THEN 'skipped_by_budget' WHEN evaluation_state = 'technical_error' OR ({SENSITIVE} AND render_unavailable > 0) THEN 'technical_error' ELSE 'not_executed' END AS execution_status,
   CASE WHEN {OFF} OR {SKIP} OR evaluation_state = 'not_applicable' THEN 'not_required' WHEN {DONE} THEN 'complete' WHEN evaluation_state = 'technical_error' OR ({SENSITIVE} AND render_unavailable > 0) THEN 'technical_error' WHEN {DIAG} THEN 'optional_unavailable' ELSE 'required_but_missing' END AS evidence_status,
   CASE WHEN {OFF} OR {SKIP} OR evaluation_state = 'not_applicable' THEN 'excluded' WHEN {DONE} THEN 'covered' WHEN {DIAG} THEN 'diagnostic_unavailable' ELSE 'uncovered' END AS coverage_status,
-  {_case('ec', CV.CLASS_WEIGHTS, 0)} AS cw FROM (SELECT f.*, r.* EXCLUDE (run_id, run_no, source_type, status, audit_type, finished_at), {CLASS} AS ec, {UNIT} AS cu FROM site_findings f JOIN finding_runs r ON r.run_id = f.run_id) b)"""
+  {_case('ec', CV.CLASS_WEIGHTS, 0)} AS cw FROM (SELECT f.*, r.* EXCLUDE (run_id, run_no, source_type, status, check_area, finished_at), {CLASS} AS ec, {UNIT} AS cu FROM site_findings f JOIN finding_runs r ON r.run_id = f.run_id) b)"""
 TEXT = "lower(category || ' ' || check_id)"
 CAT = f"""CASE WHEN regexp_matches({TEXT}, 'accessib') THEN 'accessibility' WHEN regexp_matches({TEXT}, 'security|hsts|content.security|frame|referrer|permissions') THEN 'security' WHEN regexp_matches({TEXT}, 'structured|schema|article|product|breadcrumb|faq') THEN 'structured_data'
  WHEN regexp_matches({TEXT}, 'performance|lighthouse|lcp|ttfb|javascript|render') THEN 'performance' WHEN regexp_matches({TEXT}, 'media|image|video') THEN 'media' WHEN regexp_matches({TEXT}, 'crawling|index|redirect|canonical|robots|sitemap') THEN 'crawling_indexing'
- WHEN regexp_matches({TEXT}, 'html head|meta|title|heading|h1') THEN 'html_meta' WHEN audit_type = 'geo' OR regexp_matches({TEXT}, 'geo|ai crawler|ai bot|llms|trust') THEN 'geo' WHEN {TEXT} LIKE '%content%' THEN 'content' WHEN regexp_matches({TEXT}, 'server|infrastructure|http') THEN 'technical_seo' ELSE 'other' END"""
+ WHEN regexp_matches({TEXT}, 'html head|meta|title|heading|h1') THEN 'html_meta' WHEN check_area = 'geo' OR regexp_matches({TEXT}, 'geo|ai crawler|ai bot|llms|trust') THEN 'geo' WHEN {TEXT} LIKE '%content%' THEN 'content' WHEN regexp_matches({TEXT}, 'server|infrastructure|http') THEN 'technical_seo' ELSE 'other' END"""
 SCOPE = """coalesce(scope_type, CASE WHEN check_id LIKE 'template.%' THEN 'template' WHEN check_id LIKE '%external%' THEN 'external' WHEN regexp_matches(check_id, 'image|resource|css|javascript|large_js') THEN 'resource'
  WHEN regexp_matches(check_id, 'https_reachable|http_to_https|www_non_www|robots|sitemap|header|not_found|compression|hsts|content_security') THEN 'sitewide' WHEN affected_count > 0 THEN 'url' ELSE 'unknown' END)"""
 PREP = f"""prep AS (SELECT *, {DONE} AND conf <> 'low' AND coverage_status = 'covered' AS reliable, coalesce(root_cause_key, CASE WHEN check_id LIKE '%article%' THEN 'structured_data.article_coverage' END, 'check.' || check_id) AS rck FROM (
   SELECT *, CASE WHEN severity IS NOT NULL THEN severity ELSE lower(priority) END AS sev, confidence AS conf, {CAT} AS ck, CASE WHEN {SCOPE} IN ('url', 'template', 'sitewide', 'resource', 'external', 'service', 'unknown') THEN {SCOPE} ELSE 'unknown' END AS sc FROM ann) p0),
- md AS (SELECT *, unnest(['overall', audit_type]) AS model FROM prep)"""
+ md AS (SELECT *, unnest(['overall', check_area]) AS model FROM prep)"""
 RC = f"""bc AS (SELECT run_id, model, rck, check_id, max(affected_count) AS ma, sum(affected_count) AS sa, max(occurrence_count) AS mo, sum(occurrence_count) AS so, max({_case('sev', SC.SEVERITY_RANK, 0)}) AS s, min({_case('conf', SC.CONFIDENCE_RANK, 1)}) AS k,
    max(({_case('sc', SC.SCOPE_RANK, 0)}, sc)) AS scope, count(DISTINCT finding_id) AS members, bool_and(finding_type <> 'core_issue') AS nocore,
    min((-{_case('sev', SC.SEVERITY_RANK, 0)}, {_case('finding_type', SC.TYPE_RANK, 9)}, -{_case('conf', SC.CONFIDENCE_RANK, 1)}, check_id, ck)) AS m FROM md WHERE evaluation_state = 'fail' AND reliable GROUP BY 1, 2, 3, 4),
@@ -127,16 +127,16 @@ ORACLE["score_exclusions"] = f"{BASE} SELECT run_id, model, CASE WHEN conf = 'lo
 QUERIES["score_memberships"] = _simple(SC.memberships)
 ORACLE["score_memberships"] = f"{BASE}, {RC} SELECT p.run_id, p.finding_id, p.check_id, p.rck AS root_cause_key, 'rc_' || left(sha256(p.rck), 16) AS root_cause_id, cap.pc AS primary_check_id, cap.applied AS applied_penalty FROM prep p JOIN cap ON cap.run_id = p.run_id AND cap.rck = p.rck AND cap.model = 'overall' WHERE p.evaluation_state = 'fail' AND p.reliable"
 
-KIND = f"(finding_type = 'opportunity' OR audit_type = 'geo' OR regexp_matches(lower(check_id || ' ' || category), 'geo|ai crawler|ai bot|speakable|llms|webmanifest|pwa'))"
+KIND = f"(finding_type = 'opportunity' OR check_area = 'geo' OR regexp_matches(lower(check_id || ' ' || category), 'geo|ai crawler|ai bot|speakable|llms|webmanifest|pwa'))"
 SECU = "(finding_type = 'best_practice' OR regexp_matches(lower(check_id || ' ' || category), 'security'))"
 QUERIES["score_legacy"] = _simple(lambda f, r: SC.legacy_scores(f))
 LEGACY = f"""SELECT run_id, model, CASE WHEN best > 0 THEN {_r('points / best * 100', 0)} END AS score, CASE WHEN conf > 0 THEN {_r('elig / conf * 100', 1)} ELSE 0.0 END AS coverage FROM (SELECT run_id, model, sum(CASE WHEN score IS NOT NULL THEN score * w END) AS points, sum(CASE WHEN score IS NOT NULL THEN 10 * w END) AS best, sum(w) AS conf, sum(CASE WHEN score IS NOT NULL THEN w END) AS elig
- FROM (SELECT *, unnest(['overall', audit_type]) AS model, (CASE WHEN {KIND} THEN 0.35 WHEN {SECU} THEN 0.5 WHEN finding_type = 'info' THEN 0.2 ELSE 1.0 END)::DOUBLE AS w FROM site_findings) a GROUP BY 1, 2) b"""
+ FROM (SELECT *, unnest(['overall', check_area]) AS model, (CASE WHEN {KIND} THEN 0.35 WHEN {SECU} THEN 0.5 WHEN finding_type = 'info' THEN 0.2 ELSE 1.0 END)::DOUBLE AS w FROM site_findings) a GROUP BY 1, 2) b"""
 ORACLE["score_legacy"] = LEGACY
 QUERIES["score_legacy_gated"] = _simple(lambda f, r: SC.gated_legacy_scores(f))
-ORACLE["score_legacy_gated"] = f"""SELECT run_id, model, {_r('sum(m.score * m.w) / sum(10 * m.w) * 100', 0)} AS score, count(*) AS representatives FROM (SELECT run_id, m, unnest(['overall', audit_type]) AS model FROM (
-  SELECT run_id, audit_type, unit, min_by(struct_pack(score := score, w := w), (score, CASE priority WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 ELSE 1 END, finding_id)) AS m FROM (
-   SELECT *, CASE WHEN root_cause_key IS NULL THEN finding_id ELSE audit_type || ':' || root_cause_key END AS unit, (CASE WHEN {KIND} THEN 0.25 WHEN {SECU} THEN 0.4 WHEN finding_type = 'info' THEN 0.15 ELSE 1.0 END)::DOUBLE * (CASE priority WHEN 'High' THEN 1.5 WHEN 'Low' THEN 0.25 ELSE 0.75 END)::DOUBLE AS w FROM site_findings WHERE {DONE} AND score IS NOT NULL) a GROUP BY 1, 2, 3) b) c GROUP BY 1, 2"""
+ORACLE["score_legacy_gated"] = f"""SELECT run_id, model, {_r('sum(m.score * m.w) / sum(10 * m.w) * 100', 0)} AS score, count(*) AS representatives FROM (SELECT run_id, m, unnest(['overall', check_area]) AS model FROM (
+  SELECT run_id, check_area, unit, min_by(struct_pack(score := score, w := w), (score, CASE priority WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 ELSE 1 END, finding_id)) AS m FROM (
+   SELECT *, CASE WHEN root_cause_key IS NULL THEN finding_id ELSE check_area || ':' || root_cause_key END AS unit, (CASE WHEN {KIND} THEN 0.25 WHEN {SECU} THEN 0.4 WHEN finding_type = 'info' THEN 0.15 ELSE 1.0 END)::DOUBLE * (CASE priority WHEN 'High' THEN 1.5 WHEN 'Low' THEN 0.25 ELSE 0.75 END)::DOUBLE AS w FROM site_findings WHERE {DONE} AND score IS NOT NULL) a GROUP BY 1, 2, 3) b) c GROUP BY 1, 2"""
 QUERIES["score_stored_runs"] = _simple(SC.stored_scores)
 ORACLE["score_stored_runs"] = f"""{ALL}, cur AS ({SCORES}), leg AS ({LEGACY}) SELECT r.run_id, CASE WHEN r.scoring_version IS NOT NULL THEN cur.score ELSE leg.score END AS score, CASE WHEN r.scoring_version IS NOT NULL THEN cur.score_status ELSE 'historical_unknown' END AS score_status
  FROM finding_runs r JOIN cur ON cur.run_id = r.run_id AND cur.model = 'overall' JOIN leg ON leg.run_id = r.run_id AND leg.model = 'overall'"""

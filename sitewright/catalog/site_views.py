@@ -148,7 +148,7 @@ SELECT host AS run_id, concat('https://', host) AS final_domain, host AS input_d
   CASE WHEN min(page_id) % 3 = 2 THEN 0 ELSE 1 END AS lab_sampling,
   CASE WHEN min(page_id) % 4 = 3 THEN 0 ELSE 1 END AS browser_sampling,
   CASE WHEN min(page_id) % 6 = 5 THEN 'import' ELSE 'crawl' END AS source_type,
-  CASE WHEN min(page_id) % 10 = 9 THEN 'tech' ELSE 'both' END AS audit_type,
+  CASE WHEN min(page_id) % 10 = 9 THEN 'tech' ELSE 'both' END AS check_area,
   CASE WHEN min(page_id) % 8 = 7 THEN 'failed' ELSE 'completed' END AS status,
   CAST(count(*) AS BIGINT) AS processed_urls, CAST(min(page_id) % 20 AS INT) AS schedule_id
 FROM raw_pages GROUP BY host
@@ -157,7 +157,7 @@ SELECT concat(lower(replace(n_name, ' ', '-')), '.empty.example') AS run_id,
   concat('https://', lower(replace(n_name, ' ', '-')), '.empty.example') AS final_domain,
   concat(lower(replace(n_name, ' ', '-')), '.empty.example') AS input_domain,
   1 AS store_all_links, 1 AS store_all_images, 1 AS store_all_resources, 1 AS store_headers, 1 AS use_browser,
-  1 AS lab_sampling, 1 AS browser_sampling, 'crawl' AS source_type, 'both' AS audit_type, 'failed' AS status,
+  1 AS lab_sampling, 1 AS browser_sampling, 'crawl' AS source_type, 'both' AS check_area, 'failed' AS status,
   CAST(0 AS BIGINT) AS processed_urls, CAST(n_nationkey % 20 AS INT) AS schedule_id
 FROM nation
 """
@@ -303,7 +303,7 @@ SELECT concat('run-', CAST(l_suppkey AS VARCHAR(20))) AS run_id, concat('f-', CA
     WHEN 14 THEN 'Security Best Practice' WHEN 15 THEN 'Template Performance & Rendering' WHEN 16 THEN 'Template Performance & Rendering' WHEN 17 THEN 'JavaScript & Rendering'
     WHEN 18 THEN 'Trust & Review Signals' WHEN 19 THEN 'JavaScript & Rendering' WHEN 20 THEN 'Server & Infrastructure' WHEN 21 THEN 'Trust & Contact Signals'
     WHEN 22 THEN 'HTML Head & Meta Opportunity' ELSE 'Crawling & Indexing' END AS category,
-  CASE WHEN l_partkey % 24 IN (10, 11, 12, 18, 21) THEN 'geo' ELSE 'tech' END AS audit_type,
+  CASE WHEN l_partkey % 24 IN (10, 11, 12, 18, 21) THEN 'geo' ELSE 'tech' END AS check_area,
   CASE WHEN l_returnflag = 'A' THEN 'OK' WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'Error' WHEN l_returnflag = 'R' THEN 'Warning' WHEN l_linestatus = 'O' AND l_linenumber < 3 THEN 'NA' ELSE 'Warning' END AS status,
   CASE WHEN l_returnflag = 'A' THEN 'pass' WHEN l_returnflag = 'R' THEN 'fail' WHEN l_linestatus = 'O' AND l_linenumber = 1 THEN 'not_applicable' WHEN l_linestatus = 'O' AND l_linenumber = 2 THEN 'technical_error' ELSE 'fail' END AS evaluation_state,
   CASE l_linenumber % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END AS priority,
@@ -394,7 +394,7 @@ SELECT concat('run-', CAST(s_suppkey AS VARCHAR(20))) AS run_id, concat('https:/
   CASE WHEN s_suppkey % 4 = 3 THEN 'import' ELSE 'crawl' END AS source_type, CASE WHEN s_suppkey % 3 = 2 THEN 0 ELSE 1 END AS lab_sampling,
   CASE WHEN s_suppkey % 5 = 4 THEN 0 ELSE 1 END AS browser_sampling, CAST(s_suppkey % 3 AS INT) AS render_required, CAST(s_suppkey % 2 AS INT) AS render_optional_open,
   CASE WHEN s_suppkey % 7 = 1 THEN 2 ELSE 0 END AS render_exhausted, CASE WHEN s_suppkey % 11 = 1 THEN 1 ELSE 0 END AS render_unavailable,
-  CASE WHEN s_suppkey % 9 = 8 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN s_suppkey % 6 = 5 THEN 'tech' ELSE 'both' END AS audit_type,
+  CASE WHEN s_suppkey % 9 = 8 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN s_suppkey % 6 = 5 THEN 'tech' ELSE 'both' END AS check_area,
   CAST(100 + s_suppkey % 3 AS INT) AS max_urls, CAST(1700000000 + s_suppkey * 3600 AS BIGINT) AS finished_at, CASE WHEN s_suppkey % 8 = 0 THEN 'root-cause-scoring-v3' ELSE NULL END AS scoring_version
 FROM supplier
 """

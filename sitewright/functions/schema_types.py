@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: direct parents of the types that the audit knows
+# fixed values: direct parents of the types that the checks know
 TYPE_PARENTS = {
     "Article": ("CreativeWork",),
     "BlogPosting": ("SocialMediaPosting", "Article"),

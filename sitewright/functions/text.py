@@ -19,17 +19,18 @@ def _nfkc_batch(values: pd.Series) -> pd.Series:
 
 
 def compatibility_form(text: Column) -> Column:
-    """Unicode NFKC form; the one text rule without a built-in expression."""
-    return F.pandas_udf(_nfkc_batch, "string")(text)
+    """Unicode NFKC form, the one text rule without a built-in expression. ASCII texts are their own form and stay in the JVM."""
+    other = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.coalesce(F.pandas_udf(_nfkc_batch, "string")(other), text)
 
 
-def head_text(text: Column, compatibility_forms: bool = False) -> Column:
-    """Comparable head value. Compatibility folding needs Python, so it is applied only when asked for."""
-    return collapse(compatibility_form(text) if compatibility_forms else text)
+def head_text(text: Column) -> Column:
+    """Comparable head value: compatibility forms folded, white space collapsed."""
+    return collapse(compatibility_form(text))
 
 
-def head_key(text: Column, compatibility_forms: bool = False) -> Column:
-    return F.lower(head_text(text, compatibility_forms))
+def head_key(text: Column) -> Column:
+    return F.lower(head_text(text))
 
 
 def visible_words(text: Column) -> Column:

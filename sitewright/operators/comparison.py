@@ -29,8 +29,8 @@ def schedule_pairs(runs: DataFrame) -> DataFrame:
 
 
 def comparability(pairs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Status of each pair and what limits it: domains, run states, audit types, crawl and sampling settings."""
-    fields = ["run_id", "final_domain", "status", "audit_type", "max_urls", "lab_sampling", "browser_sampling"]
+    """Status of each pair and what limits it: domains, run states, check areas, crawl and sampling settings."""
+    fields = ["run_id", "final_domain", "status", "check_area", "max_urls", "lab_sampling", "browser_sampling"]
     left = runs.select(*[F.col(f).alias(f"base_{f}") for f in fields])
     right = runs.select(*[F.col(f).alias(f"compare_{f}") for f in fields])
     joined = pairs.join(left, pairs["base_run"] == c("base_run_id")).join(right, pairs["compare_run"] == c("compare_run_id"))
@@ -38,7 +38,7 @@ def comparability(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     differs = lambda name: ~c(f"base_{name}").eqNullSafe(c(f"compare_{name}"))
     warnings = F.array_compact(
         F.array(
-            F.when((c("base_status") != "completed") | (c("compare_status") != "completed"), F.lit("incomplete_run")), F.when(differs("audit_type"), F.lit("audit_type_differs")),
+            F.when((c("base_status") != "completed") | (c("compare_status") != "completed"), F.lit("incomplete_run")), F.when(differs("check_area"), F.lit("check_area_differs")),
             F.when(differs("max_urls"), F.lit("crawl_configuration_differs")), F.when(differs("lab_sampling") | differs("browser_sampling"), F.lit("sampling_configuration_differs")),
         )
     )
@@ -172,7 +172,7 @@ def finding_counts(findings: DataFrame) -> DataFrame:
     kind = F.coalesce(c("finding_type"), F.lit("core_issue"))
     return findings.groupBy("run_id").agg(
         F.count_if(active & (c("status") == "Warning")).alias("warnings"), F.count_if(active & (c("status") == "Error")).alias("errors"), F.count_if(c("review_recommended") == 1).alias("review_recommended"),
-        F.count_if(active & (kind == "core_issue")).alias("core_issues"), F.count_if(active & (c("audit_type") == "geo") & ((kind == "opportunity") | low.contains("geo"))).alias("geo_opportunities"),
+        F.count_if(active & (kind == "core_issue")).alias("core_issues"), F.count_if(active & (c("check_area") == "geo") & ((kind == "opportunity") | low.contains("geo"))).alias("geo_opportunities"),
         F.count_if(active & (low.contains("security") | (kind == "best_practice"))).alias("security_best_practices"), F.count_if(active & low.contains("media")).alias("media_findings"),
         F.count_if(active & (low.rlike("template performance|javascript & rendering") | c("check_id").startswith("template."))).alias("template_performance"),
     )

@@ -17,12 +17,13 @@ FAMILIES = {"title": "html_meta.duplicate_title", "meta_description": "html_meta
 CHECK_IDS = {"title": "tech.duplicate_titles", "meta_description": "tech.duplicate_meta_descriptions"}
 
 
-def population(pages: DataFrame, field: str, compatibility_forms: bool = False) -> DataFrame:
+def population(pages: DataFrame, field: str) -> DataFrame:
     """Content pages with the comparable head value; incomplete and canonicalised pages are flagged, not dropped."""
     evaluated = CA.evaluate(CA.in_scope(pages)).withColumn("evaluated", S.complete_state())
     consolidated = c("evaluated") & ~c("canonical_missing") & (~c("canonical_self") | c("canonical_conflict"))
-    value = F.when(c("evaluated") & c(field).isNotNull(), TX.head_text(c(field), compatibility_forms))
-    rows = U.computed_once(evaluated, {"consolidated": consolidated, "head_value": value})
+    value = F.when(c("evaluated") & c(field).isNotNull(), TX.collapse(c("folded")))
+    folded = evaluated.withColumn("folded", TX.compatibility_form(c(field)))
+    rows = U.computed_once(folded, {"consolidated": consolidated, "head_value": value}).drop("folded")
     return rows.withColumn("head_key", F.lower(F.coalesce("head_value", F.lit(""))))
 
 

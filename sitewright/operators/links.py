@@ -32,17 +32,17 @@ def target_facts(pages: DataFrame, queue: DataFrame) -> DataFrame:
 
 
 def links_with_targets(links: DataFrame, pages: DataFrame, queue: DataFrame) -> DataFrame:
-    """Internal link occurrences with the facts of their targets.
+    """Targets of internal links with their occurrences and facts.
 
-    Navigation makes a few targets very popular, so occurrences are first reduced to one row per (source, target)
-    with a count; popular targets then join as a skewed key that adaptive execution can split.
+    Navigation makes a few targets very popular. The facts depend on the target alone, so occurrences are summed up for each
+    target, in part before the shuffle, and what joins is one row for each of them.
     """
-    edges = (
+    counts = (
         links.where(c("link_type") == "internal")
-        .groupBy("run_id", "source_url", F.col("normalized_target_url").alias("normalized_url"))
+        .groupBy("run_id", F.col("normalized_target_url").alias("normalized_url"))
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )
-    return edges.join(target_facts(pages, queue), ["run_id", "normalized_url"], "left")
+    return counts.join(target_facts(pages, queue), ["run_id", "normalized_url"], "left")
 
 
 def hydrate_links(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def status_checks(links: DataFrame, pages: DataFrame, queue: DataFrame, runs: Da
     broken = error & ((c("target_status") < 500) | (stable == "confirmed"))
     open_error = c("target_status").isNull() | c("target_status").isin(408, 429) | ((c("target_status") >= 500) & (stable != "confirmed"))
     rows = rows.select(
-        "run_id", "source_url", "normalized_url", "occurrences",
+        "run_id", "normalized_url", "occurrences",
         F.coalesce(redirect, F.lit(False)).alias("to_redirect"), c("target_initial_status").isNull().alias("redirect_open"),
         F.coalesce(broken, F.lit(False)).alias("to_error"), F.coalesce(open_error, F.lit(True)).alias("error_open"),
         (c("queue_status") == "failed").alias("failed"),

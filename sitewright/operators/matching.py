@@ -1,4 +1,4 @@
-"""Matching of findings with a manual audit: rule mapping, candidate scores, coverage of items, extra findings.
+"""Matching of findings with a manual review: rule mapping, candidate scores, coverage of items, extra findings.
 
 Candidates come from equi-joins on what can link an item with a finding: a mapped check, the family of a mapped check,
 or the category together with a shared word. A pair without any of these has no usable mapping signal and cannot cover

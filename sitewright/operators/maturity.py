@@ -101,7 +101,7 @@ def display_semantics(findings: DataFrame) -> DataFrame:
         F.when(ignored, "all_findings").when(status == "OK", "passed_checks").when(status == "NA", "not_applicable").when(text.rlike(r"template performance|javascript & rendering|^template\."), "template_performance")
         .when(text.contains("media"), "media_findings").when(text.contains("security") | (c("display_type") == "best_practice"), "security_best_practices").when(c("display_type") == "llm_assisted", "geo_opportunities")
         .when((c("display_type") == "core_issue") & text.rlike(r"geo\.(robots_mentions_|robots_blocks_txt_files|llms_txt_)"), "action_items")
-        .when((c("audit_type") == "geo") | (c("display_type") == "opportunity") | text.rlike("geo|ai crawler policy|ai bot|speakable|llms|webmanifest|pwa"), "geo_opportunities")
+        .when((c("check_area") == "geo") | (c("display_type") == "opportunity") | text.rlike("geo|ai crawler policy|ai bot|speakable|llms|webmanifest|pwa"), "geo_opportunities")
         .when(c("display_type") == "core_issue", "action_items").otherwise("technical_appendix")
     )
     rows = U.computed_once(rows, {"reviewable": reviewable, "report_section": section}).drop("_text")

@@ -1,4 +1,4 @@
-"""Checks over the page table, grouped by audit area. All of them run through ``evaluate_checks``."""
+"""Checks over the page table, grouped by area. All of them run through ``evaluate_checks``."""
 
 from __future__ import annotations
 

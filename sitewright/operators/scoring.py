@@ -78,13 +78,13 @@ def root_cause_id(key: Column) -> Column:
     return F.concat(F.lit("rc_"), F.left(F.sha2(F.coalesce(key, F.lit("unknown")), 256), F.lit(16)))
 
 
-def category_key(category: Column, check: Column, audit: Column) -> Column:
+def category_key(category: Column, check: Column, area: Column) -> Column:
     text = F.lower(F.concat_ws(" ", F.coalesce(category, F.lit("")), F.coalesce(check, F.lit(""))))
     return (
         F.when(text.rlike("accessib"), "accessibility").when(text.rlike("security|hsts|content.security|frame|referrer|permissions"), "security")
         .when(text.rlike("structured|schema|article|product|breadcrumb|faq"), "structured_data").when(text.rlike("performance|lighthouse|lcp|ttfb|javascript|render"), "performance")
         .when(text.rlike("media|image|video"), "media").when(text.rlike("crawling|index|redirect|canonical|robots|sitemap"), "crawling_indexing")
-        .when(text.rlike("html head|meta|title|heading|h1"), "html_meta").when((audit == "geo") | text.rlike("geo|ai crawler|ai bot|llms|trust"), "geo")
+        .when(text.rlike("html head|meta|title|heading|h1"), "html_meta").when((area == "geo") | text.rlike("geo|ai crawler|ai bot|llms|trust"), "geo")
         .when(text.rlike("content"), "content").when(text.rlike("server|infrastructure|http"), "technical_seo").otherwise("other")
     )
 
@@ -112,9 +112,9 @@ def family(check: Column) -> Column:
 def prepare(results: DataFrame, runs: DataFrame) -> DataFrame:
     """Normalised scoring columns of every result row."""
     rows = CV.annotate(results, runs)
-    names = results.select("check_id", "category", "audit_type").distinct()
-    facts = U.computed_once(names, {"category_key": category_key(c("category"), c("check_id"), c("audit_type")), "scope_when_hit": inferred_scope(c("check_id"), F.lit(1)), "scope_when_clear": inferred_scope(c("check_id"), F.lit(0))})
-    keys = ("check_id", "category", "audit_type")
+    names = results.select("check_id", "category", "check_area").distinct()
+    facts = U.computed_once(names, {"category_key": category_key(c("category"), c("check_id"), c("check_area")), "scope_when_hit": inferred_scope(c("check_id"), F.lit(1)), "scope_when_clear": inferred_scope(c("check_id"), F.lit(0))})
+    keys = ("check_id", "category", "check_area")
     facts = facts.select(*[c(name).alias(f"fact_{name}") for name in keys], "category_key", "scope_when_hit", "scope_when_clear")
     match = [c(name).eqNullSafe(c(f"fact_{name}")) for name in keys]
     rows = rows.join(facts, match[0] & match[1] & match[2]).drop(*[f"fact_{name}" for name in keys])
@@ -141,8 +141,8 @@ def prepare(results: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def per_model(prepared: DataFrame) -> DataFrame:
-    """Every row once for the overall model and once for its audit type."""
-    return prepared.withColumn("model", F.explode(F.array(F.lit("overall"), c("audit_type"))))
+    """Every row once for the overall model and once for its check area."""
+    return prepared.withColumn("model", F.explode(F.array(F.lit("overall"), c("check_area"))))
 
 
 def root_cause_key(explicit: Column, check: Column) -> Column:
@@ -329,10 +329,10 @@ def legacy_scores(results: DataFrame) -> DataFrame:
     """First historical model: weighted mean of the stored result scores."""
     kind, text = F.coalesce(c("finding_type"), F.lit("core_issue")), _type_text(results)
     weight = (
-        F.when((kind == "opportunity") | (c("audit_type") == "geo") | text.rlike("geo|ai crawler|ai bot|speakable|llms|webmanifest|pwa"), 0.35)
+        F.when((kind == "opportunity") | (c("check_area") == "geo") | text.rlike("geo|ai crawler|ai bot|speakable|llms|webmanifest|pwa"), 0.35)
         .when((kind == "best_practice") | text.rlike("security"), 0.5).when(kind == "info", 0.2).otherwise(1.0)
     )
-    rows = results.withColumn("w", weight).withColumn("model", F.explode(F.array(F.lit("overall"), c("audit_type"))))
+    rows = results.withColumn("w", weight).withColumn("model", F.explode(F.array(F.lit("overall"), c("check_area"))))
     known = c("score").isNotNull()
     total = rows.groupBy("run_id", "model").agg(
         F.sum(F.when(known, c("score") * c("w"))).alias("points"), F.sum(F.when(known, 10 * c("w"))).alias("best"), F.sum("w").alias("configured"), F.sum(F.when(known, c("w"))).alias("eligible"),
@@ -344,16 +344,16 @@ def gated_legacy_scores(results: DataFrame) -> DataFrame:
     """Second historical model: evaluated results only, one representative per deduplication key."""
     kind, text = F.coalesce(c("finding_type"), F.lit("core_issue")), _type_text(results)
     base = (
-        F.when((kind == "opportunity") | (c("audit_type") == "geo") | text.rlike("geo|ai crawler|ai bot|speakable|llms|webmanifest|pwa"), 0.25)
+        F.when((kind == "opportunity") | (c("check_area") == "geo") | text.rlike("geo|ai crawler|ai bot|speakable|llms|webmanifest|pwa"), 0.25)
         .when((kind == "best_practice") | text.rlike("security"), 0.4).when(kind == "info", 0.15).otherwise(1.0)
     )
     weight = base * F.when(c("priority") == "High", 1.5).when(c("priority") == "Low", 0.25).otherwise(0.75)
-    rows = results.withColumns({"w": weight, "unit": F.coalesce(F.concat_ws(":", c("audit_type"), c("root_cause_key")), c("audit_type"))})
+    rows = results.withColumns({"w": weight, "unit": F.coalesce(F.concat_ws(":", c("check_area"), c("root_cause_key")), c("check_area"))})
     rows = rows.withColumn("unit", F.when(c("root_cause_key").isNull(), c("finding_id")).otherwise(c("unit")))
     eligible = rows.where(c("evaluation_state").isin("pass", "fail") & c("score").isNotNull())
     order = F.struct(c("score"), lookup(c("priority"), {"High": 0, "Medium": 1, "Low": 2}, 1).alias("p"), c("finding_id"))
-    best = eligible.groupBy("run_id", "audit_type", "unit").agg(F.min_by(F.struct("score", "w"), order).alias("m")).select("run_id", "audit_type", c("m.score").alias("score"), c("m.w").alias("w"))
-    best = best.withColumn("model", F.explode(F.array(F.lit("overall"), c("audit_type"))))
+    best = eligible.groupBy("run_id", "check_area", "unit").agg(F.min_by(F.struct("score", "w"), order).alias("m")).select("run_id", "check_area", c("m.score").alias("score"), c("m.w").alias("w"))
+    best = best.withColumn("model", F.explode(F.array(F.lit("overall"), c("check_area"))))
     return best.groupBy("run_id", "model").agg(half_up(F.sum(c("score") * c("w")) / F.sum(10 * c("w")) * 100).alias("score"), F.count(F.lit(1)).alias("representatives"))
 
 

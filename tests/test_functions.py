@@ -78,7 +78,7 @@ def test_text(spark):
     got = values(spark, [("It's a well-known Über fact, 42!",)], "t string", TX.visible_words(c("t")), TX.text_pattern(c("t")))
     assert got == [(6, "it s a well known über fact {num}")]
     assert values(spark, [("alpha beta gamma", "beta gamma delta eps")], "a string, b string", TX.token_similarity(c("a"), c("b"))) == [(0.5,)]
-    assert values(spark, [("ﬁx  Ａ",)], "t string", TX.head_key(c("t"), compatibility_forms=True)) == [("fix a",)]
+    assert values(spark, [("ﬁx  Ａ",)], "t string", TX.head_key(c("t"))) == [("fix a",)]
 
 
 def test_schema_types(spark):

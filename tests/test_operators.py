@@ -69,7 +69,7 @@ def test_settling(spark):
 
 
 def _score(spark, rows):
-    schema = "run_id string, finding_id string, check_id string, category string, audit_type string, status string, evaluation_state string, priority string, confidence string, severity string, finding_type string, scope_type string, root_cause_key string, affected_count bigint, occurrence_count bigint"
+    schema = "run_id string, finding_id string, check_id string, category string, check_area string, status string, evaluation_state string, priority string, confidence string, severity string, finding_type string, scope_type string, root_cause_key string, affected_count bigint, occurrence_count bigint"
     context = spark.createDataFrame([("r", "crawl", 1, 1, 0, 0, 0, 0)], "run_id string, source_type string, lab_sampling int, browser_sampling int, render_required int, render_optional_open int, render_exhausted int, render_unavailable int")
     full = [("r", f"f{i}", check, "Crawling & Indexing", "tech", "Error", "fail", None, "high", severity, kind, "url", None, n, n) for i, (check, severity, kind, n) in enumerate(rows)]
     return SC.scores(spark.createDataFrame(full, schema), context).where("model = 'overall'").collect()[0]
