@@ -11,6 +11,7 @@ from sitewright.functions import misc as MI
 from sitewright.functions import page_type as PT
 from sitewright.functions import text as TX
 from sitewright.functions import url as U
+from sitewright.operators import comparison as CP
 from sitewright.operators import extraction as EX
 from sitewright.operators import structured_data as SD
 
@@ -92,8 +93,8 @@ QUERIES["fn_scope_factor"] = _simple(lambda s: s.table("site_findings").select("
 ORACLE["fn_scope_factor"] = "SELECT finding_id, floor(least(2.0, least(1.75, 1 + log10(greatest(1, affected_count)) * 0.25) * CASE coalesce(scope_type, 'unknown') WHEN 'template' THEN 1.15 WHEN 'sitewide' THEN 1.25 ELSE 1.0 END) * 10000 + 0.5) / 10000 AS factor, 'rc_' || left(sha256(check_id), 16) AS cause FROM site_findings"
 QUERIES["fn_hreflang_codes"] = _simple(lambda s: inputs.pages(s).select("page_id", F.explode("hreflang").alias("code")).select("page_id", "code", MI.hreflang_code(c("code")).alias("h")).select("page_id", "code", "h.language", "h.region", "h.is_default", "h.invalid"))
 ORACLE["fn_hreflang_codes"] = "SELECT page_id, code, CASE WHEN code = 'x-default' THEN 'x-default' ELSE code END AS language, NULL AS region, code = 'x-default' AS is_default, false AS invalid FROM (SELECT page_id, unnest(string_split(hreflang, ',')) AS code FROM site_pages WHERE hreflang <> '') x"
-QUERIES["fn_imported_values"] = _simple(lambda s: s.table("site_lab").select("page_id", "device", MI.imported_number(F.concat(F.format_number(c("lcp_ms"), 1), F.lit(" ms"))).alias("raw"), MI.imported_score(c("performance_score") * 100).alias("score"), MI.imported_flag(F.when(c("cls") > 0.2, "Indexable").otherwise("nein")).alias("flag")).drop("raw"))
-ORACLE["fn_imported_values"] = "SELECT page_id, device, CASE WHEN performance_score * 100 > 1 THEN round(performance_score * 100 / 100, 3) ELSE performance_score * 100 END AS score, cls > 0.2 AS flag FROM site_lab"
+QUERIES["fn_imported_values"] = _simple(lambda s: s.table("site_lab").select("page_id", "device", MI.imported_number(F.concat(F.floor(c("lcp_ms")).cast("string"), F.when(c("page_id") % 5 == 0, F.lit(",000,5 ms")).otherwise(F.lit(",5 %")))).alias("imported_number"), MI.imported_score(c("performance_score") * 100).alias("score"), MI.imported_flag(F.when(c("cls") > 0.2, "Indexable").otherwise("nein")).alias("flag")))
+ORACLE["fn_imported_values"] = "SELECT page_id, device, CASE WHEN page_id % 5 <> 0 THEN floor(lcp_ms) + 0.5 WHEN lcp_ms IS NOT NULL THEN floor(lcp_ms) + 0.0005 END AS imported_number, CASE WHEN performance_score * 100 > 1 THEN round(performance_score * 100 / 100, 3) ELSE performance_score * 100 END AS score, cls > 0.2 AS flag FROM site_lab"
 QUERIES["fn_bytes_and_risk"] = _simple(lambda s: s.table("site_resources").select("resource_id", MI.human_bytes(c("size_bytes")).alias("label"), MI.size_risk(c("size_bytes") * 1000).alias("risk")))
 ORACLE["fn_bytes_and_risk"] = "SELECT resource_id, CASE WHEN size_bytes IS NULL THEN NULL WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f KB', floor(size_bytes / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(size_bytes / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS label, CASE WHEN size_bytes * 1000 > 10737418240 THEN 'high' WHEN size_bytes * 1000 > 1073741824 THEN 'medium' ELSE 'low' END AS risk FROM site_resources"
 QUERIES["fn_url_patterns"] = _simple(lambda s: s.table("raw_pages").select("page_id", MI.url_filter(c("url"), include=("/blog/", "/^https.*[.]html/i", "suche"), exclude=("page=2",)).alias("verdict")))
@@ -112,4 +113,7 @@ ORACLE["fn_event_json"] = "SELECT event_id, coalesce(TRY_CAST(json_extract_strin
 QUERIES["fn_percentiles"] = _simple(lambda s: s.table("events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.percentile("value", 0.75), 4).alias("p75"), F.round(F.percentile("value", 0.9), 4).alias("p90"), F.round(F.percentile("value", 0.95), 4).alias("p95")))
 ORACLE["fn_percentiles"] = "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.75), 4) AS p75, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY 1"
 
+QUERIES["fn_json_summary"] = _simple(lambda s: s.table("events").select("event_id", CP.evidence_summary(F.concat(F.lit('{"list":[1,{"a":2}],"none":{},"props":'), c("props"), F.lit(',"text":"x"}'))).alias("summary")))
+ORACLE["fn_json_summary"] = "SELECT event_id, concat('list=#2;none=#0;props=#', CAST(len(json_keys(props)) AS VARCHAR), ';text=x') AS summary FROM events"
+
 ORACLE = {name: with_views(text) for name, text in ORACLE.items()}

@@ -7,7 +7,7 @@ from sitewright.catalog import oracle as O
 from sitewright.catalog.oracle import COMPLETE, CONTENT, HTML, OK, ROBOTS, SETTLED, check, failed, issue, state_case, union
 from sitewright.catalog.site_views import Site, with_views
 from sitewright.operators import page_checks
-from sitewright.operators.predicates import evaluate_checks
+from sitewright.operators.predicates import affected_rows, evaluate_checks
 
 QUERIES = {}
 ORACLE = {}
@@ -38,6 +38,22 @@ def _length(check_id, column, test):
     return issue(check_id, hit, pending=PENDING)
 
 
+def _details(spark, folder):
+    rows = inputs.pages(Site(spark, folder))
+    return affected_rows(rows, [found for found in page_checks.head_checks() if found.id in DETAILS], "run_id", "page_id", "url")
+
+
+DETAILS = {
+    "tech.title_missing": f"{SCOPED} AND {BLANK('title')}",
+    "tech.meta_description_missing": f"{SCOPED} AND {BLANK('meta_description')}",
+    "tech.html_lang_missing": f"{OK} AND {COMPLETE} AND {BLANK('html_lang')}",
+    "tech.title_too_short": f"{SCOPED} AND coalesce(title, '') <> '' AND length(title) < 20",
+    "tech.title_too_long": f"{SCOPED} AND coalesce(title, '') <> '' AND length(title) > 65",
+    "tech.h1_missing": f"{SCOPED} AND h1_count = 0",
+}
+QUERIES["detail_head_pages"] = _details
+ORACLE["detail_head_pages"] = union([f"SELECT run_id, page_id, url, '{check_id}' AS check_id FROM site_pages WHERE {hit}" for check_id, hit in DETAILS.items()])
+
 QUERIES["checks_head_and_meta"] = _family(page_checks.head_checks)
 ORACLE["checks_head_and_meta"] = union([
     issue("tech.title_missing", f"{SCOPED} AND {BLANK('title')}", scope=CONTENT, pending=PENDING, fail="'Error'", evidence=("scope", "open")),

@@ -13,8 +13,8 @@ __all__ = ["human_bytes", "hreflang_code", "imported_flag", "imported_list", "im
 
 
 def imported_number(text: Column) -> Column:
-    """Number of an exported cell: percent sign dropped, decimal comma read as a point."""
-    clean = F.regexp_replace(F.replace(F.replace(text.cast("string"), F.lit("%"), F.lit("")), F.lit(","), F.lit(".")), r"[^\d.\-]", "")
+    """Number of an exported cell: percent sign dropped, the first comma read as a point."""
+    clean = F.regexp_replace(F.regexp_replace(F.replace(text.cast("string"), F.lit("%"), F.lit("")), "^([^,]*),", "$1."), r"[^\d.\-]", "")
     return F.nullif(clean, F.lit("")).try_cast("double")
 
 

@@ -94,13 +94,11 @@ def findings_delta(findings: DataFrame, pairs: DataFrame) -> DataFrame:
     return output
 
 
-def sample_diff(base: Column, compare: Column, limit: int = 50) -> Column:
+def sample_diff(base: Column, compare: Column) -> Column:
     """Added, removed and still affected sample URLs."""
     empty = F.array().cast("array<string>")
     before, after = F.coalesce(base, empty), F.coalesce(compare, empty)
-    return F.struct(
-        F.slice(F.array_except(after, before), 1, limit).alias("added"), F.slice(F.array_except(before, after), 1, limit).alias("removed"), F.slice(F.array_intersect(after, before), 1, limit).alias("still_affected")
-    )
+    return F.struct(F.array_except(after, before).alias("added"), F.array_except(before, after).alias("removed"), F.array_intersect(after, before).alias("still_affected"))
 
 
 def _latest(pages: DataFrame) -> DataFrame:
@@ -225,11 +223,12 @@ def snapshot_regressions(urls: DataFrame, performance: DataFrame) -> DataFrame:
     return joined.select("run_id", F.inline(rules))
 
 
-def evidence_summary(evidence: Column, keys: tuple[str, ...]) -> Column:
-    """Scalars kept, arrays and objects reduced to their sizes, for the named keys of a JSON object."""
-    parts = []
-    for key in keys[:8]:
-        value = F.get_json_object(evidence, f"$.{key}")
-        size = F.coalesce(F.json_array_length(value), F.size(F.json_object_keys(value)))
-        parts.append(F.when(value.isNotNull(), F.concat(F.lit(f"{key}="), F.when(value.rlike(r"^\s*[\[{]"), F.concat(F.lit("#"), size.cast("string"))).otherwise(value))))
-    return F.concat_ws(";", *parts)
+def evidence_summary(evidence: Column) -> Column:
+    """A JSON object with scalars kept and arrays and objects reduced to their sizes, keys in order."""
+    def short(key: Column, value: Column) -> Column:
+        items = F.json_array_length(value)
+        size = F.when(value.rlike(r"^\s*\["), items).when(value.rlike(r"^\s*\{"), F.size(F.json_object_keys(value)))
+        return F.concat(key, F.lit("="), F.when(size.isNotNull(), F.concat(F.lit("#"), size.cast("string"))).otherwise(value))
+
+    pairs = F.array_sort(F.map_entries(F.from_json(evidence, "map<string,string>")))
+    return F.array_join(F.transform(pairs, lambda pair: short(pair["key"], pair["value"])), ";")

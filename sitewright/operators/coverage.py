@@ -105,14 +105,15 @@ def check_facts(results: DataFrame) -> DataFrame:
     return U.computed_once(results.select("check_id").distinct(), columns)
 
 
-def annotate(results: DataFrame, runs: DataFrame) -> DataFrame:
+def annotate(results: DataFrame, runs: DataFrame, checks: DataFrame | None = None) -> DataFrame:
     """Evidence class, coverage unit and the execution, evidence and coverage status of every result.
 
     ``runs`` gives per run: source_type, lab_sampling, browser_sampling and the render plan counts render_required,
-    render_optional_open, render_exhausted, render_unavailable. It is one row per run and joins by hash.
+    render_optional_open, render_exhausted, render_unavailable. It is one row per run and joins by hash. ``checks`` may give the
+    distinct check ids, so that the results are not read again for them.
     """
     context = runs.select("run_id", "source_type", "lab_sampling", "browser_sampling", "render_required", "render_optional_open", "render_exhausted", "render_unavailable")
-    rows = results.join(context, "run_id", "left").join(check_facts(results), "check_id")
+    rows = results.join(context, "run_id", "left").join(check_facts(results if checks is None else checks), "check_id")
     check, state = c("check_id"), c("evaluation_state")
     kind = F.when(F.coalesce(c("render_required"), F.lit(0)) > 0, c("class_when_rendered")).otherwise(c("class_plain"))
     rows = rows.withColumn("evidence_class", kind)

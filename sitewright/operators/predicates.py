@@ -264,9 +264,10 @@ def evaluate_checks(
     )
 
 
-def affected_rows(rows: DataFrame, check: Check) -> DataFrame:
-    """Detail rows behind one check: the rows its sample measure selects."""
-    return rows.where(F.coalesce(check.measures[check.sample or "hit"], F.lit(False)))
+def affected_rows(rows: DataFrame, checks: list[Check], *columns: str) -> DataFrame:
+    """All detail rows behind the checks: a row with each check whose sample measure selects it, from one scan."""
+    hits = [F.when(F.coalesce(check.measures[check.sample or "hit"], F.lit(False)), F.lit(check.id)) for check in checks]
+    return rows.select(*columns, F.explode(F.array_compact(F.array(*hits))).alias("check_id"))
 
 
 def availability(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import url as U
 from sitewright.operators import coverage as CV
+from sitewright.session import stored
 
 c = F.col
 
@@ -110,9 +111,13 @@ def family(check: Column) -> Column:
 
 
 def prepare(results: DataFrame, runs: DataFrame) -> DataFrame:
-    """Normalised scoring columns of every result row."""
-    rows = CV.annotate(results, runs)
-    names = results.select("check_id", "category", "check_area").distinct()
+    """Normalised scoring columns of every result row.
+
+    What depends on the check alone is worked out on the distinct checks. They are stored, so their size is known when the join
+    is planned: a small table is broadcast, and the results are not shuffled by a handful of keys.
+    """
+    names = stored(results.select("check_id", "category", "check_area").distinct())
+    rows = CV.annotate(results, runs, names)
     facts = U.computed_once(names, {"category_key": category_key(c("category"), c("check_id"), c("check_area")), "scope_when_hit": inferred_scope(c("check_id"), F.lit(1)), "scope_when_clear": inferred_scope(c("check_id"), F.lit(0))})
     keys = ("check_id", "category", "check_area")
     facts = facts.select(*[c(name).alias(f"fact_{name}") for name in keys], "category_key", "scope_when_hit", "scope_when_clear")
@@ -278,7 +283,7 @@ def run_coverage(modelled: DataFrame, units: DataFrame) -> DataFrame:
 
 def scores(results: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per run and model: coverage, penalties and the score (NULL when coverage is insufficient)."""
-    modelled = per_model(prepare(results, runs))
+    modelled = per_model(stored(prepare(results, runs)))
     causes = apply_caps(root_causes(modelled))
     penalties = causes.groupBy("run_id", "model").agg(exact_sum(c("raw_penalty")).alias("raw"), exact_sum(c("applied_penalty")).alias("applied"), F.count(F.lit(1)).alias("root_causes"))
     joined = run_coverage(modelled, coverage_units(modelled)).join(penalties, ["run_id", "model"], "left")
@@ -290,7 +295,7 @@ def scores(results: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def category_breakdown(results: DataFrame, runs: DataFrame) -> DataFrame:
-    modelled = per_model(prepare(results, runs))
+    modelled = per_model(stored(prepare(results, runs)))
     causes = apply_caps(root_causes(modelled))
     key = ["run_id", "model", "category_key"]
     penalties = causes.groupBy(*key).agg(exact_sum(c("raw_penalty")).alias("raw"), exact_sum(c("applied_penalty")).alias("applied"), F.count(F.lit(1)).alias("root_causes"))
@@ -313,9 +318,10 @@ def exclusions(results: DataFrame, runs: DataFrame) -> DataFrame:
 
 def memberships(results: DataFrame, runs: DataFrame) -> DataFrame:
     """Failing results with the root cause they belong to, written back per finding."""
-    rows = prepare(results, runs).where((c("evaluation_state") == "fail") & c("reliable"))
+    prepared = stored(prepare(results, runs))
+    rows = prepared.where((c("evaluation_state") == "fail") & c("reliable"))
     keyed = rows.withColumn("root_cause_key", root_cause_key(c("explicit_key"), c("check_id")))
-    causes = apply_caps(root_causes(prepare(results, runs).withColumn("model", F.lit("overall"))))
+    causes = apply_caps(root_causes(prepared.withColumn("model", F.lit("overall"))))
     return keyed.select("run_id", "finding_id", "check_id", "root_cause_key").join(causes.select("run_id", "root_cause_key", "root_cause_id", "primary_check_id", "applied_penalty"), ["run_id", "root_cause_key"])
 
 
