@@ -140,7 +140,7 @@ ORACLE["review_latest"] = "SELECT run_id, check_id AS finding_id, max_by(review_
 
 CONTRA = "(es = 'OK' AND regexp_matches(lower(finding), 'status recorded: (4|5)[0-9][0-9]|not found|not explicitly mentioned'))"
 MISS = "(es <> 'OK' AND regexp_matches(lower(check_id || ' ' || finding), '(^|[^a-z0-9_])(missing|without)([^a-z0-9_]|$)|_missing([^a-z0-9_]|$)|not found|not explicitly mentioned'))"
-MCAT = "CASE check_id " + " ".join(f"WHEN '{check}' THEN '{name}'" for name, ids in MT.CATEGORY_CHECKS.items() for check in ids.split()) + " ELSE 'uncategorized' END"
+MCAT = "CASE check_id " + " ".join(f"WHEN '{check}' THEN '{name}'" for name, ids in MT.CATEGORY_CHECKS.items() for check in ids) + " ELSE 'uncategorized' END"
 PTS = f"""(SELECT *, CASE WHEN es = 'NA' OR sec = 'not_applicable' THEN NULL WHEN {CONTRA} THEN 1 WHEN check_id IN ('geo.llms_txt_present', 'geo.robots_mentions_gptbot') THEN CASE WHEN es = 'OK' THEN 10 ELSE 1 END WHEN {MISS} THEN 1 WHEN es = 'OK' THEN 10 WHEN dt IN ('opportunity', 'best_practice') THEN 6 WHEN es = 'Warning' THEN 4 WHEN es = 'Error' THEN 1 END AS pt,
   CASE WHEN {CONTRA} THEN 'Warning' ELSE CASE WHEN es IN ('NA', 'OK') THEN es ELSE ds END END AS ms, {MCAT} AS mc FROM {DISP} d)"""
 WT = "CASE mc " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MT.CATEGORY_WEIGHT.items()) + " END"

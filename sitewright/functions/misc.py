@@ -58,14 +58,22 @@ def url_filter(url: Column, include: tuple[str, ...] = (), exclude: tuple[str, .
     return F.when(any_of(hit(exclude)), "excluded").when(F.lit(not include) | any_of(hit(include)), "included").otherwise("not_included")
 
 
-def next_due(last: Column, frequency: Column, interval: Column) -> Column:
-    """Next run of a daily, weekly or monthly schedule; a month that is too short ends on its last day."""
-    day = F.to_date(last)
-    clock = F.unix_timestamp(last) - F.unix_timestamp(day.cast("timestamp"))
+def next_due(last: Column, frequency: Column, interval: Column, zone: str = "UTC") -> Column:
+    """Next run of a daily, weekly or monthly schedule at the same local time; a month that is too short ends on its last day.
+
+    Days and months are added in the schedule's zone, so the hour stays when the clocks change. Timestamps are in UTC.
+    """
+    local = F.from_utc_timestamp(last, zone)
+    day = F.to_date(local)
+    clock = F.unix_timestamp(local) - F.unix_timestamp(day.cast("timestamp"))
     moved = F.when(frequency == "daily", F.date_add(day, interval)).when(frequency == "weekly", F.date_add(day, interval * 7)).otherwise(F.add_months(day, interval))
-    return F.timestamp_seconds(F.unix_timestamp(moved.cast("timestamp")) + clock)
+    return F.to_utc_timestamp(F.timestamp_seconds(F.unix_timestamp(moved.cast("timestamp")) + clock), zone)
 
 
+def is_due(next_run: Column, now: Column) -> Column:
+    """A schedule without a next run, or with one that has come, is due."""
+    return F.coalesce(next_run <= now, F.lit(True))
+
 def human_bytes(size: Column) -> Column:
     return (
         F.when(size.isNull(), F.lit(None)).when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, F.format_string("%.1f KB", half_up(size / 1024.0, 1)))

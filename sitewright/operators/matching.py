@@ -17,25 +17,120 @@ from sitewright.operators.maturity import CATEGORY_CHECKS
 c = F.col
 # fixed values: mapping rules (pattern, category, checks, needs)
 RULES = {
-    "title": ("title|titel|seitentitel", "html-head", "tech.title_missing tech.title_too_short tech.title_too_long tech.duplicate_titles template.title_pattern_issue", ""),
-    "meta-description": ("meta.?description|meta.?beschreibung|description tag|description length", "html-head", "tech.meta_description_missing tech.meta_description_too_short tech.meta_description_too_long tech.duplicate_meta_descriptions template.meta_pattern_issue", ""),
-    "h1": (r"\bh1\b|headline", "html-head", "tech.h1_missing tech.multiple_h1", ""),
-    "noindex": ("noindex|nicht indexierbar|indexierbarkeit|indexability", "technical-seo", "tech.noindex_pages template.noindex_pattern", ""),
-    "canonical": ("canonical|kanonisch", "technical-seo", "tech.canonical_missing tech.canonical_non_self tech.canonical_to_other_domain tech.canonical_target_non_200 template.canonical_pattern_issue", ""),
-    "status-redirect": ("status.?code|4xx|5xx|redirect|weiterleitung|server.?error", "technical-seo", "tech.status_code_distribution tech.4xx_pages tech.5xx_pages tech.redirect_pages", ""),
-    "internal-links": ("internal link|interne link|broken link|3xx|4xx|orphan", "technical-seo", "tech.internal_links_to_3xx tech.internal_links_to_4xx_5xx tech.orphan_like_sitemap_urls", ""),
-    "robots-sitemap-pagination": (r"robots\.txt|sitemap|pagination|rel=next|paginated", "technical-seo", "tech.robots_txt_present tech.sitemap_present tech.sitemap_in_robots tech.sitemap_urls_non_200", ""),
-    "schema": ("schema|structured data|strukturierte daten|json.?ld", "structured-data", "tech.schema_types_coverage_summary tech.json_ld_parse_errors template.schema_missing_pattern", ""),
-    "article-schema": ("article schema|artikel.?schema|blog.*article", "structured-data", "tech.article_coverage_on_article_like_pages geo.article_blog_pages_article_schema template.schema_missing_pattern", ""),
-    "image-alt": ("alt.?text|fehlende alt|image alt|bilder.*alt", "media-performance", "tech.images_without_alt tech.empty_alt_texts", ""),
-    "security-headers": ("security|hsts|csp|content security|x-frame|x-content|referrer|permissions policy", "security-server", "tech.hsts_header tech.content_security_policy tech.x_frame_options tech.x_content_type_options tech.referrer_policy tech.permissions_policy", ""),
-    "cache-cdn": ("cache|cdn|edge|expires|x-cache|cf-cache", "media-performance", "tech.cache_control_header tech.cdn_cache_signals", ""),
-    "crux-psi": ("crux|psi|page.?speed|core web vitals|lcp|inp|field data", "media-performance", "template.low_lighthouse_performance template.high_lcp template.high_tbt", "external"),
-    "open-graph": (r"open graph|\bog:|social preview|social metadata", "html-head", "tech.open_graph_basics_missing", ""),
-    "consent-privacy-tagmanager": ("consent|cookie banner|cookiebot|onetrust|tag manager|gtm|gdpr|dsgvo", "consent-privacy", "tech.consent_technical_signals", "human"),
-    "llms": (r"llms\.txt|llms-full|markdown twin", "geo-readiness", "geo.llms_txt_present geo.llms_txt_http_status geo.llms_full_txt_present geo.markdown_twin_homepage", ""),
-    "ai-bots": ("ai bot|gptbot|oai-searchbot|chatgpt-user|claudebot|perplexity|google-extended|ccbot|applebot|bytespider|crawler policy", "ai-crawler-policy", CATEGORY_CHECKS["ai-crawler-policy"], ""),
-    "trust-entity": ("e-?e-?a-?t|trust|author|external source|entity|brand|about|kontakt|contact|impressum|datenschutz", "trust-entity", "trust.eeat_signal_summary geo.impressum_linked geo.datenschutz_linked geo.about_linked geo.contact_linked geo.source_or_external_links_present geo.author_hints_present", "human"),
+    "title": (
+        "title|titel|seitentitel",
+        "html-head",
+        ("tech.title_missing", "tech.title_too_short", "tech.title_too_long", "tech.duplicate_titles", "template.title_pattern_issue"),
+        "",
+    ),
+    "meta-description": (
+        "meta.?description|meta.?beschreibung|description tag|description length",
+        "html-head",
+        ("tech.meta_description_missing", "tech.meta_description_too_short", "tech.meta_description_too_long", "tech.duplicate_meta_descriptions", "template.meta_pattern_issue"),
+        "",
+    ),
+    "h1": (
+        r"\bh1\b|headline",
+        "html-head",
+        ("tech.h1_missing", "tech.multiple_h1"),
+        "",
+    ),
+    "noindex": (
+        "noindex|nicht indexierbar|indexierbarkeit|indexability",
+        "technical-seo",
+        ("tech.noindex_pages", "template.noindex_pattern"),
+        "",
+    ),
+    "canonical": (
+        "canonical|kanonisch",
+        "technical-seo",
+        ("tech.canonical_missing", "tech.canonical_non_self", "tech.canonical_to_other_domain", "tech.canonical_target_non_200", "template.canonical_pattern_issue"),
+        "",
+    ),
+    "status-redirect": (
+        "status.?code|4xx|5xx|redirect|weiterleitung|server.?error",
+        "technical-seo",
+        ("tech.status_code_distribution", "tech.4xx_pages", "tech.5xx_pages", "tech.redirect_pages"),
+        "",
+    ),
+    "internal-links": (
+        "internal link|interne link|broken link|3xx|4xx|orphan",
+        "technical-seo",
+        ("tech.internal_links_to_3xx", "tech.internal_links_to_4xx_5xx", "tech.orphan_like_sitemap_urls"),
+        "",
+    ),
+    "robots-sitemap-pagination": (
+        r"robots\.txt|sitemap|pagination|rel=next|paginated",
+        "technical-seo",
+        ("tech.robots_txt_present", "tech.sitemap_present", "tech.sitemap_in_robots", "tech.sitemap_urls_non_200"),
+        "",
+    ),
+    "schema": (
+        "schema|structured data|strukturierte daten|json.?ld",
+        "structured-data",
+        ("tech.schema_types_coverage_summary", "tech.json_ld_parse_errors", "template.schema_missing_pattern"),
+        "",
+    ),
+    "article-schema": (
+        "article schema|artikel.?schema|blog.*article",
+        "structured-data",
+        ("tech.article_coverage_on_article_like_pages", "geo.article_blog_pages_article_schema", "template.schema_missing_pattern"),
+        "",
+    ),
+    "image-alt": (
+        "alt.?text|fehlende alt|image alt|bilder.*alt",
+        "media-performance",
+        ("tech.images_without_alt", "tech.empty_alt_texts"),
+        "",
+    ),
+    "security-headers": (
+        "security|hsts|csp|content security|x-frame|x-content|referrer|permissions policy",
+        "security-server",
+        ("tech.hsts_header", "tech.content_security_policy", "tech.x_frame_options", "tech.x_content_type_options", "tech.referrer_policy", "tech.permissions_policy"),
+        "",
+    ),
+    "cache-cdn": (
+        "cache|cdn|edge|expires|x-cache|cf-cache",
+        "media-performance",
+        ("tech.cache_control_header", "tech.cdn_cache_signals"),
+        "",
+    ),
+    "crux-psi": (
+        "crux|psi|page.?speed|core web vitals|lcp|inp|field data",
+        "media-performance",
+        ("template.low_lighthouse_performance", "template.high_lcp", "template.high_tbt"),
+        "external",
+    ),
+    "open-graph": (
+        r"open graph|\bog:|social preview|social metadata",
+        "html-head",
+        ("tech.open_graph_basics_missing",),
+        "",
+    ),
+    "consent-privacy-tagmanager": (
+        "consent|cookie banner|cookiebot|onetrust|tag manager|gtm|gdpr|dsgvo",
+        "consent-privacy",
+        ("tech.consent_technical_signals",),
+        "human",
+    ),
+    "llms": (
+        r"llms\.txt|llms-full|markdown twin",
+        "geo-readiness",
+        ("geo.llms_txt_present", "geo.llms_txt_http_status", "geo.llms_full_txt_present", "geo.markdown_twin_homepage"),
+        "",
+    ),
+    "ai-bots": (
+        "ai bot|gptbot|oai-searchbot|chatgpt-user|claudebot|perplexity|google-extended|ccbot|applebot|bytespider|crawler policy",
+        "ai-crawler-policy",
+        CATEGORY_CHECKS["ai-crawler-policy"],
+        "",
+    ),
+    "trust-entity": (
+        "e-?e-?a-?t|trust|author|external source|entity|brand|about|kontakt|contact|impressum|datenschutz",
+        "trust-entity",
+        ("trust.eeat_signal_summary", "geo.impressum_linked", "geo.datenschutz_linked", "geo.about_linked", "geo.contact_linked", "geo.source_or_external_links_present", "geo.author_hints_present"),
+        "human",
+    ),
 }
 PAGE_WORDS = ("pdp", "product", "produkt", "plp", "category", "kategorie", "article", "artikel", "blog", "magazine", "facette", "facet", "filter")
 TEMPLATE_WORDS = "template|pattern|pdp|plp|category|kategorie|article|artikel|schema|canonical|title|meta|h1"
@@ -63,7 +158,7 @@ def map_items(items: DataFrame) -> DataFrame:
     by_category = F.array_compact(F.array(*[F.when(c("category") == rule[1], F.lit(name)) for name, rule in RULES.items()]))
     rows = U.computed_once(items, {"text_rules": by_text, "category_rules": by_category})
     rows = rows.withColumn("rules", F.when(F.size("text_rules") > 0, c("text_rules")).otherwise(c("category_rules")))
-    table = F.create_map(*[x for name, rule in RULES.items() for x in (F.lit(name), F.array(*[F.lit(check) for check in rule[2].split()]))])
+    table = F.create_map(*[x for name, rule in RULES.items() for x in (F.lit(name), F.array(*[F.lit(check) for check in rule[2]]))])
     checks = F.array_distinct(F.flatten(F.transform("rules", lambda name: F.try_element_at(table, name))))
     needs = lambda kind: F.arrays_overlap(c("rules"), F.array(*[F.lit(name) for name, rule in RULES.items() if rule[3] == kind]))
     confidence = F.when(F.size("text_rules") > 0, "high").when(F.size("rules") > 0, "medium").otherwise("low")

@@ -17,49 +17,167 @@ CATEGORY_WEIGHT = {
 }
 CATEGORY_CHECKS = {
     "technical-seo": (
-        "tech.https_reachable tech.http_to_https_redirect tech.www_non_www_consistency tech.status_code_distribution tech.synthetic_not_found_handling tech.4xx_pages tech.5xx_pages "
-        "tech.redirect_pages tech.x_robots_tag_unusual tech.content_type_html_correct tech.robots_txt_present tech.sitemap_present tech.sitemap_in_robots tech.sitemap_urls_non_200 "
-        "tech.internal_search_noindex_policy tech.noindex_pages tech.nofollow_pages tech.canonical_missing tech.canonical_non_self tech.canonical_to_other_domain "
-        "tech.canonical_target_non_200 tech.internal_links_to_3xx tech.internal_links_to_4xx_5xx tech.orphan_like_sitemap_urls tech.hreflang_x_default_missing "
-        "template.noindex_pattern template.canonical_pattern_issue"
+        "tech.https_reachable",
+        "tech.http_to_https_redirect",
+        "tech.www_non_www_consistency",
+        "tech.status_code_distribution",
+        "tech.synthetic_not_found_handling",
+        "tech.4xx_pages",
+        "tech.5xx_pages",
+        "tech.redirect_pages",
+        "tech.x_robots_tag_unusual",
+        "tech.content_type_html_correct",
+        "tech.robots_txt_present",
+        "tech.sitemap_present",
+        "tech.sitemap_in_robots",
+        "tech.sitemap_urls_non_200",
+        "tech.internal_search_noindex_policy",
+        "tech.noindex_pages",
+        "tech.nofollow_pages",
+        "tech.canonical_missing",
+        "tech.canonical_non_self",
+        "tech.canonical_to_other_domain",
+        "tech.canonical_target_non_200",
+        "tech.internal_links_to_3xx",
+        "tech.internal_links_to_4xx_5xx",
+        "tech.orphan_like_sitemap_urls",
+        "tech.hreflang_x_default_missing",
+        "template.noindex_pattern",
+        "template.canonical_pattern_issue",
     ),
     "html-head": (
-        "tech.title_missing tech.title_too_short tech.title_too_long tech.duplicate_titles tech.meta_description_missing tech.meta_description_too_short tech.meta_description_too_long "
-        "tech.duplicate_meta_descriptions tech.h1_missing tech.multiple_h1 tech.html_semantics_summary tech.html_lang_missing tech.viewport_missing tech.open_graph_basics_missing "
-        "tech.favicon_missing tech.app_icons_incomplete tech.webmanifest_missing tech.charset_utf8_present template.title_pattern_issue template.meta_pattern_issue"
+        "tech.title_missing",
+        "tech.title_too_short",
+        "tech.title_too_long",
+        "tech.duplicate_titles",
+        "tech.meta_description_missing",
+        "tech.meta_description_too_short",
+        "tech.meta_description_too_long",
+        "tech.duplicate_meta_descriptions",
+        "tech.h1_missing",
+        "tech.multiple_h1",
+        "tech.html_semantics_summary",
+        "tech.html_lang_missing",
+        "tech.viewport_missing",
+        "tech.open_graph_basics_missing",
+        "tech.favicon_missing",
+        "tech.app_icons_incomplete",
+        "tech.webmanifest_missing",
+        "tech.charset_utf8_present",
+        "template.title_pattern_issue",
+        "template.meta_pattern_issue",
     ),
     "structure-quality": (
-        "geo.tables_present geo.bulletpoints_lists_present geo.source_or_external_links_present geo.visible_dates_present geo.author_hints_present trust.eeat_signal_summary "
-        "trust.ymyl_review_signal geo.low_structured_sections"
+        "geo.tables_present",
+        "geo.bulletpoints_lists_present",
+        "geo.source_or_external_links_present",
+        "geo.visible_dates_present",
+        "geo.author_hints_present",
+        "trust.eeat_signal_summary",
+        "trust.ymyl_review_signal",
+        "geo.low_structured_sections",
     ),
     "media-performance": (
-        "tech.compression_header tech.cache_control_header tech.cdn_cache_signals tech.http_version_support tech.raw_html_size_large tech.too_many_js tech.too_many_css tech.large_js_total "
-        "tech.large_css_total tech.third_party_scripts_detected tech.preload_missing tech.preconnect_missing tech.resource_hints_summary tech.imported_resource_performance_signals "
-        "tech.high_ttfb tech.images_without_alt tech.empty_alt_texts tech.images_without_width_height tech.images_without_lazy_loading tech.large_image_resources "
-        "tech.modern_image_format_coverage_low tech.videoobject_schema_present_missing template.large_html_pattern template.low_lighthouse_performance template.low_lighthouse_seo "
-        "template.high_lcp template.high_tbt"
+        "tech.compression_header",
+        "tech.cache_control_header",
+        "tech.cdn_cache_signals",
+        "tech.http_version_support",
+        "tech.raw_html_size_large",
+        "tech.too_many_js",
+        "tech.too_many_css",
+        "tech.large_js_total",
+        "tech.large_css_total",
+        "tech.third_party_scripts_detected",
+        "tech.preload_missing",
+        "tech.preconnect_missing",
+        "tech.resource_hints_summary",
+        "tech.imported_resource_performance_signals",
+        "tech.high_ttfb",
+        "tech.images_without_alt",
+        "tech.empty_alt_texts",
+        "tech.images_without_width_height",
+        "tech.images_without_lazy_loading",
+        "tech.large_image_resources",
+        "tech.modern_image_format_coverage_low",
+        "tech.videoobject_schema_present_missing",
+        "template.large_html_pattern",
+        "template.low_lighthouse_performance",
+        "template.low_lighthouse_seo",
+        "template.high_lcp",
+        "template.high_tbt",
     ),
     "structured-data": (
-        "tech.json_ld_parse_errors tech.schema_types_coverage_summary tech.organization_missing tech.website_missing tech.breadcrumb_missing_low_coverage tech.faqpage_missing_low_coverage "
-        "tech.article_coverage_on_article_like_pages tech.product_coverage_on_product_like_pages tech.localbusiness_present_missing tech.person_present_missing tech.speakable_missing "
-        "tech.organization_sameas_missing geo.faq_html_present_schema_missing geo.organization_schema_sameas geo.breadcrumblist_present geo.speakable_present "
-        "geo.article_blog_pages_article_schema template.schema_missing_pattern"
+        "tech.json_ld_parse_errors",
+        "tech.schema_types_coverage_summary",
+        "tech.organization_missing",
+        "tech.website_missing",
+        "tech.breadcrumb_missing_low_coverage",
+        "tech.faqpage_missing_low_coverage",
+        "tech.article_coverage_on_article_like_pages",
+        "tech.product_coverage_on_product_like_pages",
+        "tech.localbusiness_present_missing",
+        "tech.person_present_missing",
+        "tech.speakable_missing",
+        "tech.organization_sameas_missing",
+        "geo.faq_html_present_schema_missing",
+        "geo.organization_schema_sameas",
+        "geo.breadcrumblist_present",
+        "geo.speakable_present",
+        "geo.article_blog_pages_article_schema",
+        "template.schema_missing_pattern",
+    ),
+    "geo-readiness": (
+        "geo.llms_txt_present",
+        "geo.llms_txt_http_status",
+        "geo.llms_full_txt_present",
+        "geo.robots_blocks_txt_files",
+        "geo.markdown_twin_homepage",
     ),
-    "geo-readiness": "geo.llms_txt_present geo.llms_txt_http_status geo.llms_full_txt_present geo.robots_blocks_txt_files geo.markdown_twin_homepage",
     "ai-crawler-policy": (
-        "geo.robots_mentions_gptbot geo.robots_mentions_oai_searchbot geo.robots_mentions_chatgpt_user geo.robots_mentions_claudebot geo.robots_mentions_claude_web "
-        "geo.robots_mentions_perplexitybot geo.robots_mentions_google_extended geo.robots_mentions_ccbot geo.robots_mentions_applebot geo.robots_mentions_bytespider geo.ai_bots_policy_summary"
+        "geo.robots_mentions_gptbot",
+        "geo.robots_mentions_oai_searchbot",
+        "geo.robots_mentions_chatgpt_user",
+        "geo.robots_mentions_claudebot",
+        "geo.robots_mentions_claude_web",
+        "geo.robots_mentions_perplexitybot",
+        "geo.robots_mentions_google_extended",
+        "geo.robots_mentions_ccbot",
+        "geo.robots_mentions_applebot",
+        "geo.robots_mentions_bytespider",
+        "geo.ai_bots_policy_summary",
+    ),
+    "trust-entity": (
+        "geo.impressum_linked",
+        "geo.datenschutz_linked",
+        "geo.about_linked",
+        "geo.contact_linked",
+    ),
+    "security-server": (
+        "tech.hsts_header",
+        "tech.content_security_policy",
+        "tech.x_frame_options",
+        "tech.x_content_type_options",
+        "tech.referrer_policy",
+        "tech.permissions_policy",
+        "tech.consent_technical_signals",
     ),
-    "trust-entity": "geo.impressum_linked geo.datenschutz_linked geo.about_linked geo.contact_linked",
-    "security-server": "tech.hsts_header tech.content_security_policy tech.x_frame_options tech.x_content_type_options tech.referrer_policy tech.permissions_policy tech.consent_technical_signals",
     "template-rendering": (
-        "tech.critical_content_raw_html_signal tech.rendered_word_count_delta tech.raw_h1_missing_rendered_present tech.raw_internal_links_fewer_rendered tech.console_errors_present "
-        "tech.js_dependent_content template.console_errors template.js_required_content template.lighthouse_unavailable template.playwright_unavailable"
+        "tech.critical_content_raw_html_signal",
+        "tech.rendered_word_count_delta",
+        "tech.raw_h1_missing_rendered_present",
+        "tech.raw_internal_links_fewer_rendered",
+        "tech.console_errors_present",
+        "tech.js_dependent_content",
+        "template.console_errors",
+        "template.js_required_content",
+        "template.lighthouse_unavailable",
+        "template.playwright_unavailable",
     ),
 }
 LOW_AVAILABILITY = ("geo.llms_txt_present", "geo.llms_txt_http_status", "geo.llms_full_txt_present", "geo.markdown_twin_homepage", "geo.markdown_twin_coverage")
-POLICY_CHECKS = tuple(CATEGORY_CHECKS["ai-crawler-policy"].split())
+POLICY_CHECKS = CATEGORY_CHECKS["ai-crawler-policy"]
 TOOL_CHECKS = ("template.lighthouse_unavailable", "template.playwright_unavailable")
+# fixed values: wording of findings that contradict or lack a signal
 CONTRADICTION = r"\bstatus recorded:\s*(4\d\d|5\d\d)\b|\breturned\s+(4\d\d|5\d\d|fetch failed)\b|\bdid not return\b|\bnot found\b|\bnot available\b|\bunavailable\b|\bnot explicitly mentioned\b|\bdoes not explicitly mention\b"
 MISSING_SIGNAL = (
     r"\bmissing\b|\blacks?\b|\bwithout\b|\bnot found\b|\bnot detected\b|\bnot present\b|\bnot available\b|\bunavailable\b|\bdid not return\b|\bnot return\b"
@@ -156,7 +274,7 @@ def points(displayed: DataFrame) -> DataFrame:
         .when((status == "Opportunity") | (kind == "opportunity") | (kind == "best_practice"), 6).when(status == "Warning", 4).when(status == "Error", 1)
     )
     label = F.when(contradiction & ~excluded, F.when(kind == "opportunity", "Opportunity").otherwise("Warning")).otherwise(status)
-    table = F.create_map(*[F.lit(x) for name, ids in CATEGORY_CHECKS.items() for check in ids.split() for x in (check, name)])
+    table = F.create_map(*[F.lit(x) for name, ids in CATEGORY_CHECKS.items() for check in ids for x in (check, name)])
     category = F.coalesce(F.try_element_at(table, c("check_id")), F.lit("uncategorized"))
     return U.computed_once(displayed, {"point": point, "maturity_status": label, "maturity_category": category})
 

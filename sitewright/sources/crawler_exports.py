@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,32 +16,128 @@ DELIMITERS = (",", ";", "\t", "|")
 
 # fixed values: export types with their required headers, signal headers and file name hints
 EXPORTS = {
-    "internal_html": ("address", "content_type indexability title_1 meta_description_1 h1_1 canonical_link_element_1", ("internal_html", "internal all", "internal_all", "all_internal")),
-    "response_codes": ("address status_code", "status indexability", ("response_codes", "response codes")),
-    "page_titles": ("address", "title_1 title_1_length title_1_pixel_width", ("page_titles", "page titles")),
-    "meta_descriptions": ("address", "meta_description_1 meta_description_1_length meta_description_1_pixel_width", ("meta_descriptions", "meta description")),
-    "h1": ("address", "h1_1 h1_1_length h1_1_occurrences", ("h1",)),
-    "h2": ("address", "h2_1 h2_1_length h2_1_occurrences", ("h2",)),
-    "canonicals": ("address", "canonical_link_element_1 canonicalised canonical_link_element_1_status_code", ("canonicals", "canonical")),
-    "directives": ("address", "meta_robots_1 x_robots_tag_1 indexability_status", ("directives",)),
-    "inlinks": ("source destination", "anchor_text type follow", ("inlinks", "in links")),
-    "outlinks": ("source destination", "anchor_text type follow", ("outlinks", "out links")),
-    "images": ("", "image alt_text source size_bytes missing_alt_text", ("images",)),
-    "structured_data": ("address", "type validation_status schema_type", ("structured_data", "structured data")),
-    "psi_crux": ("address", "largest_contentful_paint interaction_to_next_paint cumulative_layout_shift performance_score", ("psi", "crux", "pagespeed", "page speed")),
-    "hreflang": ("address", "hreflang language language_region x_default return_links alternate_url", ("hreflang",)),
-    "opengraph": ("address", "og_title og_description og_image og_url og_type", ("open_graph", "opengraph", "open graph")),
-    "security_headers": ("address", "cache_control x_cache cf_cache_status via server http_version content_encoding", ("security", "headers", "response headers")),
-    "javascript": ("address", "rendered javascript js_count css_count total_js_size total_css_size", ("javascript", "rendered", "js")),
-    "resource_hints": ("address", "preconnect dns_prefetch preload prefetch", ("resource hints", "preconnect", "preload")),
+    "internal_html": (
+        ("address",),
+        ("content_type", "indexability", "title_1", "meta_description_1", "h1_1", "canonical_link_element_1"),
+        ("internal_html", "internal all", "internal_all", "all_internal"),
+    ),
+    "response_codes": (
+        ("address", "status_code"),
+        ("status", "indexability"),
+        ("response_codes", "response codes"),
+    ),
+    "page_titles": (
+        ("address",),
+        ("title_1", "title_1_length", "title_1_pixel_width"),
+        ("page_titles", "page titles"),
+    ),
+    "meta_descriptions": (
+        ("address",),
+        ("meta_description_1", "meta_description_1_length", "meta_description_1_pixel_width"),
+        ("meta_descriptions", "meta description"),
+    ),
+    "h1": (
+        ("address",),
+        ("h1_1", "h1_1_length", "h1_1_occurrences"),
+        ("h1",),
+    ),
+    "h2": (
+        ("address",),
+        ("h2_1", "h2_1_length", "h2_1_occurrences"),
+        ("h2",),
+    ),
+    "canonicals": (
+        ("address",),
+        ("canonical_link_element_1", "canonicalised", "canonical_link_element_1_status_code"),
+        ("canonicals", "canonical"),
+    ),
+    "directives": (
+        ("address",),
+        ("meta_robots_1", "x_robots_tag_1", "indexability_status"),
+        ("directives",),
+    ),
+    "inlinks": (
+        ("source", "destination"),
+        ("anchor_text", "type", "follow"),
+        ("inlinks", "in links"),
+    ),
+    "outlinks": (
+        ("source", "destination"),
+        ("anchor_text", "type", "follow"),
+        ("outlinks", "out links"),
+    ),
+    "images": (
+        (),
+        ("image", "alt_text", "source", "size_bytes", "missing_alt_text"),
+        ("images",),
+    ),
+    "structured_data": (
+        ("address",),
+        ("type", "validation_status", "schema_type"),
+        ("structured_data", "structured data"),
+    ),
+    "psi_crux": (
+        ("address",),
+        ("largest_contentful_paint", "interaction_to_next_paint", "cumulative_layout_shift", "performance_score"),
+        ("psi", "crux", "pagespeed", "page speed"),
+    ),
+    "hreflang": (
+        ("address",),
+        ("hreflang", "language", "language_region", "x_default", "return_links", "alternate_url"),
+        ("hreflang",),
+    ),
+    "opengraph": (
+        ("address",),
+        ("og_title", "og_description", "og_image", "og_url", "og_type"),
+        ("open_graph", "opengraph", "open graph"),
+    ),
+    "security_headers": (
+        ("address",),
+        ("cache_control", "x_cache", "cf_cache_status", "via", "server", "http_version", "content_encoding"),
+        ("security", "headers", "response headers"),
+    ),
+    "javascript": (
+        ("address",),
+        ("rendered", "javascript", "js_count", "css_count", "total_js_size", "total_css_size"),
+        ("javascript", "rendered", "js"),
+    ),
+    "resource_hints": (
+        ("address",),
+        ("preconnect", "dns_prefetch", "preload", "prefetch"),
+        ("resource hints", "preconnect", "preload"),
+    ),
 }
 # fixed values: column aliases of the logical fields, first non-empty one wins
 FIELDS = {
-    "url": "address url", "final_url": "final_url final_address redirect_url", "status_code": "status_code http_status_code", "content_type": "content_type", "indexability": "indexability",
-    "title": "title_1 title", "meta_description": "meta_description_1 meta_description", "h1": "h1_1 h1", "h1_count": "h1_1_occurrences h1_occurrences h1_count", "canonical": "canonical_link_element_1 canonical canonical_url",
-    "meta_robots": "meta_robots_1 meta_robots", "x_robots_tag": "x_robots_tag_1 x_robots_tag", "word_count": "word_count", "depth": "crawl_depth depth", "inlink_count": "inlinks unique_inlinks", "outlink_count": "outlinks unique_outlinks",
-    "raw_html_size": "size_bytes size", "schema_types": "schema_types schema_type type", "performance_score": "psi_performance_score performance_score", "cache_control": "cache_control cache_control_header", "http_version": "http_version protocol",
-    "source": "source from", "destination": "destination to", "anchor_text": "anchor_text anchor", "link_type": "type link_type", "rel": "rel", "image_url": "image image_url address", "page_url": "source page_url", "alt": "alt_text alt",
+    "url": ("address", "url"),
+    "final_url": ("final_url", "final_address", "redirect_url"),
+    "status_code": ("status_code", "http_status_code"),
+    "content_type": ("content_type",),
+    "indexability": ("indexability",),
+    "title": ("title_1", "title"),
+    "meta_description": ("meta_description_1", "meta_description"),
+    "h1": ("h1_1", "h1"),
+    "h1_count": ("h1_1_occurrences", "h1_occurrences", "h1_count"),
+    "canonical": ("canonical_link_element_1", "canonical", "canonical_url"),
+    "meta_robots": ("meta_robots_1", "meta_robots"),
+    "x_robots_tag": ("x_robots_tag_1", "x_robots_tag"),
+    "word_count": ("word_count",),
+    "depth": ("crawl_depth", "depth"),
+    "inlink_count": ("inlinks", "unique_inlinks"),
+    "outlink_count": ("outlinks", "unique_outlinks"),
+    "raw_html_size": ("size_bytes", "size"),
+    "schema_types": ("schema_types", "schema_type", "type"),
+    "performance_score": ("psi_performance_score", "performance_score"),
+    "cache_control": ("cache_control", "cache_control_header"),
+    "http_version": ("http_version", "protocol"),
+    "source": ("source", "from"),
+    "destination": ("destination", "to"),
+    "anchor_text": ("anchor_text", "anchor"),
+    "link_type": ("type", "link_type"),
+    "rel": ("rel",),
+    "image_url": ("image", "image_url", "address"),
+    "page_url": ("source", "page_url"),
+    "alt": ("alt_text", "alt"),
 }
 NUMERIC = ("status_code", "h1_count", "word_count", "depth", "inlink_count", "outlink_count", "raw_html_size")
 TEXT = ("final_url", "content_type", "indexability", "title", "meta_description", "h1", "canonical", "meta_robots", "x_robots_tag", "cache_control", "http_version")
@@ -61,10 +158,10 @@ def detect(headers: list[str], file_name: str) -> tuple[str, int, str]:
 
     def score(kind: str) -> int:
         required, signals, hints = EXPORTS[kind]
-        return 4 * len(have & set(required.split())) + len(have & set(signals.split())) + (2 if any(hint in name for hint in hints) else 0)
+        return 4 * len(have & set(required)) + len(have & set(signals)) + (2 if any(hint in name for hint in hints) else 0)
 
     best = max(EXPORTS, key=score)
-    complete = set(EXPORTS[best][0].split()) <= have
+    complete = set(EXPORTS[best][0]) <= have
     return best, score(best), "high" if complete else "medium"
 
 
@@ -79,12 +176,12 @@ def read(spark: SparkSession, path: str, run_id: str, order: int = 0) -> DataFra
 
 
 def field(rows: DataFrame, name: str) -> Column:
-    found = [F.nullif(F.trim(c(alias).cast("string")), F.lit("")) for alias in FIELDS[name].split() if alias in rows.columns]
+    found = [F.nullif(F.trim(c(alias).cast("string")), F.lit("")) for alias in FIELDS[name] if alias in rows.columns]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
 def ignored_columns(headers: list[str]) -> list[str]:
-    known = {alias for aliases in FIELDS.values() for alias in aliases.split()}
+    known = {alias for aliases in FIELDS.values() for alias in aliases}
     return [name for name in headers if header_name(name) not in known]
 
 
@@ -131,14 +228,15 @@ def page_records(merged: DataFrame) -> DataFrame:
     )
 
 
-def import_exports(spark: SparkSession, paths: list[str], run_id: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Pages and links of a set of exports, and the expected export types that are missing."""
-    fact_parts, link_parts, kinds = [], [], set()
+def import_exports(spark: SparkSession, paths: list[str], run_id: str) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None, list[str]]:
+    """Pages, links and images of a set of exports (None where no export has them), and the expected export types that are missing."""
+    parts: dict[str, list[DataFrame]] = {"pages": [], "links": [], "images": []}
+    kinds = set()
     for order, path in enumerate(paths):
         rows = read(spark, path, run_id, order)
         kind = detect(rows.columns, path.rsplit("/", 1)[-1])[0]
         kinds.add(kind)
-        (link_parts if kind in ("inlinks", "outlinks") else fact_parts).append(links(rows) if kind in ("inlinks", "outlinks") else facts(rows))
-    union = lambda parts: None if not parts else parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    pages = page_records(merge(union(fact_parts)))
-    return pages, union(link_parts), sorted({"internal_html", "response_codes", "inlinks", "images", "structured_data"} - kinds)
+        target, mapped = {"inlinks": ("links", links), "outlinks": ("links", links), "images": ("images", images)}.get(kind, ("pages", facts))
+        parts[target].append(mapped(rows))
+    pages, edges, pictures = (reduce(DataFrame.unionByName, own) if own else None for own in parts.values())
+    return (page_records(merge(pages)) if pages else None), edges, pictures, sorted({"internal_html", "response_codes", "inlinks", "images", "structured_data"} - kinds)

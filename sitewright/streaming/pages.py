@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sitewright.operators import frontier as FR
-
 c = F.col
 
 
@@ -23,16 +23,23 @@ def status_windows(pages: DataFrame, delay: str = "10 minutes", width: str = "5
 
 
 def upsert_into(pages: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep the last write per (run, URL) in versioned Parquet folders; each batch writes a new version of the table."""
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        merged = batch
-        if epoch > 0:
-            merged = FR.upsert(spark.read.parquet(f"{path}/version={epoch - 1}"), batch, ["run_id", "normalized_url"], "page_id")
-        else:
-            merged = FR.upsert(batch.limit(0), batch, ["run_id", "normalized_url"], "page_id")
-        merged.write.mode("overwrite").parquet(f"{path}/version={epoch}")
-
-    writer = pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    """Write every micro-batch into a folder of its own; ``latest`` resolves them.
+
+    A batch costs its own size, never the table's. A repeated batch overwrites itself only: folders are named by checkpoint and
+    epoch, so a new checkpoint adds to what is there.
+    """
+    writer = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/writer={writer}/epoch={epoch}")
+
+    query = pages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return (query.trigger(availableNow=True) if available_now else query).start()
+
+
+def latest(spark: SparkSession, path: str, keys: tuple[str, ...] = ("run_id", "normalized_url"), order: str = "page_id") -> DataFrame:
+    """The last write of every key over all batches."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    fields = [name for name in rows.columns if name not in (*keys, "writer", "epoch")]
+    last = F.max_by(F.struct(*fields), F.struct(order, "epoch", "writer"))
+    return rows.groupBy(*keys).agg(last.alias("last")).select(*keys, "last.*")

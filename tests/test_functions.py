@@ -84,3 +84,13 @@ def test_text(spark):
 def test_schema_types(spark):
     assert "LiveBlogPosting" in family("Article") and "LocalBusiness" in family("Organization") and "Product" not in family("Article")
     assert values(spark, [("https://schema.org/Product",), ("schema:Thing",), (" ",)], "t string", type_name(c("t"))) == [("Product",), ("Thing",), (None,)]
+
+
+def test_schedules_keep_their_local_hour(spark):
+    from sitewright.functions import misc as MI
+
+    rows = spark.createDataFrame([("2024-03-30 08:00:00", "daily"), ("2024-10-20 07:00:00", "weekly"), ("2024-01-31 08:00:00", "monthly")], "t string, f string").withColumn("t", c("t").cast("timestamp"))
+    due = MI.next_due(c("t"), c("f"), F.lit(1), "Europe/Berlin")
+    got = [row[0] for row in rows.select(due.cast("string")).collect()]
+    assert got == ["2024-03-31 07:00:00", "2024-10-27 08:00:00", "2024-02-29 08:00:00"]
+    assert [row[0] for row in rows.select(MI.is_due(due, F.lit("2024-03-31 07:00:00").cast("timestamp"))).collect()] == [True, False, True]

@@ -22,11 +22,16 @@ def test_import(spark, tmp_path):
     codes.write_text("Address;Status Code;Status;Indexability\nhttps://e.com/a;301;Moved;Non-Indexable\n", encoding="utf-8")
     links = tmp_path / "all_inlinks.csv"
     links.write_text("Source,Destination,Anchor Text,Follow,Type\nhttps://e.com/a,https://e.com/b,To b,true,Hyperlink\n", encoding="utf-8")
-    rows, edges, missing = CE.import_exports(spark, [str(pages), str(codes), str(links)], "r1")
+    rows, edges, pictures, missing = CE.import_exports(spark, [str(pages), str(codes), str(links)], "r1")
     got = {r.url: (r.status_code, r.indexable, r.title, r.depth) for r in rows.collect()}
     assert got == {"https://e.com/a": (301, 0, 'One, "two"', 2), "https://e.com/b": (404, 0, None, 1)}
     assert [(r.source_url, r.normalized_target_url) for r in edges.collect()] == [("https://e.com/a", "https://e.com/b")]
-    assert missing == ["images", "structured_data"]
+    assert missing == ["images", "structured_data"] and pictures is None
+    alone, edges, _, _ = CE.import_exports(spark, [str(links)], "r1")
+    assert alone is None and edges.count() == 1
+    shown = tmp_path / "images_all.csv"
+    shown.write_text("Source,Image,Alt Text,Size (Bytes)\nhttps://e.com/a,https://e.com/x.png,A cat,10\nhttps://e.com/a,/y.png,,20\n")
+    assert [(r.image_url, r.alt_value) for r in CE.import_exports(spark, [str(shown)], "r1")[2].orderBy("image_url").collect()] == [("https://e.com/x.png", "A cat"), ("https://e.com/y.png", None)]
 
 
 def test_bundle_round_trip(spark, tmp_path):
@@ -42,15 +47,16 @@ def _stream(spark, tmp_path):
     folder = str(tmp_path / "in")
     rows = [("r", f"u{i % 3}", i, 200 if i % 2 else 404) for i in range(12)]
     df = spark.createDataFrame(rows, "run_id string, normalized_url string, page_id int, status_code int").withColumn("fetched_at", F.timestamp_seconds(F.lit(1700000000) + c("page_id") * 60))
-    df.write.parquet(folder)
-    return df, spark.readStream.schema(df.schema).parquet(folder)
+    df.repartition(3).write.parquet(folder)
+    return df, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def test_stream_equals_batch(spark, tmp_path):
     batch, stream = _stream(spark, tmp_path)
-    query = ST.upsert_into(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
-    query.awaitTermination(60)
-    stored = {r.normalized_url: r.page_id for r in spark.read.parquet(str(tmp_path / "out" / "version=0")).collect()}
+    for checkpoint in ("cp", "cp", "other"):  # several epochs, a restart without new data, and a new checkpoint
+        ST.upsert_into(stream, str(tmp_path / "out"), str(tmp_path / checkpoint)).awaitTermination(60)
+    stored = {r.normalized_url: r.page_id for r in ST.latest(spark, str(tmp_path / "out")).collect()}
+    assert len(list((tmp_path / "out").glob("writer=*/epoch=*"))) > 2
     assert stored == {r.normalized_url: r.m for r in batch.groupBy("normalized_url").agg(F.max("page_id").alias("m")).collect()}
     seen = ST.first_seen(stream).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     seen.awaitTermination(60)
