@@ -15,6 +15,7 @@ MODULES = (
     "extract_queries",
     "plan_queries",
     "match_queries",
+    "summary_queries",
 )
 
 

@@ -1,0 +1,84 @@
+"""Queries over small relations of runs, pages and findings."""
+
+from __future__ import annotations
+
+from sitewright.catalog.site_views import Site, with_views
+from sitewright.operators import summaries as SU
+
+QUERIES = {}
+ORACLE = {}
+
+
+def _simple(build):
+    return lambda spark, folder: build(Site(spark, folder))
+
+
+QUERIES["summary_schedules"] = _simple(lambda s: SU.schedule_summary(s.table("finding_runs")))
+ORACLE["summary_schedules"] = """
+SELECT schedule_id, count(*) AS runs, count_if(status = 'completed') AS completed, count_if(status IN ('running', 'queued', 'paused')) AS active,
+  count_if(status = 'failed') AS failed, arg_max(run_id, finished_at) FILTER (status = 'completed') AS latest_run
+FROM finding_runs GROUP BY 1"""
+
+QUERIES["runs_with_projects"] = _simple(lambda s: SU.runs_with_projects(
+    s.table("finding_runs").selectExpr("run_id", "status", "run_no % 30 AS project_id", "CASE WHEN run_no % 4 > 0 THEN schedule_id END AS schedule_id"),
+    s.table("nation").selectExpr("n_nationkey AS project_id", "n_name AS project_name"),
+    s.table("region").selectExpr("CAST(r_regionkey AS INT) AS schedule_id", "r_name AS schedule_name"),
+))
+ORACLE["runs_with_projects"] = """
+SELECT x.run_id, x.status, x.project_id, x.schedule_id, n_name AS project_name, r_name AS schedule_name
+FROM (SELECT run_id, status, run_no % 30 AS project_id, CASE WHEN run_no % 4 > 0 THEN schedule_id END AS schedule_id FROM finding_runs) x
+JOIN nation ON n_nationkey = x.project_id LEFT JOIN region ON r_regionkey = x.schedule_id"""
+
+QUERIES["summary_reach"] = _simple(lambda s: SU.reach_by_page_type(s.table("site_pages"), s.table("site_links").where("link_type = 'external'").selectExpr("run_id", "source_url AS url")))
+ORACLE["summary_reach"] = """
+SELECT p.run_id, coalesce(page_type, 'other') AS page_type, count(*) AS pages, count(h.url) AS affected_pages
+FROM site_pages p LEFT JOIN (SELECT DISTINCT run_id, source_url AS url FROM site_links WHERE link_type = 'external') h ON h.run_id = p.run_id AND h.url = p.url
+GROUP BY 1, 2"""
+
+QUERIES["summary_content_signals"] = _simple(lambda s: SU.content_signals(s.table("site_pages")))
+ORACLE["summary_content_signals"] = "SELECT run_id, " + ", ".join(f"count_if(coalesce({name}, 0) > 0) AS {name}" for name in SU.SIGNALS) + " FROM site_pages GROUP BY 1"
+
+QUERIES["summary_page_outcomes"] = _simple(lambda s: SU.page_outcomes(s.table("site_pages")))
+ORACLE["summary_page_outcomes"] = """
+SELECT run_id, count(*) AS pages, count_if(status_code BETWEEN 200 AND 299) AS ok, count_if(status_code BETWEEN 300 AND 399) AS redirected,
+  count_if(status_code >= 400) AS failing, count_if(indexable = 1) AS indexable
+FROM site_pages GROUP BY 1"""
+
+QUERIES["page_representatives"] = _simple(lambda s: SU.representatives(s.table("site_pages")))
+ORACLE["page_representatives"] = """
+SELECT run_id, kind, page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY page_id) AS place FROM (
+  SELECT run_id, coalesce(page_type, 'other') AS kind, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM site_pages GROUP BY 1, 2) a) b WHERE place <= 5
+UNION ALL SELECT run_id, 'with_query' AS kind, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM site_pages WHERE contains(url, '?') GROUP BY 1"""
+
+QUERIES["targeted_urls"] = _simple(lambda s: SU.targeted_urls([("page", s.table("site_pages")), ("queue", s.table("site_queue")), ("link", s.table("site_links").selectExpr("run_id", "target_url AS url"))]))
+ORACLE["targeted_urls"] = """
+SELECT run_id, url, arg_min(source, rank) AS source FROM (
+  SELECT run_id, url, 0 AS rank, 'page' AS source FROM site_pages UNION ALL SELECT run_id, url, 1, 'queue' FROM site_queue
+  UNION ALL SELECT run_id, target_url, 2, 'link' FROM site_links) x WHERE coalesce(url, '') <> '' GROUP BY 1, 2"""
+
+RANKS = {"product": 0, "article": 1, "category": 2, "homepage": 3}
+QUERIES["review_sample_pages"] = _simple(lambda s: SU.review_sample(s.table("site_pages"), RANKS, 8))
+ORACLE["review_sample_pages"] = """
+SELECT run_id, page_id, url, place, sha256(concat_ws('|', url, coalesce(title, ''), coalesce(meta_description, ''))) AS input_hash FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(indexable, 0) DESC, CASE coalesce(page_type, 'other') WHEN 'product' THEN 0 WHEN 'article' THEN 1 WHEN 'category' THEN 2 WHEN 'homepage' THEN 3 ELSE 4 END, page_id) AS place
+  FROM site_pages) x WHERE place <= 8"""
+
+QUERIES["detail_samples"] = _simple(lambda s: SU.sample_details(s.table("site_samples"), s.table("site_lab"), s.table("site_browser"), "mobile"))
+ORACLE["detail_samples"] = """
+SELECT s.run_id, s.cluster_key, s.page_id, s.url, performance_score, lcp_ms, tbt_ms, error_message, b.status AS browser_status, js_required, console_errors
+FROM site_samples s LEFT JOIN (SELECT * FROM site_lab WHERE device = 'mobile') l ON l.run_id = s.run_id AND l.page_id = s.page_id
+LEFT JOIN site_browser b ON b.run_id = s.run_id AND b.page_id = s.page_id"""
+
+QUERIES["detail_render_state"] = _simple(lambda s: SU.render_details(s.table("site_pages").where("status_code = 200").select("run_id", "page_id", "url"), s.table("site_url_metrics")))
+ORACLE["detail_render_state"] = """
+SELECT p.run_id, p.page_id, p.url, m.render_decision, m.settling_status, m.browser_run
+FROM site_pages p LEFT JOIN site_url_metrics m ON m.run_id = p.run_id AND m.page_id = p.page_id WHERE p.status_code = 200"""
+
+LIVE = ("tech.https_reachable", "tech.robots_txt_present", "tech.sitemap_present", "tech.hsts_header", "tech.console_errors_present", "geo.llms_txt_present")
+QUERIES["results_import_aware"] = _simple(lambda s: SU.import_aware(s.table("site_findings").select("run_id", "finding_id", "check_id", "evaluation_state", "status", "affected_count"), s.table("finding_runs"), LIVE))
+ORACLE["results_import_aware"] = """
+SELECT f.run_id, finding_id, check_id, CASE WHEN skip THEN 'not_executed' ELSE evaluation_state END AS evaluation_state, CASE WHEN skip THEN 'NA' ELSE status END AS status,
+  CASE WHEN skip THEN 0 ELSE affected_count END AS affected_count
+FROM (SELECT f.*, coalesce(r.source_type = 'import', false) AND check_id IN ('""" + "', '".join(LIVE) + """') AS skip FROM site_findings f LEFT JOIN finding_runs r ON r.run_id = f.run_id) f"""
+
+ORACLE = {name: with_views(text) for name, text in ORACLE.items()}
