@@ -31,7 +31,7 @@ from sitewright.llm import words
 SAMPLE, CANDIDATES, FEATURES = 20_000, 50_000, 3_000
 #: Toxic documents of the sample that must have a feature.
 LEAST = 4
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 PREFIXES = (4, 6)
 
 
