@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewright.llm import archives, decontamination, languages, mixing, near_duplicates, neighbours, quality, substrings, token_counts, toxicity
+from sitewright.llm import archives, decontamination, languages, mixing, near_duplicates, neighbours, oracles, quality, substrings, token_counts, toxicity
 from sitewright.llm.tables import load
 
 
@@ -65,5 +65,8 @@ QUERIES = {
 #: DuckDB texts where SQL can express the result; the others are tested against brute force.
 ORACLE: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op2_substring_dedup": oracles.SUBSTRINGS,
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op7_near_dedup": oracles.NEAR_DUPLICATES,
     "op8_warc": archives.ORACLE,
 }
