@@ -83,7 +83,7 @@ ORACLE["sitemap_planned_urls"] = f"SELECT run_id, u AS listed_url, position FROM
 QUERIES["sitemap_template_sampling"] = _simple(lambda s: AS.planned_urls(AS.reconcile(AS.parse_sitemaps(s.table("asset_sitemaps"))), 50, per_template=1).select("run_id", "url_pattern", "listed_url", "position"))
 QUERIES["sitemap_index_levels"] = _simple(lambda s: AS.expand_indexes(AS.parse_sitemaps(s.table("asset_sitemaps"))))
 ORACLE["sitemap_index_levels"] = f"""WITH RECURSIVE lk AS (SELECT DISTINCT run_id, url AS parent, unnest({LOCS}) AS child FROM {SM} s0 WHERE dt = 'sitemapindex'), kn AS (SELECT DISTINCT run_id, url, dt FROM {SM} s1),
- w AS (SELECT run_id, url, [url] AS path, 0 AS lvl FROM kn WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.run_id = kn.run_id AND lk.child = kn.url AND lk.parent <> lk.child) UNION ALL SELECT w.run_id, lk.child, list_append(w.path, lk.child), w.lvl + 1 FROM w JOIN lk ON lk.run_id = w.run_id AND lk.parent = w.url WHERE w.lvl < 4 AND NOT list_contains(w.path, lk.child))
+ w AS (SELECT run_id, url, [url] AS path, 0 AS lvl FROM kn WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.run_id = kn.run_id AND lk.child = kn.url AND lk.parent <> lk.child) UNION ALL SELECT w.run_id, lk.child, list_append(w.path, lk.child), w.lvl + 1 FROM w JOIN lk ON lk.run_id = w.run_id AND lk.parent = w.url WHERE NOT list_contains(w.path, lk.child))
 SELECT kn.run_id, kn.url, kn.dt AS document_type, CAST(min(lvl) AS INT) AS level FROM w JOIN kn ON kn.run_id = w.run_id AND kn.url = w.url GROUP BY 1, 2, 3"""
 QUERIES["checks_sitemaps"] = _simple(lambda s: AS.sitemap_results(AS.parse_sitemaps(s.table("asset_sitemaps")), s.table("site_runs")))
 DEC = "source_type = 'robots_sitemap'"

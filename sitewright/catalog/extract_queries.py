@@ -89,6 +89,7 @@ ORACLE["fn_url_shards"] = f"SELECT page_id, CAST(list_reduce(list_transform(stri
 QUERIES["fn_text_documents"] = _simple(lambda s: s.table("documents").select("doc_id", F.size(TX.tokens(c("text"))).alias("tokens"), TX.short_hash(c("text")).alias("short_hash")))
 ORACLE["fn_text_documents"] = "SELECT doc_id, CAST(len(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9äöüß]+', ' ', 'g'), ' '), lambda w: length(w) >= 3))) AS INT) AS tokens, left(sha1(trim(text)), 16) AS short_hash FROM documents"
 QUERIES["fn_visible_words"] = _simple(lambda s: s.table("documents").select("doc_id", TX.visible_words(c("text")).alias("words")))
+ORACLE["fn_visible_words"] = r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}''-]*[\p{L}\p{N}][\p{L}\p{N}''-]*')) AS BIGINT) AS words FROM documents"
 QUERIES["fn_scope_factor"] = _simple(lambda s: s.table("site_findings").select("finding_id", MI.scope_factor(c("affected_count"), c("scope_type")).alias("factor"), MI.root_cause_id(c("check_id")).alias("cause")))
 ORACLE["fn_scope_factor"] = "SELECT finding_id, floor(least(2.0, least(1.75, 1 + log10(greatest(1, affected_count)) * 0.25) * CASE coalesce(scope_type, 'unknown') WHEN 'template' THEN 1.15 WHEN 'sitewide' THEN 1.25 ELSE 1.0 END) * 10000 + 0.5) / 10000 AS factor, 'rc_' || left(sha256(check_id), 16) AS cause FROM site_findings"
 QUERIES["fn_hreflang_codes"] = _simple(lambda s: inputs.pages(s).select("page_id", F.explode("hreflang").alias("code")).select("page_id", "code", MI.hreflang_code(c("code")).alias("h")).select("page_id", "code", "h.language", "h.region", "h.is_default", "h.invalid"))
