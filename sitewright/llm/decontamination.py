@@ -112,7 +112,7 @@ def _corpus_counts(texts: DataFrame, keys: np.ndarray, sizes: list[int]) -> np.n
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["shingle", "n"])
 
     total = np.zeros(len(keys), dtype=np.int64)
-    for row in texts.select("text").mapInArrow(counted, "shingle int, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect():
+    for row in tables.batched(texts).select("text").mapInArrow(counted, "shingle int, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect():
         total[row.shingle] = row.n
     return total
 
@@ -186,7 +186,7 @@ def _probe(docs: DataFrame, index: _Index) -> DataFrame:
                 at = pa.array(piece.row + doc[rows])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["d", "t", "spans", "items"])
 
-    return docs.select(tables.order_key().alias("d"), tables.text_key().alias("t"), "text").mapInArrow(hits, _HITS)
+    return tables.batched(docs).select(tables.order_key().alias("d"), tables.text_key().alias("t"), "text").mapInArrow(hits, _HITS)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

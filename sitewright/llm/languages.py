@@ -66,7 +66,7 @@ def trigram_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and a table of log chances by trigram and language, from rows with text and lang."""
     chosen = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     chosen = chosen.select(F.col("doc_id").cast("long"), "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(SAMPLE)
-    rows = labelled.select(F.col("doc_id").cast("long"), "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"])
+    rows = tables.batched(labelled).select(F.col("doc_id").cast("long"), "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -133,7 +133,7 @@ def _described(docs: DataFrame, plan: Bands, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "d long, t long, n long, fp long, fp2 long, " + "".join(f"{s} long, " for s in plan.planes) + "bands array<long>"
-    return docs.select(tables.order_key().alias("d"), tables.text_key().alias("t"), "text").mapInArrow(rows, schema)
+    return tables.batched(docs).select(tables.order_key().alias("d"), tables.text_key().alias("t"), "text").mapInArrow(rows, schema)
 
 
 def _set_rows(docs: DataFrame, size: int) -> DataFrame:
@@ -148,7 +148,7 @@ def _set_rows(docs: DataFrame, size: int) -> DataFrame:
                     bounds = pa.array(np.append(first, len(doc)).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(print_.view(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(shingle.view(np.int64)))], ["fp", "shingles"])
 
-    return docs.select("text").mapInArrow(rows, "fp long, shingles array<long>")
+    return tables.batched(docs).select("text").mapInArrow(rows, "fp long, shingles array<long>")
 
 
 def _estimate(plan: Bands, left: str, right: str) -> Column:

@@ -35,7 +35,7 @@ _SPANS = "d long, t long, start int, size int"
 
 
 def _key_columns(docs: DataFrame) -> DataFrame:
-    return docs.select(tables.order_key().alias("d"), tables.text_key().alias("t"), "text")
+    return tables.batched(docs).select(tables.order_key().alias("d"), tables.text_key().alias("t"), "text")
 
 
 class _Buffer:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sitewright.llm import words
+from sitewright.llm.tables import batched
 
 FREQUENT, LONGEST = 50_000, 64
 #: Pre-tokens that a task counts at a time, and the largest counts that it reports for them.
@@ -154,7 +155,7 @@ def _looked_up(piece: words.Words, starts: np.ndarray, ends: np.ndarray, table:
 
 def count_tokens(docs: DataFrame, path: str, limit: int) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether the count exceeds the limit, for every document."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = batched(docs).select(F.col("doc_id").cast("long"), "text")
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(texts, path))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.llm import words
+from sitewright.llm.tables import batched
 
 SAMPLE, CANDIDATES, FEATURES = 20_000, 50_000, 3_000
 #: Toxic documents of the sample that must have a feature.
@@ -162,7 +163,7 @@ def _selected(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, np.
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = _sample(docs, labels)
+    sample = _sample(batched(docs), labels)
     sizes = {row.toxic: row.n for row in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     keys, marks = _selected(sample, sizes)
     if not len(keys):
@@ -200,7 +201,7 @@ def _scored(docs: DataFrame, model: Model, text: int, schema: str, keep) -> Data
             for piece in words.slices(batch.column(text), words.NOT_ALPHANUMERIC, lower=True):
                 yield keep(batch.slice(piece.row, piece.rows), piece.counts, model.probabilities(piece, known))
 
-    return docs.mapInArrow(scores, schema)
+    return batched(docs).mapInArrow(scores, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
