@@ -109,6 +109,37 @@ def test_neighbours(spark):
     assert neighbours.nearest(few).count() == 2
 
 
+def recalls(spark, vectors, k=20, every=20):
+    """Share of its true neighbours that each query finds."""
+    frame = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    found = {}
+    for row in neighbours.nearest(frame, k, every).collect():
+        found.setdefault(row.query_id, set()).add(row.vec_id)
+    out = []
+    for query in range(0, len(vectors), every):
+        scores = vectors @ vectors[query]
+        scores[query] = -np.inf
+        out.append(len(found.get(query, set()) & set(np.argsort(-scores)[:k].tolist())) / k)
+    return np.array(out)
+
+
+def clustered(draw, count, width=32, size=100):
+    vectors = np.repeat(draw.normal(size=(count // size, width)), size, axis=0) + 0.35 * draw.normal(size=(count, width))
+    return draw.permutation(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+
+
+@pytest.mark.parametrize("norms", ["one large", "spread"])
+def test_neighbours_of_unequal_norms(spark, monkeypatch, norms):
+    monkeypatch.setattr(neighbours, "BUCKET", 16)
+    draw = np.random.default_rng(2)
+    vectors = clustered(draw, 6000)
+    if norms == "one large":
+        vectors[7] *= 10
+    else:
+        vectors *= draw.uniform(0.2, 1, size=(6000, 1))
+    assert recalls(spark, vectors).mean() >= 0.9
+
+
 @pytest.fixture(scope="module")
 def given(spark):
     table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
