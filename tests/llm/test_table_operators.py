@@ -140,6 +140,16 @@ def test_neighbours_of_unequal_norms(spark, monkeypatch, norms):
     assert recalls(spark, vectors).mean() >= 0.9
 
 
+def test_neighbours_of_isolated_among_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BUCKET", 16)
+    draw = np.random.default_rng(4)
+    alone = draw.normal(size=(2400, 32))
+    vectors = draw.permutation(np.concatenate([clustered(draw, 3600), alone / np.linalg.norm(alone, axis=1, keepdims=True)]))
+    found = np.sort(recalls(spark, vectors))
+    print("recall", found.mean(), "lowest tenth", found[:30].mean())
+    assert found.mean() >= 0.9 and found[:30].mean() >= 0.75
+
+
 @pytest.fixture(scope="module")
 def given(spark):
     table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
