@@ -150,6 +150,26 @@ def test_neighbours_of_isolated_among_clustered_vectors(spark, monkeypatch):
     assert found.mean() >= 0.9 and found[:30].mean() >= 0.75
 
 
+def test_queries_of_a_bucket_come_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERIES", 50)
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    seen, search = spark.sparkContext.accumulator(0), neighbours._block_search
+
+    def watched(k):
+        inner = search(k)
+
+        def found(left, right):
+            if len(left) > 100 or len(right) > 200:
+                seen.add(1)
+            return inner(left, right)
+
+        return found
+
+    monkeypatch.setattr(neighbours, "_block_search", watched)
+    assert recalls(spark, clustered(np.random.default_rng(6), 1000), every=2).mean() == 1
+    assert seen.value == 0
+
+
 @pytest.fixture(scope="module")
 def given(spark):
     table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
