@@ -170,6 +170,20 @@ def test_queries_of_a_bucket_come_in_blocks(spark, monkeypatch):
     assert seen.value == 0
 
 
+@pytest.mark.parametrize("hashes", [1, 4, 8])
+def test_visits_reach_their_chance_with_many_directions(hashes):
+    hashing = neighbours._Hashing(64, neighbours.BUCKET * 4**hashes, 1.0)
+    assert hashing.hashes == hashes
+    query = np.random.default_rng(8).normal(size=64)
+    chances = hashing.chances(0, hashing.projections(0, query[None, :], True)[0], 0.42)
+    codes = hashing.likely(chances, neighbours.REACH)
+    held = np.ones(len(codes))
+    for i, own in enumerate(chances):
+        held *= own[codes // 6**i % 6]
+    assert len(set(codes.tolist())) == len(codes)
+    assert neighbours.REACH <= held.sum() <= neighbours.REACH + max(held.min() * 1.01, 1e-9)
+
+
 @pytest.fixture(scope="module")
 def given(spark):
     table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
