@@ -8,6 +8,8 @@ anchor. All occurrences of an edge so meet in one group, where the smallest sour
 become spans. Spans of a text are joined back to it by Spark and its remaining words are put together.
 
 * An edge's identity is 48 bits of its own hash and 64 bits of its anchor's, about 110 bits in all.
+* Edges are counted by anchor first, in CELLS counters. A counter of more than HOT edges has its anchors dealt out by the edge's hash
+  too, so that no anchor, however many different edges it has, fills a group; equal edges still meet.
 * Within a map task only the smallest coordinate of an edge is sent on, the others are decided on the spot. A passage that a
   third of all texts share is thus sent once for each task's buffer, never once for each text.
 * Coordinates are ordered by doc_id (null last), then by text, then by position. Rows that repeat id and text are one document.
@@ -30,6 +32,8 @@ from sitewright.llm import tables, words
 WINDOW, ANCHOR = 20, 8
 #: Edges that a map task holds before it sends them on.
 BUFFER = 1_000_000
+#: Counters of edges by anchor, and the edges of one counter from which on its anchors are dealt out by edges too.
+CELLS, HOT = 1 << 16, 500_000
 _SENT = "part int, blob binary"
 _SPANS = "d long, t long, start int, size int"
 
@@ -41,8 +45,8 @@ def _key_columns(docs: DataFrame) -> DataFrame:
 class _Buffer:
     """Edges of the texts read so far, by columns."""
 
-    def __init__(self, window: int, parts: int) -> None:
-        self.window, self.parts = window, parts
+    def __init__(self, window: int, parts: int, shares: np.ndarray) -> None:
+        self.window, self.parts, self.shares = window, parts, shares
         self.held, self.count, self.ids, self.texts = [], 0, [], []
         self.docs = 0
 
@@ -67,14 +71,21 @@ class _Buffer:
             if len(at):
                 yield int(anchor[0] % np.uint64(self.parts)), _pack_spans(*_spans(ids[doc[at]], texts[doc[at]], start[at], self.window))
             at = np.flatnonzero(~later)
-            part = ((anchor[at] >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int32)
+            part = _part(edge[at], anchor[at], self.shares, self.parts)
             at = at[np.argsort(part, kind="stable")]
             part = np.sort(part, kind="stable")
             bounds = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
                 own = at[low:high]
                 yield int(part[low]), _pack_paths(edge[own], anchor[own], doc[own], start[own], ids, texts)
-        self.__init__(self.window, self.parts)
+        self.__init__(self.window, self.parts, self.shares)
+
+
+def _part(edge: np.ndarray, anchor: np.ndarray, shares: np.ndarray, parts: int) -> np.ndarray:
+    """Where an edge goes: by its anchor, and in a hot cell also by its own hash. Equal edges go to one part."""
+    share = words.mixed(edge) % shares[(anchor % np.uint64(len(shares))).astype(np.int64)]
+    dealt = np.where(share > 0, words.mixed(anchor + share * np.uint64(0x9E3779B97F4A7C15)), anchor)
+    return ((dealt >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
 
 
 def _later(edge: np.ndarray, anchor: np.ndarray, ids: np.ndarray, texts: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -138,22 +149,49 @@ def _unpack(blob: bytes) -> tuple[int, list[np.ndarray]]:
     return int(kind), columns
 
 
-def _send(window: int, anchor: int, parts: int):
+def _anchored(piece: words.Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, anchor and first word of every edge of a slice."""
+    edge, at = words.runs(piece, window)
+    if not len(at):
+        return edge, edge, at
+    inner, where = words.runs(piece, anchor)
+    marks = np.full(len(piece.hash) - anchor + 1, np.uint64(2**64 - 1))
+    marks[where] = inner
+    return edge, words.minima(marks, window - anchor + 1)[at], at
+
+
+def _counted(window: int, anchor: int, cells: int):
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, dtype=np.int64)
+        for batch in batches:
+            for piece in words.slices(batch.column(0), words.WHITE_SPACE, lower=False):
+                total += np.bincount((_anchored(piece, window, anchor)[1] % np.uint64(cells)).astype(np.int64), minlength=cells)
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], ["cell", "n"])
+
+    return counts
+
+
+def edge_shares(docs: DataFrame, window: int, anchor: int) -> np.ndarray:
+    """Shares into which the edges of each cell are dealt out. Each task sums its edges by cell before the shuffle."""
+    counts = tables.batched(docs).select("text").mapInArrow(_counted(window, anchor, CELLS), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    shares = np.ones(CELLS, dtype=np.uint64)
+    for row in counts.where(F.col("n") > HOT).collect():
+        shares[row.cell] = -(-row.n // HOT)
+    return shares
+
+
+def _send(window: int, anchor: int, parts: int, shares: np.ndarray):
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffer = _Buffer(window, parts)
+        buffer = _Buffer(window, parts, shares)
         for batch in batches:
             ids, texts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for piece in words.slices(batch.column(2), words.WHITE_SPACE, lower=False):
-                edge, at = words.runs(piece, window)
+                edge, lowest, at = _anchored(piece, window, anchor)
                 if not len(at):
                     continue
                 base = buffer.add_ids(ids[piece.row : piece.row + piece.rows], texts[piece.row : piece.row + piece.rows])
-                whole = len(piece.hash) - anchor + 1
-                inner, where = words.runs(piece, anchor)
-                marks = np.full(whole, np.uint64(2**64 - 1))
-                marks[where] = inner
-                lowest = words.minima(marks, window - anchor + 1)
-                buffer.add(edge, lowest[at], base + piece.doc[at], at - piece.first[piece.doc[at]])
+                buffer.add(edge, lowest, base + piece.doc[at], at - piece.first[piece.doc[at]])
                 if buffer.count >= BUFFER:
                     yield from _batches(buffer.rows())
         yield from _batches(buffer.rows())
@@ -199,13 +237,16 @@ def _decide(window: int):
     return spans
 
 
+def _dealt(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Decided spans and undecided paths, by part."""
+    size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(2 * tables.shuffle_partitions(docs.sparkSession), size // 8_000_000)
+    return _key_columns(docs).mapInArrow(_send(window, anchor, parts, edge_shares(docs, window, anchor)), _SENT)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Word spans (d, t, start, size) under edges that also start earlier. Spans of one text may overlap."""
-    spark = docs.sparkSession
-    size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(2 * tables.shuffle_partitions(spark), size // 8_000_000)
-    sent = _key_columns(docs).mapInArrow(_send(window, anchor, parts), _SENT)
-    return sent.groupBy("part").applyInArrow(_decide(window), _SPANS)
+    return _dealt(docs, window, anchor).groupBy("part").applyInArrow(_decide(window), _SPANS)
 
 
 def _kept(text: str | None, spans) -> tuple[list[bytes], np.ndarray]:

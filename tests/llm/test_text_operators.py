@@ -71,6 +71,36 @@ def test_substring_dedup_without_ids_and_with_repeats(spark):
     assert got == [(False, 31, 0), (False, 31, 0), (True, 30, 30), (True, 31, 30)]
 
 
+def hot_anchor_rows():
+    """Texts with eight common words of a small hash, so that all windows over them, all different, have one anchor."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sitewright.llm import words
+
+    draw = random.Random(9)
+    phrases = [" ".join(f"c{draw.randrange(10**6)}" for _ in range(8)) for _ in range(3000)]
+    hashes = np.concatenate([words.runs(piece, 8)[0] for piece in words.slices(pa.array(phrases), words.WHITE_SPACE, lower=False)])
+    common = phrases[int(hashes.argmin())]
+    word = lambda: f"w{draw.randrange(10**6)}"
+    rows = [(i, " ".join([*(word() for _ in range(12)), common, *(word() for _ in range(12))])) for i in range(400)]
+    return rows + [(1000 + i, rows[i][1]) for i in range(0, 400, 40)]
+
+
+def test_edges_of_a_hot_anchor_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 200)
+    rows = hot_anchor_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {row.doc_id: (row.n_words, row.n_removed, row.kept_sha256) for row in substrings.removal_report(frame).collect()}
+    assert got == brute.removals(rows)
+    parts = {}
+    for row in substrings._dealt(frame, 20, 8).collect():
+        kind, columns = substrings._unpack(row.blob)
+        parts[row.part] = parts.get(row.part, 0) + (int(columns[5].sum()) if kind else 0)
+    assert sum(parts.values()) >= 400 * 13
+    assert max(parts.values()) < 0.6 * sum(parts.values())
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates(docs, percent):
     want, sizes = brute.components(ROWS, percent)
