@@ -7,7 +7,8 @@ branch; it is compacted to one record (anchor, source coordinate of its first ed
 anchor. All occurrences of an edge so meet in one group, where the smallest source coordinate keeps its words and all others
 become spans. Spans of a text are joined back to it by Spark and its remaining words are put together.
 
-* An edge's identity is 48 bits of its own hash and 64 bits of its anchor's, about 110 bits in all.
+* An edge's identity is the 64 bits of its own hash and 32 bits of its anchor's; within one anchor only the 64 bits tell edges apart.
+  Texts are not compared again word by word.
 * Edges are counted by anchor first, in CELLS counters. A counter of more than HOT edges has its anchors dealt out by the edge's hash
   too, so that no anchor, however many different edges it has, fills a group; equal edges still meet.
 * Within a map task only the smallest coordinate of an edge is sent on, the others are decided on the spot. A passage that a
@@ -131,18 +132,17 @@ def _pack_paths(edge: np.ndarray, anchor: np.ndarray, doc: np.ndarray, start: np
     low = np.flatnonzero(fresh)
     length = np.diff(np.append(low, len(edge)))
     named, local = np.unique(doc[low], return_inverse=True)
-    short = np.ascontiguousarray(edge).view(np.uint8).reshape(-1, 8)[:, 2:]
     key = anchor[low]
     return _pack(
         1, (len(low), len(edge), len(named)), ids[named], texts[named],
-        (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), local.astype(np.uint32), start[low].astype(np.uint32), length.astype(np.uint32), np.ascontiguousarray(short),
+        (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), local.astype(np.uint32), start[low].astype(np.uint32), length.astype(np.uint32), np.ascontiguousarray(edge),
     )
 
 
 def _unpack(blob: bytes) -> tuple[int, list[np.ndarray]]:
     kind, rows, edges, named = np.frombuffer(blob, dtype=np.int64, count=4)
     at, columns = 32, []
-    layout = [(rows, "i8"), (rows, "i8"), (rows, "i4"), (rows, "i4")] if kind == 0 else [(named, "i8"), (named, "i8"), *[(rows, "u4")] * 4, (edges * 6, "u1")]
+    layout = [(rows, "i8"), (rows, "i8"), (rows, "i4"), (rows, "i4")] if kind == 0 else [(named, "i8"), (named, "i8"), *[(rows, "u4")] * 4, (edges, "u8")]
     for count, form in layout:
         columns.append(np.frombuffer(blob, dtype=form, count=count, offset=at))
         at += columns[-1].nbytes
@@ -216,11 +216,9 @@ def _decide(window: int):
             if kind == 0:
                 out.append(columns)
                 continue
-            named_ids, named_texts, key, local, start, length, short = columns
-            wide = np.zeros((len(short) // 6, 8), dtype=np.uint8)
-            wide[:, 2:] = short.reshape(-1, 6)
-            within = np.arange(len(wide)) - np.repeat(np.cumsum(length) - length, length)
-            edges.append(wide.view(np.uint64).reshape(-1))
+            named_ids, named_texts, key, local, start, length, edge = columns
+            within = np.arange(len(edge)) - np.repeat(np.cumsum(length) - length, length)
+            edges.append(edge)
             anchors.append(np.repeat(key, length))
             ids.append(np.repeat(named_ids[local], length))
             texts.append(np.repeat(named_texts[local], length))

@@ -101,6 +101,16 @@ def test_edges_of_a_hot_anchor_are_dealt_out(spark, monkeypatch):
     assert max(parts.values()) < 0.6 * sum(parts.values())
 
 
+def test_edges_of_an_anchor_are_told_apart_by_all_bits():
+    import numpy as np
+    import pyarrow as pa
+
+    edge = np.array([2**40, 2**40 + 1, 2**40 + 2**15, 2**40], dtype=np.uint64)
+    blob = substrings._pack_paths(edge, np.full(4, 7, dtype=np.uint64), np.arange(4), np.zeros(4, dtype=np.int64), np.arange(4), np.zeros(4, dtype=np.int64))
+    found = substrings._decide(20)(pa.table({"part": [0], "blob": [blob]}))
+    assert found.to_pylist() == [{"d": 3, "t": 0, "start": 0, "size": 20}]
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates(docs, percent):
     want, sizes = brute.components(ROWS, percent)
