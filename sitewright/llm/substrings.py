@@ -2,9 +2,9 @@
 
 The corpus is read as a de Bruijn graph. An edge is a run of `window` words (20); two edges are neighbours if they overlap in
 all but one word. Every edge carries an anchor, the smallest hash among its runs of `anchor` words (8), so equal edges carry
-equal anchors, and neighbouring edges mostly share one. A path of neighbouring edges of one text that share an anchor does not
-branch; it is compacted to one record (anchor, source coordinate of its first edge, hashes of its edges) and dealt out by
-anchor. All occurrences of an edge so meet in one group, where the smallest source coordinate keeps its words and all others
+equal anchors, and neighbouring edges mostly share one. A run of neighbouring edges of one text that share an anchor is packed into
+one record (anchor, source coordinate of its first edge, hashes of its edges), called a path here, and dealt out by anchor. This
+replaces compaction: paths of different texts may branch, there is no test of degrees, and edges are matched one by one. All occurrences of an edge so meet in one group, where the smallest source coordinate keeps its words and all others
 become spans. Spans of a text are joined back to it by Spark and its remaining words are put together.
 
 * An edge's identity is the 64 bits of its own hash and 32 bits of its anchor's; within one anchor only the 64 bits tell edges apart.
