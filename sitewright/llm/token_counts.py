@@ -5,7 +5,8 @@ it, or a piece of other white space, cut where the vocabulary's pattern cuts too
 neighbours, so a text's count is a sum of lengths.
 
 * First tier: a broadcast table of hashes and lengths of the most frequent pre-tokens of the whole corpus. It has at most
-  FREQUENT entries of nine bytes. They come from the largest counts of each task; pre-tokens themselves are never shuffled.
+  FREQUENT entries. They come from the largest counts of each task: for every COUNTED pre-tokens at most REPORTED strings are shuffled to
+  add their counts up. All other pre-tokens stay in their task.
 * Second tier: a cache in each Python worker. What it does not hold is encoded by the tokenizer library, once for each slice; the
   cache starts afresh when full.
 
