@@ -45,3 +45,60 @@ components AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1
 SELECT t.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, t.doc_id = c.component_id AS kept
 FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id JOIN components c ON c.doc_id = t.doc_id
 """
+
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _floor_mean(total: str, count: str) -> str:
+    return f"(({total}) - ((({total}) % {count}) + {count}) % {count}) // {count}"
+
+
+def vector_codes(rounds: int = 6, parts: int = 8, entries: int = 16, scale: int = 4096) -> str:
+    """Plain rounds over all distances, one pair of tables for each round."""
+    steps = [
+        f"whole AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id) AS n FROM (SELECT vec_id, label, [floor({scale} * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings WHERE {_FINITE}) w)",
+        f"x AS MATERIALIZED (SELECT n, pos * {parts} // len(v) AS part, pos, v[pos + 1] AS x FROM (SELECT n, v, unnest(range(len(v))) AS pos FROM whole) w)",
+        f"book0 AS MATERIALIZED (SELECT part, n - 1 AS entry, pos, x FROM x WHERE n <= {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"near{r} AS MATERIALIZED (SELECT n, part, entry, d FROM (SELECT *, row_number() OVER (PARTITION BY n, part ORDER BY d, entry) AS place FROM "
+            f"(SELECT n, part, entry, sum((x.x - b.x) * (x.x - b.x))::BIGINT AS d FROM x JOIN book{r} b USING (part, pos) GROUP BY ALL) d) p WHERE place = 1)"
+        )
+        if r < rounds:
+            steps.append(
+                f"book{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN "
+                f"(SELECT part, entry, pos, ({_floor_mean('sum(x)::BIGINT', 'count(*)')})::BIGINT AS x FROM x JOIN near{r} USING (n, part) GROUP BY ALL) m USING (part, entry, pos))"
+            )
+    steps += [
+        f"books AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book{rounds})",
+        f"coded AS (SELECT n, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY n)",
+    ]
+    return (
+        "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM whole JOIN coded USING (n), books\n"
+    )
+
+
+def centroid_clusters(rounds: int = 10, clusters: int = 8, width: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Plain rounds over all distances, one pair of tables for each round."""
+    steps = [
+        f"whole AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR)) AS n "
+        f"FROM (SELECT vec_id, [floor({scale} * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings WHERE {_FINITE} AND len(embedding) = {width}) w)",
+        "x AS MATERIALIZED (SELECT n, pos, v[pos + 1] AS x FROM (SELECT n, v, unnest(range(len(v))) AS pos FROM whole) w)",
+        f"centre0 AS MATERIALIZED (SELECT (n - 1)::INT AS cluster, pos, x FROM x WHERE n <= {clusters})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"near{r} AS MATERIALIZED (SELECT n, cluster, d FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY d, cluster) AS place FROM "
+            f"(SELECT n, cluster, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN centre{r} c USING (pos) GROUP BY ALL) d) p WHERE place = 1)"
+        )
+        if r < rounds:
+            steps.append(
+                f"centre{r + 1} AS MATERIALIZED (SELECT c.cluster, c.pos, coalesce(m.x, c.x) AS x FROM centre{r} c LEFT JOIN "
+                f"(SELECT cluster, pos, ({_floor_mean('sum(x)::BIGINT', 'count(*)')})::BIGINT AS x FROM x JOIN near{r} USING (n) GROUP BY ALL) m USING (cluster, pos))"
+            )
+    steps.append(f"named AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM centre{rounds} GROUP BY cluster)")
+    return (
+        "WITH " + ",\n".join(steps) + "\nSELECT vec_id, cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, "
+        f"(sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM whole JOIN near{rounds} USING (n) JOIN named USING (cluster)\n"
+    )

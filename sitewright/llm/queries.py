@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewright.llm import archives, decontamination, languages, mixing, near_duplicates, neighbours, oracles, quality, substrings, token_counts, toxicity
+from sitewright.llm import archives, centroid_clusters, decontamination, languages, mixing, near_duplicates, neighbours, oracles, quality, substrings, token_counts, toxicity, vector_codes, word_codec
 from sitewright.llm.tables import load
 
 
@@ -49,6 +49,18 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
 
+def compressed_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.report(load(spark, folder, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def byte_pair_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return word_codec.report(load(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def clustered_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters.report(load(spark, folder, "embeddings"), clusters=8, rounds=10, width=64, scale=1024, seed=3)
+
+
 QUERIES = {
     "op1_mixing": mixing_weights,
     "op2_substring_dedup": substring_dedup,
@@ -60,6 +72,9 @@ QUERIES = {
     "op8_warc": warc_revisits,
     "op9_language_id": language_id,
     "op10_quality": quality_rules,
+    "op11_vector_codes": compressed_vectors,
+    "op12_word_codec": byte_pair_codec,
+    "op13_centroid_clusters": clustered_vectors,
 }
 
 #: DuckDB texts where SQL can express the result; the others are tested against brute force.
@@ -69,4 +84,6 @@ ORACLE: dict[str, str] = {
     "op3_decontamination": oracles.DECONTAMINATION,
     "op7_near_dedup": oracles.NEAR_DUPLICATES,
     "op8_warc": archives.ORACLE,
+    "op11_vector_codes": oracles.vector_codes(),
+    "op13_centroid_clusters": oracles.centroid_clusters(),
 }
