@@ -4,12 +4,13 @@ A byte-level tokenizer cuts a text into pre-tokens that it encodes one by one. A
 of other characters than white space with the space before it, or a piece of other white space. Its ids do not depend on its neighbours. Texts in which the
 library might cut otherwise (special strings, characters from U+0240 on) are cut by the library's own rule.
 
-* Split: each slice of about a megabyte of texts becomes one block. Its words are replaced by their numbers in a broadcast table of
+* Split: each slice of about a megabyte of texts becomes one block. Its words are replaced by their ranks in a broadcast table of
   frequent words, at most FREQUENT of at most LONGEST bytes each, which were encoded once. The table comes from the largest counts of each task.
-* All other words of a block are sent, once for each block and with all their places, to the part of their hash. There every distinct word is encoded
-  once, and its ids go back to the block and their places. A word that no task reports as frequent makes up less than about
+* All other words of a block are sent, once for each block, to the part of their hash. There every distinct word is encoded
+  once, and its ids go back to the block in the order asked. A word that no task reports as frequent makes up less than about
   1 / REPORTED of all words, so no part is hot. Words of more than LONGEST bytes are encoded where they lie; they may be any text without a space and are not sent at all.
-* Join by position: a block and the ids for its open places meet, and the ids are put in the order of the words.
+* Join by position: the places of a block and the ids of its words meet, and the ids are put in the order of the places. Texts are cut twice, once to ask and
+  once for the places: that halves what is shuffled.
 * Decoding looks each id up in the broadcast table of pieces, which has the size of the vocabulary, and joins their bytes in order. Bytes
   that are no UTF-8 become U+FFFD, as in the library.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sitewright.llm import words
-from sitewright.llm.tables import shuffle_partitions
+from sitewright.llm.tables import batched, shuffle_partitions
 
 FREQUENT, LONGEST = 60_000, 64
 #: Words that a task counts at a time, and the largest counts that it reports for them.
@@ -42,9 +43,9 @@ PART_BYTES, CUT = 8_000_000, 200_000
 #: Marks a place that is still open.
 OPEN = 0xFFFF
 _SPACE, _WIDE, _TWO = 0x20, 0xC9, 0xC2
-_SENT = "part int, block long, kind int, blob binary"
-#: Kinds of rows: texts of a block, words of a part, ids of a block's places.
-_TEXTS, _WORDS, _IDS = 0, 1, 2
+_ASKED, _ANSWERED = "part int, block long, blob binary", "block long, part int, blob binary"
+#: Stands for a part in the row that holds the places of a block.
+_PLACES = -1
 _SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
 
 
@@ -155,25 +156,24 @@ def _strings(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
 
 
 class Table:
-    """Frequent words by hash, with their ids in a row."""
+    """Frequent words, the most frequent first: their hashes in order with their ranks, and the ids of all ranks in a row."""
 
     def __init__(self, texts: list[bytes], path: str) -> None:
-        joined = np.frombuffer(b"".join(texts), dtype=np.uint8)
         bounds = np.cumsum([0, *map(len, texts)])
         hashes = np.zeros(0, dtype=np.uint64)
         if texts:
-            hashes = next(words.slices(pa.array([joined.tobytes().decode()]), words.WHITE_SPACE, lower=False)).parts(bounds[:-1], bounds[1:])
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.ids, self.sizes = encoded(path, [texts[i] for i in order.tolist()])
+            hashes = next(words.slices(pa.array([b"".join(texts).decode()]), words.WHITE_SPACE, lower=False)).parts(bounds[:-1], bounds[1:])
+        self.ranks = np.argsort(hashes)
+        self.hashes = hashes[self.ranks]
+        self.ids, self.sizes = encoded(path, texts)
         self.first = np.cumsum(self.sizes) - self.sizes
 
     def found(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers in the table, or OPEN."""
+        """Ranks, or OPEN."""
         if not len(self.hashes):
             return np.full(len(hashes), OPEN, dtype=np.uint16)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, OPEN).astype(np.uint16)
+        return np.where(self.hashes[at] == hashes, self.ranks[at], OPEN).astype(np.uint16)
 
 
 def frequent_words(texts: DataFrame, path: str) -> list[bytes]:
@@ -209,139 +209,167 @@ def _head(held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([strings[i] for i in first[top].tolist()], pa.binary()), pa.array(totals[top])], ["word", "n"])
 
 
+_codec = pa.Codec("zstd", 1)
+
+
 def _pack(*columns: tuple[np.ndarray, str]) -> bytes:
-    """Arrays one after the other, their lengths in front."""
-    return np.array([len(values) for values, _ in columns], dtype=np.int64).tobytes() + b"".join(np.ascontiguousarray(values, dtype=kind).tobytes() for values, kind in columns)
+    """Arrays as compressed bytes, all first bytes of an array's numbers before all second ones; their lengths in front."""
+    planes = [np.ascontiguousarray(values, dtype=kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T.tobytes() for values, kind in columns]
+    raw = np.array([len(values) for values, _ in columns], dtype=np.int64).tobytes() + b"".join(planes)
+    return len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = _codec.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     at, found = 8 * len(kinds), []
-    for size, kind in zip(np.frombuffer(blob, dtype=np.int64, count=len(kinds)).tolist(), kinds, strict=True):
-        found.append(np.frombuffer(blob, dtype=kind, count=size, offset=at))
-        at += found[-1].nbytes
+    for size, kind in zip(np.frombuffer(raw, dtype=np.int64, count=len(kinds)).tolist(), kinds, strict=True):
+        wide = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, dtype=np.uint8, count=size * wide, offset=at).reshape(wide, size)
+        found.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
+        at += size * wide
     return found
 
 
-_TEXT_KINDS = ("i8", "u1", "i4", "u2")
-_WORD_KINDS = ("i4", "u1", "i4", "u1")
-_ID_KINDS = ("i4", "i4", "u4")
-
-
-def _sent(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    part, block, kind, blob = zip(*rows, strict=True)
-    columns = [pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["part", "block", "kind", "blob"])
-
-
-def _split(path: str, shared, parts: int):
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, table = TaskContext.get().partitionId() << 32, shared.value
+#: Letters and sizes of words; sizes and ids of words; and of a block: doc_ids, whether they are null, words, ranks, repeated open words, parts of the open words, sizes and ids of the long ones.
+_WORD_KINDS = ("u1", "u1")
+_PLACE_KINDS = ("i8", "u1", "i4", "u2", "u4", "u2", "i4", "u4")
+
+
+def _id_kinds(path: str) -> tuple[str, str]:
+    return "u1", "u2" if library(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "u4"
+
+
+class _Block:
+    """Words of one slice: ranks of the frequent ones, and the distinct open ones in the order in which they first occur."""
+
+    def __init__(self, piece: words.Words, path: str, table: Table, parts: int) -> None:
+        self.piece = piece
+        self.starts, self.ends, self.rows = cut_words(piece, path)
+        hashes = piece.parts(self.starts, self.ends)
+        self.ranks = table.found(hashes)
+        places = np.flatnonzero(self.ranks == OPEN)
+        distinct, first, group = np.unique(hashes[places], return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.arange(len(order))
+        self.open, self.heads = number[group], places[first[order]]
+        self.long = self.ends[self.heads] - self.starts[self.heads] > LONGEST
+        # the last part number stands for words that are encoded here
+        self.part = np.where(self.long, parts, (distinct[order] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+    def strings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Letters in a row and sizes of the open words at these numbers."""
+        sizes = self.ends[self.heads[at]] - self.starts[self.heads[at]]
+        return self.piece.text[ragged(self.starts[self.heads[at]], sizes)], sizes
+
+    def asked(self) -> Iterator[tuple[int, bytes]]:
+        by = np.argsort(self.part, kind="stable")
+        by = by[: len(by) - int(self.long.sum())]
+        edges = np.flatnonzero(np.diff(self.part[by], prepend=-1, append=-1))
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            yield int(self.part[by[low]]), _pack(*zip(self.strings(by[low:high]), _WORD_KINDS, strict=True))
+
+    def places(self, named: np.ndarray, missing: np.ndarray, path: str) -> bytes:
+        letters, sizes = self.strings(np.flatnonzero(self.long))
+        ends = np.cumsum(sizes)
+        ids, lengths = encoded(path, _strings(letters.tobytes(), ends - sizes, ends))
+        # 0 for a word that occurs for the first time, else its number plus one
+        again = np.where(np.diff(np.maximum.accumulate(self.open), prepend=-1) > 0, 0, self.open + 1)
+        return _pack(*zip((named, missing, np.bincount(self.rows, minlength=self.piece.rows), self.ranks, again, self.part, lengths, ids), _PLACE_KINDS, strict=True))
+
+
+def _blocks(path: str, shared, parts: int, ask: bool):
+    """One row for each part that a block asks, or one row with the places of each block."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(0)
             named, missing = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
             for piece in words.slices(batch.column(1), words.WHITE_SPACE, lower=False):
-                starts, ends, rows = cut_words(piece, path)
-                hashes = piece.parts(starts, ends)
-                slots = table.found(hashes)
-                here = slice(piece.row, piece.row + piece.rows)
-                counts = np.bincount(rows, minlength=piece.rows)
-                out = [(block % parts, block, _TEXTS, _pack(*zip((named[here], missing[here], counts, slots), _TEXT_KINDS, strict=True)))]
-                rest = np.flatnonzero(slots == OPEN)
-                if len(rest):
-                    out += _open_words(piece, path, starts, ends, hashes, rest, block, parts)
-                yield _sent(out)
-                block += 1
-
-    return blocks
-
-
-def _open_words(piece: words.Words, path: str, starts, ends, hashes, rest: np.ndarray, block: int, parts: int) -> list[tuple[int, int, int, bytes]]:
-    """Rows for the words outside the table: ids of long words, and the others by part, each with its places."""
-    order = rest[np.argsort(hashes[rest], kind="stable")]
-    fresh = np.flatnonzero(np.diff(hashes[order], prepend=hashes[order[0]] + np.uint64(1)) != 0)
-    times = np.diff(np.append(fresh, len(order)))
-    head, data, out = order[fresh], piece.text.tobytes(), []
-    long = ends[head] - starts[head] > LONGEST
-    if long.any():
-        at = np.flatnonzero(long)
-        flat, sizes = encoded(path, _strings(data, starts[head[at]], ends[head[at]]))
-        out.append((block % parts, block, _IDS, _placed(order[ragged(fresh[at], times[at])], times[at], flat, sizes)))
-    at = np.flatnonzero(~long)
-    to = ((hashes[head[at]] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    by = np.argsort(to, kind="stable")
-    at, to = at[by], to[by]
-    bounds = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
-    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        own = at[low:high]
-        sizes = ends[head[own]] - starts[head[own]]
-        letters = piece.text[ragged(starts[head[own]], sizes)]
-        out.append((int(to[low]), block, _WORDS, _pack(*zip((order[ragged(fresh[own], times[own])], letters, times[own], sizes), _WORD_KINDS, strict=True))))
-    return out
-
-
-def _placed(places: np.ndarray, times: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> bytes:
-    """Ids of words at their places; the words come one after the other, each `times` its number of places."""
-    word = np.repeat(np.arange(len(times)), times)
-    first = np.cumsum(sizes) - sizes
-    return _pack(*zip((places, sizes[word], flat[ragged(first[word], sizes[word])]), _ID_KINDS, strict=True))
+                block, here = _Block(piece, path, shared.value, parts), slice(piece.row, piece.row + piece.rows)
+                sent = list(block.asked()) if ask else [(_PLACES, block.places(named[here], missing[here], path))]
+                if sent:
+                    part, blob = zip(*sent, strict=True)
+                    columns = {"part": pa.array(part, pa.int32()), "block": pa.array([number] * len(part), pa.int64()), "blob": pa.array(blob, pa.binary())}
+                    names = ["part", "block", "blob"] if ask else ["block", "part", "blob"]
+                    yield pa.RecordBatch.from_arrays([columns[name] for name in names], names)
+                number += 1
+
+    return rows
 
 
 def _encode_part(path: str):
     def part(table: pa.Table) -> pa.Table:
         numbers, texts, asked, out = {}, [], [], []
-        for block, kind, blob in zip(*(table.column(name).to_pylist() for name in ("block", "kind", "blob")), strict=True):
-            if kind != _WORDS:
-                out.append((block, kind, blob))
-                continue
-            places, letters, times, sizes = _unpack(blob, *_WORD_KINDS)
+        for block, blob in zip(table.column("block").to_pylist(), table.column("blob"), strict=True):
+            letters, sizes = _unpack(blob.as_buffer().to_pybytes(), *_WORD_KINDS)
             ends = np.cumsum(sizes, dtype=np.int64)
-            own = []
-            for text in _strings(letters.tobytes(), ends - sizes, ends):
+            own = np.empty(len(sizes), dtype=np.int64)
+            for i, text in enumerate(_strings(letters.tobytes(), ends - sizes, ends)):
                 if (number := numbers.setdefault(text, len(texts))) == len(texts):
                     texts.append(text)
-                own.append(number)
-            asked.append((block, places, times, np.array(own)))
-        flat, size = encoded(path, texts)
-        first = np.cumsum(size) - size
-        for block, places, times, own in asked:
-            out.append((block, _IDS, _placed(places, times, flat[ragged(first[own], size[own])], size[own])))
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"block": pa.array(columns[0], pa.int64()), "kind": pa.array(columns[1], pa.int32()), "blob": pa.array(columns[2], pa.binary())})
+                own[i] = number
+            asked.append((block, own))
+        ids, size = encoded(path, texts)
+        first, kinds = np.cumsum(size) - size, _id_kinds(path)
+        for block, own in asked:
+            out.append((block, _pack((size[own], kinds[0]), (ids[ragged(first[own], size[own])], kinds[1]))))
+        block, blob = zip(*out, strict=True)
+        return pa.table({"block": pa.array(block, pa.int64()), "part": pa.array([table.column("part")[0].as_py()] * len(out), pa.int32()), "blob": pa.array(blob, pa.binary())})
 
     return part
 
 
-def _join_block(shared):
+def _join_block(path: str, shared, parts: int, pieces):
     def block(table: pa.Table) -> pa.Table:
-        known, rows = shared.value, list(zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True))
-        named, missing, counts, slots = _unpack(next(blob for kind, blob in rows if kind == _TEXTS), *_TEXT_KINDS)
-        flat, first, size = [known.ids], np.zeros(len(slots), dtype=np.int64), np.zeros(len(slots), dtype=np.int64)
-        at = slots != OPEN
-        first[at], size[at] = known.first[slots[at]], known.sizes[slots[at]]
-        base = len(known.ids)
-        for kind, blob in rows:
-            if kind == _IDS:
-                places, sizes, ids = _unpack(blob, *_ID_KINDS)
-                first[places], size[places] = base + np.cumsum(sizes, dtype=np.int64) - sizes, sizes
-                flat.append(ids)
-                base += len(ids)
-        ids = np.concatenate(flat)[ragged(first, size)].astype("<u4")
-        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))]
+        known, blobs = shared.value, dict(zip(table.column("part").to_pylist(), (blob.as_buffer().to_pybytes() for blob in table.column("blob")), strict=True))
+        named, missing, counts, ranks, again, part, sizes, ids = _unpack(blobs.pop(_PLACES), *_PLACE_KINDS)
+        flat, base = [known.ids, ids], len(known.ids) + len(ids)
+        # where the ids of each open word start, and how many it has
+        first, size = np.zeros(len(part), dtype=np.int64), np.zeros(len(part), dtype=np.int64)
+        at = np.flatnonzero(part == parts)
+        first[at], size[at] = len(known.ids) + np.cumsum(sizes, dtype=np.int64) - sizes, sizes
+        for number, blob in blobs.items():
+            sizes, ids = _unpack(blob, *_id_kinds(path))
+            at = np.flatnonzero(part == number)
+            first[at], size[at] = base + np.cumsum(sizes, dtype=np.int64) - sizes, sizes
+            flat.append(ids)
+            base += len(ids)
+        fresh = again == 0
+        word = np.where(fresh, np.cumsum(fresh) - 1, again.astype(np.int64) - 1)
+        is_open = ranks == OPEN
+        start, length = np.empty(len(ranks), dtype=np.int64), np.empty(len(ranks), dtype=np.int64)
+        start[is_open], length[is_open] = first[word], size[word]
+        start[~is_open], length[~is_open] = known.first[ranks[~is_open]], known.sizes[ranks[~is_open]]
+        ids = np.concatenate(flat)[ragged(start, length)].astype("<u4")
+        ends = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(counts))]
         values = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(4 * ends.astype(np.int64)), pa.py_buffer(ids)])
-        return pa.table({"doc_id": pa.array(named, mask=missing.astype(bool)), "n_tokens": pa.array(np.diff(ends)), "ids": values.cast(pa.binary())})
+        found = {"doc_id": pa.array(named, mask=missing.astype(bool)), "n_tokens": pa.array(np.diff(ends)), "ids": values.cast(pa.binary())}
+        if pieces is not None:
+            found["decoded"] = pa.array([_text(ids[low:high], pieces.value) for low, high in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+        return pa.table(found)
 
     return block
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the ids (little-endian unsigned 32-bit integers) of every document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _text(ids: np.ndarray, pieces: tuple[np.ndarray, np.ndarray, np.ndarray]) -> str:
+    letters, first, size = pieces
+    own = ids[ids < len(size)]
+    return letters[ragged(first[own], size[own])].tobytes().decode(errors="replace")
+
+
+def encode(docs: DataFrame, path: str, and_decode: bool = False) -> DataFrame:
+    """doc_id, n_tokens and the ids (little-endian unsigned 32-bit integers) of every document, and if wanted the text that they decode to."""
+    context = docs.sparkSession.sparkContext
+    texts = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = texts.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(2 * shuffle_partitions(docs.sparkSession), size // PART_BYTES)
-    shared = docs.sparkSession.sparkContext.broadcast(Table(frequent_words(texts, path), path))
-    sent = texts.mapInArrow(_split(path, shared, parts), _SENT)
-    answered = sent.groupBy("part").applyInArrow(_encode_part(path), "block long, kind int, blob binary")
-    return answered.groupBy("block").applyInArrow(_join_block(shared), "doc_id long, n_tokens long, ids binary")
+    parts = min(OPEN, max(2 * shuffle_partitions(docs.sparkSession), size // PART_BYTES))
+    shared = context.broadcast(Table(frequent_words(texts, path), path))
+    pieces = context.broadcast(piece_bytes(path)) if and_decode else None
+    answered = texts.mapInArrow(_blocks(path, shared, parts, True), _ASKED).groupBy("part").applyInArrow(_encode_part(path), _ANSWERED)
+    placed = texts.mapInArrow(_blocks(path, shared, parts, False), _ANSWERED)
+    joined = "doc_id long, n_tokens long, ids binary" + (", decoded string" if and_decode else "")
+    return placed.unionByName(answered).groupBy("block").applyInArrow(_join_block(path, shared, parts, pieces), joined)
 
 
 def piece_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -364,13 +392,8 @@ def decode(encoded_docs: DataFrame, path: str) -> DataFrame:
     schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in encoded_docs.schema) + ", decoded string"
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, first, size = shared.value
         for batch in batches:
-            found = []
-            for ids in batch.column(names.index("ids")):
-                own = np.frombuffer(ids.as_py() or b"", dtype="<u4")
-                own = own[own < len(size)]
-                found.append(letters[ragged(first[own], size[own])].tobytes().decode(errors="replace"))
+            found = [_text(np.frombuffer(ids.as_py() or b"", dtype="<u4"), shared.value) for ids in batch.column(names.index("ids"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*names, "decoded"])
 
     return encoded_docs.mapInArrow(texts, schema)
@@ -378,5 +401,5 @@ def decode(encoded_docs: DataFrame, path: str) -> DataFrame:
 
 def report(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids and of the text that they decode to."""
-    coded = decode(encode(docs, path), path)
+    coded = encode(docs, path, and_decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
