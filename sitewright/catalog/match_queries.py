@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitewright.catalog import inputs
 from sitewright.catalog.site_views import Site, with_views
 from sitewright.operators import matching as MA
+from sitewright.operators import page_checks as PC
+from sitewright.operators import page_facts as PF
+from sitewright.operators import summaries as SU
+from sitewright.operators import templates as TP
+from sitewright.operators.predicates import evaluate_checks
+from sitewright.session import shared_folder
 from sitewright.sources import crawler_exports as CE
 from sitewright.sources import exports as XP
 
@@ -75,4 +83,89 @@ ORACLE["import_merged_pages"] = """SELECT run_id, u AS url, CASE WHEN e IS NOT N
  array_to_string(list_sort(list_distinct(CASE WHEN e IS NOT NULL THEN list_concat(st, ['Article', 'Extra']) ELSE st END)), ',') AS schema_types, CASE WHEN e IS NOT NULL THEN 'internal_html,response_codes' ELSE 'internal_html' END AS source_types FROM (
  SELECT run_id, normalized_url AS u, max_by(page_id, page_id) FILTER (page_id % 2 = 0) AS e, max_by(struct_pack(status_code := status_code), page_id) AS s0, max_by(status_code, page_id) AS status_code0, max_by(trim(title), page_id) FILTER (trim(title) <> '') AS title, CAST(max_by(word_count_raw, page_id) AS INT) AS w,
    list_filter(list_distinct(flatten(list(string_split(schema_types, ',')))), lambda x: x <> '') AS st, max_by(status_code, page_id) AS sc FROM site_pages GROUP BY 1, 2) q, LATERAL (SELECT q.sc AS status_code, q.title AS title, q.w AS w) p"""
+
+
+def crawler_files(s) -> str:
+    """Three exports of the documents as quoted files with other delimiters each; whole texts with their line breaks and quotes are cells."""
+    folder = f"{shared_folder(s.spark)}/sitewright/exports-{uuid.uuid4().hex}"
+    docs = s.table("documents")
+    address = F.concat(F.lit("https://import.example/doc/"), c("doc_id").cast("string"))
+    status = F.when(c("doc_id") % 9 == 4, "404").otherwise("200")
+    write = lambda name, sep, rows: rows.write.csv(f"{folder}/{name}", header=True, sep=sep, quoteAll=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    write("internal_html", ",", docs.select(
+        address.alias("Address"), status.alias("Status Code"), c("source").alias("Title 1"), c("text").alias("Meta Description 1"), c("n_chars").cast("string").alias("Word Count"), c("lang").alias("Own; Remark")))
+    write("page_titles", ";", docs.where("source IS NOT NULL").select(F.concat(F.lit("HTTPS://IMPORT.Example/doc/"), c("doc_id").cast("string")).alias("Address"), F.concat(c("source"), F.lit('\n"'), F.coalesce("lang", F.lit("?")), F.lit('"; ')).alias("Title 1"), F.lit("7").alias("Title 1 Length")))
+    target = F.concat(F.lit("/doc/"), (c("doc_id") + 1).cast("string"))
+    write("all_inlinks", "\t", docs.select(address.alias("Source"), F.concat(F.lit("https://import.example"), target).alias("Destination"), c("text").alias("Anchor Text"), F.lit("Hyperlink").alias("Type"), F.lit("true").alias("Follow")))
+    return folder
+
+
+def _imported(s):
+    folder = crawler_files(s)
+    return CE.import_exports(s.spark, [f"{folder}/{name}" for name in ("internal_html", "page_titles", "all_inlinks")], "import")
+
+
+def _imported_pages(s):
+    pages, links, _, _ = _imported(s)
+    anchors = links.groupBy(c("source_url").alias("url")).agg(F.count(F.lit(1)).alias("links"), F.sum(F.length("anchor_text")).alias("anchor_chars"))
+    return pages.join(anchors, "url", "left").select(
+        "url", "status_code", "indexable", "title", F.sha2("meta_description", 256).alias("description_sha256"), F.length("meta_description").alias("description_length"), "word_count", F.array_join("source_types", ",").alias("source_types"),
+        F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("anchor_chars", F.lit(0)).alias("anchor_chars"))
+
+
+QUERIES["import_files"] = _simple(_imported_pages)
+ORACLE["import_files"] = """
+SELECT 'https://import.example/doc/' || doc_id AS url, CAST(CASE WHEN doc_id % 9 = 4 THEN 404 ELSE 200 END AS INT) AS status_code, CASE WHEN doc_id % 9 = 4 THEN 0 ELSE 1 END AS indexable,
+  CASE WHEN source IS NOT NULL THEN trim(source || chr(10) || '"' || coalesce(lang, '?') || '"; ') END AS title, sha256(t) AS description_sha256, CAST(length(t) AS INT) AS description_length,
+  CAST(coalesce(n_chars, 0) AS INT) AS word_count, CASE WHEN source IS NOT NULL THEN 'internal_html,page_titles' ELSE 'internal_html' END AS source_types, CAST(1 AS BIGINT) AS links, CAST(coalesce(length(t), 0) AS BIGINT) AS anchor_chars
+FROM (SELECT *, nullif(trim(text), '') AS t FROM documents) d"""
+
+
+def _import_columns(s):
+    files = _imported(s)[3]
+    return CE.column_report(files).select("export_type", "confidence", "header", "name", F.array_join("fields", ",").alias("fields")).distinct()
+
+
+QUERIES["import_columns"] = _simple(_import_columns)
+ORACLE["import_columns"] = """
+SELECT * FROM (VALUES ('internal_html', 'high', 'Address', 'address', 'url,image_url'), ('internal_html', 'high', 'Status Code', 'status_code', 'status_code'), ('internal_html', 'high', 'Title 1', 'title_1', 'title'),
+  ('internal_html', 'high', 'Meta Description 1', 'meta_description_1', 'meta_description'), ('internal_html', 'high', 'Word Count', 'word_count', 'word_count'), ('internal_html', 'high', 'Own; Remark', 'own_remark', ''),
+  ('page_titles', 'high', 'Address', 'address', 'url,image_url'), ('page_titles', 'high', 'Title 1', 'title_1', 'title'), ('page_titles', 'high', 'Title 1 Length', 'title_1_length', ''),
+  ('inlinks', 'high', 'Source', 'source', 'source,page_url'), ('inlinks', 'high', 'Destination', 'destination', 'destination'), ('inlinks', 'high', 'Anchor Text', 'anchor_text', 'anchor_text'),
+  ('inlinks', 'high', 'Type', 'type', 'schema_types,link_type'), ('inlinks', 'high', 'Follow', 'follow', '')) v(export_type, confidence, header, name, fields) WHERE EXISTS (SELECT 1 FROM documents)"""
+
+
+def _import_rows(s):
+    rows = PF.from_import(_imported(s)[0])
+    return PC.prepare(rows), rows.select("run_id", F.lit("import").alias("source_type"), F.lit(1).alias("store_headers"), F.lit(0).alias("use_browser")).distinct()
+
+
+IMPORT_CHECKS = ("tech.title_missing", "tech.meta_description_missing", "tech.title_too_short", "tech.title_too_long", "tech.meta_description_too_long", "tech.h1_missing", "tech.html_lang_missing", "tech.4xx_pages", "tech.content_type_html_correct")
+
+
+def _import_checks(s):
+    rows, runs = _import_rows(s)
+    checks = [check for check in (*PC.head_checks(), *PC.crawl_checks()) if check.id in IMPORT_CHECKS]
+    return SU.import_aware(inputs.flat_results(evaluate_checks(rows, runs, checks)), runs).drop("evidence")
+
+
+QUERIES["import_checks"] = _simple(_import_checks)
+_IMPORTED = """(SELECT 'https://import.example/doc/' || doc_id AS url, doc_id % 9 <> 4 AS found, CASE WHEN source IS NOT NULL THEN trim(source || chr(10) || '"' || coalesce(lang, '?') || '"; ') END AS title, nullif(trim(text), '') AS description FROM documents)"""
+_HITS = {
+    "tech.title_missing": ("found AND coalesce(title, '') = ''", "Error"),
+    "tech.meta_description_missing": ("found AND description IS NULL", "Warning"),
+    "tech.title_too_short": ("found AND length(title) < 20", "Warning"),
+    "tech.title_too_long": ("found AND length(title) > 65", "Warning"),
+    "tech.meta_description_too_long": ("found AND length(description) > 165", "Warning"),
+    "tech.h1_missing": ("found", "Warning"),
+    "tech.html_lang_missing": ("found", "Warning"),
+    "tech.4xx_pages": ("NOT found", "Warning"),
+    "tech.content_type_html_correct": ("NOT found", "Warning"),
+}
+ORACLE["import_checks"] = " UNION ALL ".join(
+    f"""SELECT 'import' AS run_id, '{check}' AS check_id, CASE WHEN count(*) FILTER ({hit}) > 0 THEN 'fail' ELSE 'pass' END AS evaluation_state, CASE WHEN count(*) FILTER ({hit}) > 0 THEN '{status}' ELSE 'OK' END AS status,
+  count(*) FILTER ({hit}) AS affected_count, coalesce((SELECT string_agg(url, ' | ' ORDER BY url) FROM (SELECT url FROM {_IMPORTED} i WHERE {hit} ORDER BY url LIMIT 10) t), '') AS sample_urls FROM {_IMPORTED} i"""
+    for check, (hit, status) in _HITS.items())
+QUERIES["import_clusters"] = _simple(lambda s: TP.clusters(_import_rows(s)[0]).select("run_id", "cluster_key", "url_count", "indexable_count", F.element_at("status_codes", F.lit("200")).alias("ok")))
+ORACLE["import_clusters"] = """SELECT 'import' AS run_id, 'other:/{category}/{id}' AS cluster_key, count(*) AS url_count, count(*) FILTER (doc_id % 9 <> 4) AS indexable_count, count(*) FILTER (doc_id % 9 <> 4) AS ok FROM documents"""
 ORACLE = {name: with_views(text) for name, text in ORACLE.items()}

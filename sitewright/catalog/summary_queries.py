@@ -74,11 +74,10 @@ ORACLE["detail_render_state"] = """
 SELECT p.run_id, p.page_id, p.url, m.render_decision, m.settling_status, m.browser_run
 FROM site_pages p LEFT JOIN site_url_metrics m ON m.run_id = p.run_id AND m.page_id = p.page_id WHERE p.status_code = 200"""
 
-LIVE = ("tech.https_reachable", "tech.robots_txt_present", "tech.sitemap_present", "tech.hsts_header", "tech.console_errors_present", "geo.llms_txt_present")
-QUERIES["results_import_aware"] = _simple(lambda s: SU.import_aware(s.table("site_findings").select("run_id", "finding_id", "check_id", "evaluation_state", "status", "affected_count"), s.table("finding_runs"), LIVE))
+QUERIES["results_import_aware"] = _simple(lambda s: SU.import_aware(s.table("site_findings").select("run_id", "finding_id", "check_id", "evaluation_state", "status", "affected_count"), s.table("finding_runs")))
 ORACLE["results_import_aware"] = """
 SELECT f.run_id, finding_id, check_id, CASE WHEN skip THEN 'not_executed' ELSE evaluation_state END AS evaluation_state, CASE WHEN skip THEN 'NA' ELSE status END AS status,
   CASE WHEN skip THEN 0 ELSE affected_count END AS affected_count
-FROM (SELECT f.*, coalesce(r.source_type = 'import', false) AND check_id IN ('""" + "', '".join(LIVE) + """') AS skip FROM site_findings f LEFT JOIN finding_runs r ON r.run_id = f.run_id) f"""
+FROM (SELECT f.*, coalesce(r.source_type = 'import', false) AND check_id IN ('""" + "', '".join(SU.LIVE_CHECKS) + """') AS skip FROM site_findings f LEFT JOIN finding_runs r ON r.run_id = f.run_id) f"""
 
 ORACLE = {name: with_views(text) for name, text in ORACLE.items()}

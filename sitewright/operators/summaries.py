@@ -90,7 +90,34 @@ def render_details(rows: DataFrame, metrics: DataFrame) -> DataFrame:
     return rows.join(facts, ["run_id", "page_id"], "left")
 
 
-def import_aware(results: DataFrame, runs: DataFrame, live_checks: tuple[str, ...]) -> DataFrame:
+# fixed values: checks that need facts of a live crawl
+LIVE_CHECKS = (
+    "tech.https_reachable",
+    "tech.http_to_https_redirect",
+    "tech.www_non_www_consistency",
+    "tech.robots_txt_present",
+    "tech.sitemap_present",
+    "tech.sitemap_in_robots",
+    "geo.llms_txt_present",
+    "geo.llms_txt_http_status",
+    "geo.llms_full_txt_present",
+    "geo.robots_blocks_txt_files",
+    "geo.ai_bots_policy_summary",
+    "geo.robots_mentions_applebot",
+    "geo.robots_mentions_bytespider",
+    "geo.robots_mentions_ccbot",
+    "geo.robots_mentions_chatgpt_user",
+    "geo.robots_mentions_claude_web",
+    "geo.robots_mentions_claudebot",
+    "geo.robots_mentions_google_extended",
+    "geo.robots_mentions_gptbot",
+    "geo.robots_mentions_oai_searchbot",
+    "geo.robots_mentions_perplexitybot",
+    "geo.markdown_twin_homepage",
+)
+
+
+def import_aware(results: DataFrame, runs: DataFrame, live_checks: tuple[str, ...] = LIVE_CHECKS) -> DataFrame:
     """Results in which checks that need a live crawl are not executed for imported runs."""
     origin = runs.select("run_id", "source_type")
     skip = F.coalesce(c("source_type") == "import", F.lit(False)) & c("check_id").isin(*live_checks)

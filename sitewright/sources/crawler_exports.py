@@ -1,18 +1,18 @@
-"""Crawler CSV exports: delimiter and type detection, alias mapping, merge of facts across files, import into pages."""
+"""Crawler CSV exports: type detection, alias mapping, merge of facts across files, import into pages; all files in one job."""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitewright.functions import misc as MI
 from sitewright.functions import url as U
+from sitewright.session import stored
+from sitewright.sources import delimited as D
 
 c = F.col
-DELIMITERS = (",", ";", "\t", "|")
 
 # fixed values: export types with their required headers, signal headers and file name hints
 EXPORTS = {
@@ -143,48 +143,59 @@ NUMERIC = ("status_code", "h1_count", "word_count", "depth", "inlink_count", "ou
 TEXT = ("final_url", "content_type", "indexability", "title", "meta_description", "h1", "canonical", "meta_robots", "x_robots_tag", "cache_control", "http_version")
 
 
-def header_name(text: str) -> str:
-    return re.sub("_+", "_", re.sub(r"[^a-z0-9]+", "_", text.strip().lstrip("﻿").lower())).strip("_")
+#: Exports that a complete import has.
+EXPECTED = (
+    "internal_html", "response_codes", "page_titles", "meta_descriptions", "h1", "canonicals", "directives", "inlinks", "outlinks", "images",
+    "structured_data", "hreflang",
+)
+LINK_EXPORTS = ("inlinks", "outlinks")
 
 
-def delimiter_of(first_line: str) -> str:
-    """The candidate that splits the first line most often."""
-    return max(DELIMITERS, key=lambda mark: (first_line.count(mark), -DELIMITERS.index(mark)))
+def export_type(names: Column, path: Column) -> Column:
+    """Struct with the best export type for header names and a path, with its confidence: required headers count four times, signal headers once, a hint in the name of the file or its folder twice.
 
+    Ties go to the type with more signal headers, then to the one listed first. Without any point the type is unknown.
+    """
+    words = lambda text: F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    place = words(F.regexp_extract(F.coalesce(path, F.lit("")), "([^/]*/)?[^/]*$", 0))
+    scored = []
+    for order, (kind, (required, signals, hints)) in enumerate(EXPORTS.items()):
+        have = lambda wanted: F.size(F.array_intersect(names, F.array(*map(F.lit, wanted)))) if wanted else F.lit(0)
+        hinted = F.exists(F.array(*[F.lit(re.sub("[^a-z0-9]+", " ", hint).strip()) for hint in (kind, *hints)]), lambda hint: place.contains(hint))
+        found, signs = have(required), have(signals)
+        confidence = F.when(found < len(required), "medium").otherwise("high")
+        scored.append(F.struct((4 * found + signs + F.when(hinted, 2).otherwise(0)).alias("score"), signs.alias("signs"), F.lit(-order).alias("order"), F.lit(kind).alias("kind"), confidence.alias("confidence")))
+    none = F.struct(F.lit(0).alias("score"), F.lit(len(EXPORTS)).alias("signs"), F.lit(0).alias("order"), F.lit("unknown").alias("kind"), F.lit("low").alias("confidence"))
+    return F.array_max(F.array(none, *scored))
 
-def detect(headers: list[str], file_name: str) -> tuple[str, int, str]:
-    """Best export type with its score and confidence for a header row."""
-    have, name = set(map(header_name, headers)), file_name.lower()
 
-    def score(kind: str) -> int:
-        required, signals, hints = EXPORTS[kind]
-        return 4 * len(have & set(required)) + len(have & set(signals)) + (2 if any(hint in name for hint in hints) else 0)
+def scan(spark: SparkSession, paths: list[str], run_id: str) -> tuple[DataFrame, DataFrame]:
+    """Files with their export type, and the rows of all of them, in one job. Later files, by path, overwrite earlier ones."""
+    files, rows = D.table(spark, paths)
+    named = U.computed_once(files, {"found": export_type(F.array_compact("names"), c("path"))})
+    order = F.dense_rank().over(Window.orderBy("path")) - 1
+    known = stored(named.select("file", "path", "bytes", "delimiter", "headers", "names", c("found.kind").alias("export_type"), "found.confidence", order.alias("file_order")))
+    typed = rows.join(known.select("file", "export_type", "file_order"), "file")
+    return known, typed.select(F.lit(run_id).alias("run_id"), "export_type", "file_order", F.struct("block", "seq").alias("row_order"), "names", "cells")
 
-    best = max(EXPORTS, key=score)
-    complete = set(EXPORTS[best][0]) <= have
-    return best, score(best), "high" if complete else "medium"
 
-
-def read(spark: SparkSession, path: str, run_id: str, order: int = 0) -> DataFrame:
-    """Rows of one export with normalised headers; the header line is the only thing read ahead."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0] if first else ""
-    rows = spark.read.csv(path, header=True, sep=delimiter_of(line), quote='"', escape='"', multiLine=True)
-    kind, _, _ = detect(rows.columns, path.rsplit("/", 1)[-1])
-    named = rows.toDF(*[header_name(name) for name in rows.columns])
-    return named.withColumns({"run_id": F.lit(run_id), "export_type": F.lit(kind), "file_order": F.lit(order), "row_order": F.monotonically_increasing_id()})
+def column_report(files: DataFrame) -> DataFrame:
+    """Every header of every file with the logical fields that it fills; none means that the column is ignored."""
+    known = [(field, alias) for field, aliases in FIELDS.items() for alias in aliases]
+    table = F.array(*[F.struct(F.lit(field).alias("field"), F.lit(alias).alias("alias")) for field, alias in known])
+    rows = files.select("path", "export_type", "confidence", F.posexplode(F.arrays_zip("headers", "names")).alias("position", "column"))
+    fields = F.transform(F.filter(table, lambda pair: pair["alias"] == c("column.names")), lambda pair: pair["field"])
+    return rows.select("path", "export_type", "confidence", "position", c("column.headers").alias("header"), c("column.names").alias("name"), F.coalesce(fields, F.array().cast("array<string>")).alias("fields"))
 
 
 def field(rows: DataFrame, name: str) -> Column:
+    """A logical field of scanned rows, or of a frame with one column for each header."""
+    if "cells" in rows.columns:
+        return D.cell(*FIELDS[name])
     found = [F.nullif(F.trim(c(alias).cast("string")), F.lit("")) for alias in FIELDS[name] if alias in rows.columns]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def ignored_columns(headers: list[str]) -> list[str]:
-    known = {alias for aliases in FIELDS.values() for alias in aliases}
-    return [name for name in headers if header_name(name) not in known]
-
-
 def facts(rows: DataFrame) -> DataFrame:
     """Typed page facts of an export, one row per line with a usable address."""
     columns = {name: MI.imported_number(field(rows, name)) for name in NUMERIC} | {name: field(rows, name) for name in TEXT}
@@ -217,26 +228,32 @@ def merge(all_facts: DataFrame) -> DataFrame:
 def page_records(merged: DataFrame) -> DataFrame:
     """Page rows with the defaults an import implies."""
     robots = F.lower(F.concat_ws(" ", "meta_robots", "x_robots_tag"))
-    noindex = robots.contains("noindex")
+    noindex, nofollow = robots.contains("noindex"), robots.contains("nofollow")
     stated = F.lower(c("indexability"))
     indexable = F.when(c("indexability").isNotNull(), stated.contains("indexable") & ~stated.contains("non-indexable")).when(noindex | (c("status_code") >= 400), False).otherwise(True)
     kind = F.coalesce(c("content_type"), F.when(F.coalesce(c("status_code"), F.lit(999)) < 300, "text/html"))
     return merged.select(
-        "run_id", "url", F.coalesce(U.normalize(c("final_url")), c("url")).alias("normalized_url"), c("status_code").cast("int").alias("status_code"), kind.alias("content_type"), indexable.cast("int").alias("indexable"), noindex.cast("int").alias("noindex"), "title",
+        "run_id", "url", F.coalesce(U.normalize(c("final_url")), c("url")).alias("normalized_url"), c("status_code").cast("int").alias("status_code"), kind.alias("content_type"), indexable.cast("int").alias("indexable"), noindex.cast("int").alias("noindex"), nofollow.cast("int").alias("nofollow"), "meta_robots", "x_robots_tag", "title",
         F.length("title").alias("title_length"), "meta_description", "h1", F.coalesce(c("h1_count"), F.when(c("h1").isNotNull(), 1).otherwise(0)).cast("int").alias("h1_count"), "canonical", F.coalesce(c("word_count"), F.lit(0)).cast("int").alias("word_count"),
-        F.coalesce(c("depth"), F.lit(0)).cast("int").alias("depth"), F.coalesce("schema_types", F.array().cast("array<string>")).alias("schema_types"), "performance_score", "source_types",
+        F.coalesce(c("depth"), F.lit(0)).cast("int").alias("depth"), F.coalesce("schema_types", F.array().cast("array<string>")).alias("schema_types"), "performance_score", "source_types", c("raw_html_size").cast("bigint").alias("raw_html_size"),
     )
 
 
-def import_exports(spark: SparkSession, paths: list[str], run_id: str) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None, list[str]]:
-    """Pages, links and images of a set of exports (None where no export has them), and the expected export types that are missing."""
-    parts: dict[str, list[DataFrame]] = {"pages": [], "links": [], "images": []}
-    kinds = set()
-    for order, path in enumerate(paths):
-        rows = read(spark, path, run_id, order)
-        kind = detect(rows.columns, path.rsplit("/", 1)[-1])[0]
-        kinds.add(kind)
-        target, mapped = {"inlinks": ("links", links), "outlinks": ("links", links), "images": ("images", images)}.get(kind, ("pages", facts))
-        parts[target].append(mapped(rows))
-    pages, edges, pictures = (reduce(DataFrame.unionByName, own) if own else None for own in parts.values())
-    return (page_records(merge(pages)) if pages else None), edges, pictures, sorted({"internal_html", "response_codes", "inlinks", "images", "structured_data"} - kinds)
+def image_facts(rows: DataFrame) -> DataFrame:
+    """Pages that an image export names, as facts without values."""
+    return rows.select("run_id", "export_type", "file_order", "row_order", U.normalize(field(rows, "page_url")).alias("url")).where(c("url").isNotNull())
+
+
+def import_exports(spark: SparkSession, paths: list[str], run_id: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pages, links and images of any number of exports, and the files they came from."""
+    files, rows = scan(spark, paths, run_id)
+    edges, pictures = rows.where(c("export_type").isin(*LINK_EXPORTS)), rows.where(c("export_type") == "images")
+    others = facts(rows.where(~c("export_type").isin(*LINK_EXPORTS, "images")))
+    found = others.unionByName(image_facts(pictures), allowMissingColumns=True)
+    return page_records(merge(found)), links(edges).where("source_url IS NOT NULL AND normalized_target_url IS NOT NULL"), images(pictures).where("image_url IS NOT NULL"), files
+
+
+def missing_exports(files: DataFrame) -> DataFrame:
+    """Expected export types that no file has."""
+    have = files.select("export_type").distinct()
+    return files.sparkSession.createDataFrame([(kind,) for kind in EXPECTED], "export_type string").join(have, "export_type", "left_anti")
