@@ -13,7 +13,11 @@ from sitewright.functions import text as TX
 from sitewright.functions import url as U
 from sitewright.operators import comparison as CP
 from sitewright.operators import extraction as EX
+from sitewright.operators import page_checks as PC
+from sitewright.operators import page_facts as PF
 from sitewright.operators import structured_data as SD
+from sitewright.operators.predicates import evaluate_checks
+from sitewright.session import stored
 
 QUERIES = {}
 ORACLE = {}
@@ -117,4 +121,54 @@ ORACLE["fn_percentiles"] = "SELECT event_type, round(quantile_cont(value, 0.5),
 QUERIES["fn_json_summary"] = _simple(lambda s: s.table("events").select("event_id", CP.evidence_summary(F.concat(F.lit('{"list":[1,{"a":2}],"none":{},"props":'), c("props"), F.lit(',"text":"x"}'))).alias("summary")))
 ORACLE["fn_json_summary"] = "SELECT event_id, concat('list=#2;none=#0;props=#', CAST(len(json_keys(props)) AS VARCHAR), ';text=x') AS summary FROM events"
 
+
+
+def _from_html(s):
+    """One parse of all documents; every fact that the checks read comes out of it."""
+    facts = stored(EX.tokenize(s.table("article_pages")))
+    types = SD.entities(EX.json_ld_blocks(facts)).select("page_id", "schema_type")
+    return stored(PF.from_html(EX.pages(facts), EX.links(facts), types))
+
+
+QUERIES["extract_evidence"] = _simple(lambda s: EX.pages(s.table("article_pages")).select(
+    "page_id", "has_date", F.array_join("dates", "|").alias("dates"), "date_evidence", "has_author", F.array_join("bylines", "|").alias("bylines"), "author_evidence", "videos", F.array_join("source_targets", " ").alias("source_targets")))
+ORACLE["extract_evidence"] = """
+SELECT page_id, page_id % 5 IN (1, 2) AS has_date, CASE page_id % 5 WHEN 1 THEN 'Am 3. M\u00e4rz 2024' WHEN 2 THEN '2024-01-05' WHEN 4 THEN 'yesterday' ELSE '' END AS dates, CASE WHEN page_id % 5 IN (1, 2) THEN 'markup' END AS date_evidence,
+  page_id % 7 IN (2, 3) AS has_author, CASE page_id % 7 WHEN 2 THEN 'Ann Author' WHEN 3 THEN 'Jo' ELSE '' END AS bylines, CASE WHEN page_id % 7 IN (2, 3) THEN 'markup' WHEN page_id % 6 = 0 THEN 'json_ld' END AS author_evidence,
+  CAST(CASE WHEN page_id % 9 IN (4, 5) THEN 1 ELSE 0 END AS INT) AS videos, CASE page_id % 3 WHEN 1 THEN 'https://journal.test/p' WHEN 2 THEN 'https://a.test/1' ELSE '' END AS source_targets FROM article_pages"""
+
+HTML_CHECKS = (*PC.head_checks(), *PC.structured_data_page_checks(), *PC.content_signal_checks())
+
+
+def _html_checks(s):
+    rows = PC.prepare(_from_html(s))
+    return inputs.flat_results(evaluate_checks(rows, rows.select("run_id").distinct(), HTML_CHECKS)).where(c("check_id").isin(*_HTML_ORACLE))
+
+
+#: The same facts read from the markup with patterns.
+_FACTS = """(SELECT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS run_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, page_id % 5 <> 0 AND strpos(url, '/impressum/') = 0 AS open,
+  strpos(html, 'name="description"') > 0 AS described, regexp_matches(html, '<video|<iframe src="https://www.youtube') AS video, regexp_matches(url, '/(blog|news|artikel|ratgeber|wissen)/') AS article,
+  regexp_matches(html, '"publish-date">Am 3|<time datetime') AS dated, regexp_matches(html, 'alt="Ann Author"|rel="author"') AS signed, regexp_matches(html, 'journal[.]test|footnotes') AS sourced FROM article_pages)"""
+
+
+def _html_result(check_id, scope, hit, fails=None):
+    """A result row for each run, with at most ten sample addresses."""
+    state = f"CASE WHEN count(*) FILTER ({scope}) = 0 THEN 'not_applicable' WHEN {fails or f'count(*) FILTER ({hit}) > 0'} THEN 'fail' ELSE 'pass' END"
+    return f"""SELECT r.run_id, '{check_id}' AS check_id, evaluation_state, CASE evaluation_state WHEN 'fail' THEN 'Warning' WHEN 'pass' THEN 'OK' ELSE 'NA' END AS status,
+  CASE WHEN evaluation_state = 'fail' THEN hits ELSE 0 END AS affected_count, '' AS evidence, CASE WHEN evaluation_state = 'fail' THEN sample_urls ELSE '' END AS sample_urls
+  FROM (SELECT run_id, {state} AS evaluation_state, count(*) FILTER ({hit}) AS hits FROM {_FACTS} f GROUP BY run_id) r
+  LEFT JOIN (SELECT run_id, string_agg(url, ' | ' ORDER BY url) AS sample_urls FROM (SELECT DISTINCT run_id, url, dense_rank() OVER (PARTITION BY run_id ORDER BY url) AS k FROM {_FACTS} f WHERE {hit}) t WHERE k <= 10 GROUP BY run_id) t ON t.run_id = r.run_id"""
+
+
+_HTML_ORACLE = {
+    "tech.title_too_short": _html_result("tech.title_too_short", "true", "open AND length(trim(regexp_replace(replace(title, '&amp;', '&'), '[ ]+', ' ', 'g'))) BETWEEN 1 AND 19"),
+    "tech.meta_description_missing": _html_result("tech.meta_description_missing", "open", "open AND NOT described"),
+    "tech.viewport_missing": _html_result("tech.viewport_missing", "true", "true"),
+    "tech.videoobject_schema_present_missing": _html_result("tech.videoobject_schema_present_missing", "video", "video"),
+    "geo.visible_dates_present": _html_result("geo.visible_dates_present", "article", "article AND NOT dated"),
+    "geo.author_hints_present": _html_result("geo.author_hints_present", "article", "article AND NOT signed"),
+    "geo.source_or_external_links_present": _html_result("geo.source_or_external_links_present", "article", "article AND NOT sourced", fails="count(*) FILTER (article AND sourced) = 0"),
+}
+QUERIES["html_checks"] = _simple(_html_checks)
+ORACLE["html_checks"] = " UNION ALL ".join(_HTML_ORACLE.values())
 ORACLE = {name: with_views(text) for name, text in ORACLE.items()}

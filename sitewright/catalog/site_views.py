@@ -388,6 +388,18 @@ SELECT page_id, url, replace(replace(html, '</head>', concat(
 FROM raw_pages
 """
 
+VIEWS["article_pages"] = """
+SELECT page_id, url, replace(replace(html, '</h1>', concat('</h1>',
+   CASE page_id % 5 WHEN 1 THEN '<p class="publish-date">Am 3. M\u00e4rz 2024</p>' WHEN 2 THEN '<div class="info"><time datetime="2024-01-05">2024-01-05</time></div>' WHEN 3 THEN '<time hidden>2023-02-02</time>'
+     WHEN 4 THEN '<span class="updated-date">yesterday</span>' ELSE '' END,
+   CASE page_id % 7 WHEN 2 THEN '<span class="byline"><img alt="Ann Author" src="/a.png"></span>' WHEN 3 THEN '<a rel="author" href="/team">Jo</a>' WHEN 4 THEN '<span class="author"> </span>' ELSE '' END,
+   CASE page_id % 9 WHEN 4 THEN '<iframe src="https://www.youtube.com/embed/1"></iframe>' WHEN 5 THEN '<video src="/v.mp4"></video>' WHEN 6 THEN '<iframe src="https://maps.test/"></iframe>' ELSE '' END,
+   CASE page_id % 3 WHEN 1 THEN '<a href="https://journal.test/p">Study on words</a>' WHEN 2 THEN '<ul class="footnotes"><li><a href="https://a.test/1">one</a></li><li><a href="https://a.test/1">again</a></li><li><a href="/own">own report</a></li></ul>'
+     ELSE '<a href="https://plain.test/x">plain</a>' END,
+   CASE WHEN page_id % 4 = 1 THEN '<nav><a href="https://n.test/report">report</a></nav>' ELSE '' END)), '</footer>', '<a href="https://late.test/">report</a></footer>') AS html
+FROM html_pages
+"""
+
 VIEWS["finding_runs"] = """
 SELECT concat('run-', CAST(s_suppkey AS VARCHAR(20))) AS run_id, concat('https://site', CAST(s_suppkey % 40 AS VARCHAR(20)), '.example') AS final_domain,
   CAST(s_suppkey AS INT) AS run_no, CAST(s_suppkey % 10 AS INT) AS schedule_id,

@@ -16,12 +16,20 @@ HIDDEN_STYLE = re.compile(r"(display|visibility|content-visibility):(none|hidden
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_PARAGRAPH = {"p", "div", "ul", "ol", "table", "section", "article", "nav", "header", "footer", "main", "form", "blockquote", "pre"} | HEADINGS
 BARRIERS = {"table", "caption", "td", "th", "html", "template", "object", "button", "marquee", "applet"}
-GATHERING = HEADINGS | {"a", "title", "script"}
+GATHERING = HEADINGS | {"a", "title", "script", "summary", "button"}
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.IGNORECASE)
 # fixed values: what marks a search form and a list of results
 SEARCH_INPUTS = {"s", "q", "query", "search"}
 SEARCH_ACTION = re.compile(r"/(search|suche|site-search)(?:/|$)|[?&](s|q|query|search)=", re.IGNORECASE)
 RESULT_LIST = re.compile(r"search-results|search-result-list")
+SEARCH_MARKUP = re.compile(r"[\"']@type[\"']\s*:\s*[\"']SearchAction[\"']", re.IGNORECASE)
+# fixed values: what marks dates, bylines, regions of sources, questions and players in class names, ids and addresses
+DATE_NAMES = re.compile(r"date|publish")
+BYLINE_NAMES = re.compile(r"author|byline")
+SOURCE_NAMES = re.compile(r"source|reference|citation|bibliograph|footnote", re.IGNORECASE)
+FAQ_NAMES = re.compile(r"faq|FAQ")
+PLAYERS = re.compile(r"youtube|youtu\.be|vimeo|wistia|loom")
+QUESTION_TAGS = {"h2", "h3", "h4", "summary", "button"}
 
 
 def squeeze(text: str) -> str:
@@ -50,7 +58,11 @@ class PageWalk(HTMLParser):
         self.images: list[dict] = []
         self.scripts: list[str] = []
         self.blocks: list[str] = []
+        self.inline: list[str] = []
         self.counts: dict[str, int] = {}
+        #: visible dates and bylines of the content, outermost elements only, and links of the content that may name sources
+        self.notes: dict[str, list[str]] = {"date": [], "byline": []}
+        self.sources: list[dict] = []
         self.raw: list[str] = []
         self.visible: list[str] = []
         self.main: list[str] = []
@@ -74,6 +86,7 @@ class PageWalk(HTMLParser):
             "main": bool(tag in ("main", "article") or role == "main" or (parent and parent["main"])), "body": bool(tag == "body" or (parent and parent["body"])),
             "chrome": bool(tag in ("header", "nav", "footer") or (parent and parent["chrome"])),
         }
+        self._context(tag, attributes, role, item, parent)
         self._count(tag)
         if role:
             self._count(f"role:{role}")
@@ -86,9 +99,29 @@ class PageWalk(HTMLParser):
                 self.paragraphs.append(position)
             elif tag in BARRIERS:
                 self.barriers.append(position)
-            if tag in GATHERING:
+            if tag in GATHERING or item["notes"]:
                 self.gathering.append(item)
 
+    def _context(self, tag: str, attributes: dict, role: str, item: dict, parent: dict | None) -> None:
+        """What an element inherits from those around it: content, navigation, a region of sources, a list of questions, an open date or byline."""
+        names, ids = attributes.get("class", ""), attributes.get("id", "")
+        inherited = lambda key: bool(parent and parent[key])
+        item["content"] = tag in ("main", "article") or inherited("content")
+        item["navigation"] = tag in ("nav", "footer") or role in ("navigation", "contentinfo") or inherited("navigation")
+        item["region"] = inherited("region") or bool(SOURCE_NAMES.search(names) or SOURCE_NAMES.search(ids))
+        if container := bool(FAQ_NAMES.search(names) or FAQ_NAMES.search(ids)):
+            self._count("faq:containers")
+        item["faq"], item["in_faq"] = container or inherited("faq"), inherited("faq")
+        item["details"] = tag == "details" or inherited("details")
+        marks = set()
+        if inherited("content") and not item["hidden"]:
+            if tag == "time" or DATE_NAMES.search(names):
+                marks.add("date")
+            if "author" in attributes.get("rel", "").split() or BYLINE_NAMES.search(names):
+                marks.add("byline")
+        around = parent["noted"] if parent else frozenset()
+        item["notes"], item["noted"] = marks - around, around | marks
+
     def _count(self, key: str) -> None:
         self.counts[key] = self.counts.get(key, 0) + 1
 
@@ -104,7 +137,7 @@ class PageWalk(HTMLParser):
         elif tag == "img":
             self.images.append(attributes | {"_hidden": item["hidden"]})
             for outer in self.gathering:
-                if outer["tag"] in HEADINGS and "alt" in attributes:
+                if (outer["tag"] in HEADINGS or outer["notes"]) and "alt" in attributes:
                     outer["alts"].append(attributes["alt"])
         elif tag == "form":
             action = attributes.get("action", "").strip()
@@ -113,6 +146,8 @@ class PageWalk(HTMLParser):
         elif tag == "input" and self.forms and self.open_tags["form"]:
             kind, role, name = (attributes.get(key, "").lower() for key in ("type", "role", "name"))
             self.forms[-1]["search"] |= kind == "search" or role == "searchbox" or name in SEARCH_INPUTS
+        if tag == "video" or (tag == "iframe" and PLAYERS.search(attributes.get("src", ""))):
+            self._count("videos")
         if RESULT_LIST.search(f"{attributes.get('class', '')} {attributes.get('id', '')}") or "data-search-results" in attributes:
             self._count("search:result_lists")
 
@@ -158,17 +193,31 @@ class PageWalk(HTMLParser):
                 self.main.append(data)
 
     def _close(self, item):
-        if item["tag"] not in GATHERING or item["done"]:
+        if item["done"] or not (item["tag"] in GATHERING or item["notes"]):
             return
         item["done"] = True
         self.gathering = [x for x in self.gathering if x is not item]
         tag, attributes, text = item["tag"], item["attrs"], "".join(item["text"])
+        for kind in item["notes"]:
+            if found := squeeze(text) or (squeeze(" ".join(item["alts"])) if kind == "byline" else ""):
+                self.notes[kind].append(found)
+        if "?" in text:
+            if tag == "summary":
+                self._count("questions:summary")
+                if item["details"]:
+                    self._count("questions:details")
+            if tag in QUESTION_TAGS and item["in_faq"]:
+                self._count("questions:faq")
         if tag == "title" and not item["body"]:
             self.titles.append(squeeze(text))
         elif tag == "a" and "href" in attributes:
             self.links.append({"href": attributes["href"], "anchor": squeeze(text), "rel": attributes.get("rel", "").strip()})
+            if item["content"] and not item["navigation"] and not item["hidden"]:
+                self.sources.append({"href": attributes["href"], "anchor": squeeze(text), "region": item["region"]})
         elif tag == "script" and attributes.get("type", "").strip().lower() == "application/ld+json":
             self.blocks.append(text)
+        elif tag == "script":
+            self.inline.append(text)
         elif tag in HEADINGS:
             shown, label, alt = squeeze(text), squeeze(attributes.get("aria-label", "")), squeeze(" ".join(item["alts"]))
             source = "visible_text" if shown else "aria_label" if label else "image_alt" if alt else "none"
@@ -203,4 +252,6 @@ class PageWalk(HTMLParser):
 def walk(html: str) -> PageWalk:
     page = PageWalk()
     page.feed(html or "")
+    if SEARCH_MARKUP.search(html or ""):
+        page.counts["search:actions"] = 1
     return page.finish()
