@@ -29,6 +29,8 @@ BYLINE_NAMES = re.compile(r"author|byline")
 SOURCE_NAMES = re.compile(r"source|reference|citation|bibliograph|footnote", re.IGNORECASE)
 FAQ_NAMES = re.compile(r"faq|FAQ")
 PLAYERS = re.compile(r"youtube|youtu\.be|vimeo|wistia|loom")
+NONE: frozenset[str] = frozenset()
+NOWHERE = {"content": False, "navigation": False, "details": False, "region": False, "faq": False, "noted": NONE}
 QUESTION_TAGS = {"h2", "h3", "h4", "summary", "button"}
 
 
@@ -74,9 +76,8 @@ class PageWalk(HTMLParser):
         if tag == "a" or tag in HEADINGS:
             self._end_gathering(HEADINGS if tag in HEADINGS else {"a"})
         parent = self.stack[-1] if self.stack else None
-        style = re.sub(r"\s+", "", attributes.get("style", "").lower())
         hidden = bool(
-            tag in HIDDEN_TAGS or "hidden" in attributes or attributes.get("aria-hidden") == "true" or HIDDEN_STYLE.search(style)
+            tag in HIDDEN_TAGS or "hidden" in attributes or attributes.get("aria-hidden") == "true" or ("style" in attributes and HIDDEN_STYLE.search(re.sub(r"\s+", "", attributes["style"].lower())))
             or (tag == "dialog" and "open" not in attributes) or (parent and parent["hidden"])
         )
         folded = bool(parent and (parent["folded"] or (parent["tag"] == "details" and "open" not in parent["attrs"])) and tag != "summary")
@@ -104,23 +105,31 @@ class PageWalk(HTMLParser):
 
     def _context(self, tag: str, attributes: dict, role: str, item: dict, parent: dict | None) -> None:
         """What an element inherits from those around it: content, navigation, a region of sources, a list of questions, an open date or byline."""
-        names, ids = attributes.get("class", ""), attributes.get("id", "")
-        inherited = lambda key: bool(parent and parent[key])
-        item["content"] = tag in ("main", "article") or inherited("content")
-        item["navigation"] = tag in ("nav", "footer") or role in ("navigation", "contentinfo") or inherited("navigation")
-        item["region"] = inherited("region") or bool(SOURCE_NAMES.search(names) or SOURCE_NAMES.search(ids))
-        if container := bool(FAQ_NAMES.search(names) or FAQ_NAMES.search(ids)):
-            self._count("faq:containers")
-        item["faq"], item["in_faq"] = container or inherited("faq"), inherited("faq")
-        item["details"] = tag == "details" or inherited("details")
-        marks = set()
-        if inherited("content") and not item["hidden"]:
-            if tag == "time" or DATE_NAMES.search(names):
-                marks.add("date")
-            if "author" in attributes.get("rel", "").split() or BYLINE_NAMES.search(names):
-                marks.add("byline")
-        around = parent["noted"] if parent else frozenset()
-        item["notes"], item["noted"] = marks - around, around | marks
+        outer = parent or NOWHERE
+        item["content"] = outer["content"] or tag in ("main", "article")
+        item["navigation"] = outer["navigation"] or tag in ("nav", "footer") or role in ("navigation", "contentinfo")
+        item["details"] = outer["details"] or tag == "details"
+        item["region"], item["faq"], item["in_faq"], item["notes"], item["noted"] = outer["region"], outer["faq"], outer["faq"], NONE, outer["noted"]
+        if tag == "time":
+            self._mark(item, outer, "date")
+        if not attributes:
+            return
+        names, ids, rel = attributes.get("class", ""), attributes.get("id", ""), attributes.get("rel", "")
+        if names or ids:
+            item["region"] = item["region"] or bool(SOURCE_NAMES.search(names) or SOURCE_NAMES.search(ids))
+            if FAQ_NAMES.search(names) or FAQ_NAMES.search(ids):
+                self._count("faq:containers")
+                item["faq"] = True
+            if DATE_NAMES.search(names):
+                self._mark(item, outer, "date")
+        if "author" in rel.split() or BYLINE_NAMES.search(names):
+            self._mark(item, outer, "byline")
+
+    @staticmethod
+    def _mark(item: dict, outer: dict, kind: str) -> None:
+        """Notes a visible date or byline of the content, unless an open element has it already."""
+        if outer["content"] and not item["hidden"] and kind not in outer["noted"]:
+            item["notes"], item["noted"] = item["notes"] | {kind}, item["noted"] | {kind}
 
     def _count(self, key: str) -> None:
         self.counts[key] = self.counts.get(key, 0) + 1
@@ -148,7 +157,7 @@ class PageWalk(HTMLParser):
             self.forms[-1]["search"] |= kind == "search" or role == "searchbox" or name in SEARCH_INPUTS
         if tag == "video" or (tag == "iframe" and PLAYERS.search(attributes.get("src", ""))):
             self._count("videos")
-        if RESULT_LIST.search(f"{attributes.get('class', '')} {attributes.get('id', '')}") or "data-search-results" in attributes:
+        if attributes and (RESULT_LIST.search(f"{attributes.get('class', '')} {attributes.get('id', '')}") or "data-search-results" in attributes):
             self._count("search:result_lists")
 
     def handle_startendtag(self, tag, attrs):
