@@ -20,7 +20,9 @@ import base64
 import gzip
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,31 +45,39 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _name(page: Column) -> Column:
-    return F.when(page == FIRST, F.lit("<urn:page:none>")).otherwise(F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">")))
+def _name(page: Column, archive: str) -> Column:
+    """Record id: the archive's own name and the page's id."""
+    return F.concat(F.lit(f"<urn:page:{archive}:"), F.when(page == FIRST, F.lit("none")).otherwise(page.cast("string")), F.lit(">"))
 
 
 def resolved(pages: DataFrame, least: int) -> DataFrame:
-    """page, digest and original (null for responses) of every distinct record."""
-    headers = pages.select("page", "digest", "size")
-    originals = tables.stored(headers.where(F.col("size") >= least).groupBy("digest").agg(F.max("page").alias("original")))
+    """page, digest, original (null for responses) and the original's address of every distinct record."""
+    headers = pages.select("page", "digest", "size", "url")
+    newest = headers.where(F.col("size") >= least).groupBy("digest").agg(F.max(F.struct("page", "url")).alias("newest"))
+    originals = tables.stored(newest.select("digest", F.col("newest.page").alias("original"), F.col("newest.url").alias("original_url")))
     joined = headers.join(originals, "digest", "left")
-    return joined.select("page", "digest", F.when(F.col("original") != F.col("page"), F.col("original")).alias("original")).distinct()
+    revisit = F.col("original") != F.col("page")
+    return joined.select("page", "digest", F.when(revisit, F.col("original")).alias("original"), F.when(revisit, F.col("original_url")).alias("original_url")).distinct()
 
 
-def _record(url: Column) -> Column:
+def _target(url: Column) -> Column:
+    return F.regexp_replace(url, r"[\x00-\x20]+", "%20")
+
+
+def _record(archive: str, date: str) -> Column:
     revisit = F.col("original").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("size").cast("string"), F.lit(_END + _END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
-    target = F.regexp_replace(url, r"[\x00-\x20]+", "%20")
     fields = [
         ("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        ("WARC-Record-ID", _name(F.col("page"))),
-        ("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
-        ("WARC-Target-URI", target),
+        ("WARC-Record-ID", _name(F.col("page"), archive)),
+        ("WARC-Date", F.lit(date)),
+        ("WARC-Target-URI", _target(F.col("url"))),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        ("WARC-Refers-To", F.when(revisit, _name(F.col("original")))),
+        ("WARC-Refers-To", F.when(revisit, _name(F.col("original"), archive))),
+        ("WARC-Refers-To-Target-URI", F.when(revisit, _target(F.col("original_url")))),
+        ("WARC-Refers-To-Date", F.when(revisit, F.lit(date))),
         ("Content-Type", F.lit("application/http; msgtype=response")),
         ("Content-Length", F.octet_length(block).cast("string")),
     ]
@@ -77,13 +87,14 @@ def _record(url: Column) -> Column:
 
 
 def write(pages: DataFrame, folder: str, least: int = 0) -> None:
-    """Writes one record for each page into gzip files of the folder."""
+    """Writes one record for each page into gzip files of the folder. All records bear the time of writing, in UTC, and ids that no other archive has."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(FIRST)).alias("page"), F.col("url").cast("string"), payload.alias("payload"), base32_sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     total = keyed.select(F.sum("size")).first()[0] or 0
     files = max(1, total // FILE_BYTES, tables.shuffle_partitions(pages.sparkSession) if total > FILE_BYTES else 1)
     placed = keyed.repartition(int(files), "page", "digest")
-    records = placed.join(resolved(keyed, least), ["page", "digest"]).select(_record(F.col("url")).alias("value"))
+    records = placed.join(resolved(keyed, least), ["page", "digest"]).select(_record(uuid.uuid4().hex, date).alias("value"))
     records.write.option("compression", "gzip").option("lineSep", "\n").text(folder)
 
 

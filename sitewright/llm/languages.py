@@ -35,7 +35,8 @@ BITS = 14
 EVIDENCE = 40.0
 #: Weight of the wider prior, and added counts of declared languages and suffixes.
 SMOOTHING, ADDED = 5.0, 0.5
-_TAGS = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>"
+#: What is not closed goes to the end of the page, so no part of it is scanned twice.
+_TAGS = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<[^>]*(?:>|\z)"
 
 
 def _grams(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

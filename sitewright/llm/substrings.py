@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from sitewright.llm import tables, words
 
 WINDOW, ANCHOR = 20, 8
 #: Edges that a map task holds before it sends them on.
-BUFFER = 1_000_000
+BUFFER = 400_000
 #: Counters of edges by anchor, and the edges of one counter from which on its anchors are dealt out by edges too.
 CELLS, HOT = 1 << 16, 500_000
 _SENT = "part int, blob binary"
@@ -66,6 +67,7 @@ class _Buffer:
         """What goes to each part: decided spans, and the paths of undecided edges."""
         if self.count:
             edge, anchor, doc, start = (np.concatenate(column) for column in zip(*self.held, strict=True))
+            self.held = []
             ids, texts = np.concatenate(self.ids), np.concatenate(self.texts)
             later = _later(edge, anchor, ids[doc], texts[doc], start)
             at = np.flatnonzero(later)
@@ -289,22 +291,25 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     Of a text that loses words, the others are joined by single spaces, with its own line breaks between lines that keep words.
     A document that loses all its words goes. `n_chars` follows the text, where there is such a column.
     """
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        return _cut_all(texts, spans)
+    frame = _with_spans(docs, window, anchor).select(*docs.columns, "__spans")
+    names, schema = docs.columns, docs.schema
+    at = names.index("text")
 
-    frame = _with_spans(docs, window, anchor)
-    changed = frame.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans")))
-    stay = changed.where(F.col("__spans").isNull() | (F.col("text") != ""))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(text.as_py(), spans.as_py()) for text, spans in zip(batch.column(at), batch.column("__spans"), strict=True)]
+            left = [text if spans is None else _cut(text, spans) for text, spans in own]
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(left, batch.schema.field(at).type)
+            gone = pa.array([spans is None or bool(text) for text, (_, spans) in zip(left, own, strict=True)])
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("__spans").is_valid()], [*names, "__cut"]).filter(gone)
+
+    stay = frame.mapInArrow(cut, StructType([*schema, StructField("__cut", BooleanType())]))
     if "n_chars" in docs.columns:
-        stay = stay.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        stay = stay.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast(schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return stay.select(*docs.columns)
 
 
-def _cut_all(texts, spans):
-    return texts.combine(spans, lambda text, own: text if own is None else _cut(text, own))
-
-
 def _cut(text: str | None, spans) -> str:
     own, keep = _kept(text, spans)
     lines, at = [], 0

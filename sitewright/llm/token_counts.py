@@ -128,8 +128,9 @@ def _largest(held: list) -> pa.RecordBatch:
 
 
 class _Worker:
-    """The second tier of a Python worker: hash to length."""
+    """The second tier of a Python worker: hash to length, for one tokenizer. Workers outlive queries, so the tokenizer is part of it."""
 
+    path: str | None = None
     cache: dict[int, int] = {}
 
 
@@ -143,8 +144,8 @@ def _looked_up(piece: words.Words, starts: np.ndarray, ends: np.ndarray, table:
     rest = np.flatnonzero(~hit)
     if len(rest):
         unknown, first, group = np.unique(hashes[rest], return_index=True, return_inverse=True)
-        if len(_Worker.cache) > HELD:
-            _Worker.cache = {}
+        if _Worker.path != path or len(_Worker.cache) > HELD:
+            _Worker.path, _Worker.cache = path, {}
         cache, keys = _Worker.cache, unknown.tolist()
         new = np.array([i for i, key in enumerate(keys) if key not in cache], dtype=np.int64)
         if len(new):

@@ -81,6 +81,35 @@ def test_archive_headers(spark, tmp_path):
     assert text.count(archives.PROFILE.encode()) == 4 and b"WARC-Target-URI: u%20r%20l\r\n" in text
 
 
+def test_archive_dates_are_utc_and_ids_differ(spark, tmp_path):
+    import gzip
+    from datetime import UTC, datetime
+
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for name in ("one", "two"):
+            archives.write(spark.createDataFrame(PAGES, "page_id long, url string, html string"), str(tmp_path / name))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+    texts = [b"".join(gzip.decompress(path.read_bytes()) for path in (tmp_path / name).glob("*.gz")).decode() for name in ("one", "two")]
+    dates = [datetime.strptime(line.split(": ")[1], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC) for line in texts[0].split("\r\n") if line.startswith("WARC-Date")]
+    assert len(dates) == 9 and all(abs((datetime.now(UTC) - date).total_seconds()) < 600 for date in dates)
+    named = [{line for line in text.split("\r\n") if line.startswith("WARC-Record-ID")} for text in texts]
+    assert len(named[0]) == 9 and not named[0] & named[1]
+    assert sum(line == "WARC-Refers-To-Target-URI: http://a/3" for line in texts[0].split("\r\n")) == 3
+
+
+def test_tags_that_never_close_take_linear_time(spark):
+    import time
+
+    for part in ("<!--", "<script ", "<style", "<a "):
+        page = spark.createDataFrame([(1, part * (1_000_000 // len(part)) + " x")], "page_id long, html string")
+        begin = time.perf_counter()
+        assert page.select(F.regexp_replace("html", languages._TAGS, " ").alias("t")).first().t.strip() == ""
+        assert time.perf_counter() - begin < 10
+
+
 def test_neighbours(spark):
     draw = np.random.default_rng(1)
     vectors = draw.normal(size=(1500, 24)).astype(np.float32)

@@ -191,3 +191,13 @@ def test_empty_tables(spark):
     assert token_counts.count_tokens(none, public_tokenizers.path("byte_bpe_50k.json"), 9).count() == 0
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [tuple(row)[1:4] for row in decontamination.report(some, items).collect()] == [(2, 0, 0)]
+
+
+def test_two_tokenizers_in_one_session(spark):
+    """Lengths that a Python worker keeps belong to one tokenizer."""
+    docs = spark.createDataFrame([(i, f"Unbelievably Word{i} tokenization {i * 7919}") for i in range(40)], "doc_id long, text string").repartition(1)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        library = token_counts.tokenizer(path)
+        want = {row.doc_id: len(library.encode(row.text, add_special_tokens=False).ids) for row in docs.collect()}
+        assert {row.doc_id: row.n_tokens for row in token_counts.count_tokens(docs, path, 10).collect()} == want
