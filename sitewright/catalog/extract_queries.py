@@ -16,6 +16,7 @@ from sitewright.operators import extraction as EX
 from sitewright.operators import page_checks as PC
 from sitewright.operators import page_facts as PF
 from sitewright.operators import structured_data as SD
+from sitewright.operators import suffixes as SX
 from sitewright.operators.predicates import evaluate_checks
 from sitewright.session import stored
 
@@ -171,4 +172,25 @@ _HTML_ORACLE = {
 }
 QUERIES["html_checks"] = _simple(_html_checks)
 ORACLE["html_checks"] = " UNION ALL ".join(_HTML_ORACLE.values())
+
+
+def _suffix_rules(s):
+    """Rules of all three kinds from the hosts at hand: their last labels, a wildcard below half of the apexes, and exceptions for hosts that begin with www."""
+    hosts = s.table("article_pages").select(U.host(c("url")).alias("host")).distinct().withColumn("apex", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
+    kinds = {
+        "plain": hosts.select(F.regexp_extract("host", r"([^.]+)$", 1).alias("value")),
+        "wild": hosts.where("apex LIKE 'example.%'").select(F.concat(F.lit("*."), c("apex")).alias("value")),
+        "except": hosts.where("host LIKE 'www.%'").select(F.concat(F.lit("!"), F.regexp_replace("host", r"^www\.", "")).alias("value")),
+    }
+    return SX.rule_table(kinds["plain"].unionByName(kinds["wild"]).unionByName(kinds["except"]).distinct())
+
+
+QUERIES["url_registrable"] = _simple(lambda s: SX.with_apex(s.table("article_pages").select("page_id", U.host(c("url")).alias("host")), _suffix_rules(s)))
+ORACLE["url_registrable"] = f"""
+WITH hosts AS (SELECT DISTINCT {HOST} AS host FROM article_pages), open AS (SELECT DISTINCT regexp_replace(host, '^www[.]', '') AS host FROM hosts WHERE host LIKE 'www.%'),
+apexes AS (SELECT DISTINCT regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS apex FROM hosts)
+SELECT page_id, h AS host, CASE WHEN x THEN regexp_replace(o, '^[^.]+[.]', '') WHEN below THEN regexp_extract(h, '([^.]+[.][^.]+[.][^.]+)$', 1) ELSE regexp_extract(h, '([^.]+)$', 1) END AS suffix,
+  CASE WHEN x THEN o WHEN below AND strpos(regexp_replace(h, '[.][^.]+[.][^.]+$', ''), '.') > 0 THEN regexp_extract(h, '([^.]+[.][^.]+[.][^.]+[.][^.]+)$', 1) WHEN below THEN NULL ELSE regexp_extract(h, '([^.]+[.][^.]+)$', 1) END AS apex
+FROM (SELECT page_id, h, (SELECT max(host) FROM open WHERE h = host OR suffix(h, '.' || host)) AS o, (SELECT max(host) FROM open WHERE h = host OR suffix(h, '.' || host)) IS NOT NULL AS x,
+  EXISTS (SELECT 1 FROM apexes WHERE apex LIKE 'example.%' AND suffix(h, '.' || apex)) AS below FROM (SELECT page_id, {HOST} AS h FROM article_pages) p) q"""
 ORACLE = {name: with_views(text) for name, text in ORACLE.items()}

@@ -111,8 +111,11 @@ RET = "((last_status_code IN (408, 429, 500, 502, 503, 504) OR last_error_type I
 DEL = "least(30000, 1000 * pow(2, greatest(0, attempts - 1)))"
 ORACLE["frontier_retries"] = f"SELECT run_id, queue_id, coalesce({RET}, false) AS retry, CAST(CASE WHEN {RET} THEN {DEL} END AS BIGINT) AS delay_ms, CAST(CASE WHEN {RET} THEN 1700200000 + floor({DEL} / 1000) END AS BIGINT) AS retry_at FROM site_queue WHERE status IN ('failed', 'retry_wait')"
 QUERIES["frontier_attempts"] = _simple(lambda s: FR.attempt_history(s.table("site_attempts")))
-ORACLE["frontier_attempts"] = """SELECT url_key, CAST(count(*) AS INT) AS kept, CASE WHEN count(final_status) = 0 THEN 'technical_error' WHEN count(DISTINCT final_status) > 1 OR count(error_type) > 0 THEN 'transient' WHEN max(final_status) = 503 AND count(final_status) < 2 THEN 'insufficient_evidence' ELSE 'confirmed' END AS stability, string_agg(coalesce(CAST(final_status AS VARCHAR), error_type), ',' ORDER BY attempt) AS outcomes FROM (
- SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY attempt DESC) AS rn FROM site_attempts) x WHERE rn <= 5 GROUP BY 1"""
+ORACLE["frontier_attempts"] = """
+SELECT url_key, count(*) AS attempts, CAST(least(5, count(*)) AS INT) AS kept, CASE WHEN count(final_status) = 0 THEN 'technical_error' WHEN count(DISTINCT final_status) > 1 OR count(error_type) > 0 THEN 'transient'
+  WHEN max(final_status) IN (429, 500, 502, 503, 504) AND count(final_status) < 2 THEN 'insufficient_evidence' ELSE 'confirmed' END AS stability,
+  string_agg(coalesce(CAST(final_status AS VARCHAR), error_type), ',' ORDER BY attempt) FILTER (rn <= 5) AS outcomes
+FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY attempt DESC) AS rn FROM site_attempts) x GROUP BY 1"""
 QUERIES["frontier_health"] = _simple(lambda s: FR.run_health(s.table("site_queue"), 1700200000))
 ORACLE["frontier_health"] = "SELECT run_id, count(*) AS discovered, count_if(status IN ('done', 'failed')) AS processed, count_if(status = 'pending') AS pending, count_if(status = 'processing') AS processing, 1700200000 - max(discovered_at) AS age_seconds, count_if(status = 'processing') > 0 AS active FROM site_queue GROUP BY 1"
 QUERIES["frontier_admission"] = _simple(lambda s: FR.admit(s.table("site_links").select("run_id", F.col("target_url").alias("url"), F.col("normalized_target_url").alias("normalized_url"), (c("page_id") % 5).cast("int").alias("depth")), s.table("site_queue"), 3, (), ("social", "/media/")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sitewright.catalog.site_views import Site, with_views
+from sitewright.operators import registry as RG
 from sitewright.operators import summaries as SU
 
 QUERIES = {}
@@ -80,4 +81,52 @@ SELECT f.run_id, finding_id, check_id, CASE WHEN skip THEN 'not_executed' ELSE e
   CASE WHEN skip THEN 0 ELSE affected_count END AS affected_count
 FROM (SELECT f.*, coalesce(r.source_type = 'import', false) AND check_id IN ('""" + "', '".join(SU.LIVE_CHECKS) + """') AS skip FROM site_findings f LEFT JOIN finding_runs r ON r.run_id = f.run_id) f"""
 
+
+
+def _results(s):
+    return s.table("site_findings").select("run_id", "finding_id", "check_id", "category", "priority", "finding_type", "evaluation_state", "status", "review_recommended", "manual_priority")
+
+
+QUERIES["results_standard"] = _simple(lambda s: RG.overlay(_results(s), RG.standard(s.spark)).select(
+    "run_id", "finding_id", "check_id", "original_priority", "priority", "original_finding_type", "finding_type", "score_eligible", "score_exclusion_reason", "deduplication_key", "review_recommended", "automation_coverage", "standard_version"))
+
+
+def _values(rows):
+    quoted = lambda value: "NULL" if value is None else str(value).lower() if isinstance(value, bool) else f"'{value}'"
+    return ", ".join("(" + ", ".join(map(quoted, row)) + ")" for row in rows)
+
+
+STANDARD = f"(SELECT * FROM (VALUES {_values([(check, *row) for check, row in RG.STANDARD.items()])}) v(check_id, {', '.join(RG.FIELDS)}))"
+ORACLE["results_standard"] = f"""
+SELECT run_id, finding_id, f.check_id, CASE WHEN s.check_id IS NOT NULL THEN priority END AS original_priority,
+  CASE WHEN s.severity IS NULL OR (severity_mode = 'dynamic_medium_high' AND priority IN ('Medium', 'High')) OR (severity_mode = 'dynamic_low_medium' AND priority IN ('Low', 'Medium')) THEN priority
+       WHEN score_effect = 'conditional' AND manual_priority IS NOT NULL THEN manual_priority ELSE s.severity END AS priority,
+  CASE WHEN s.check_id IS NOT NULL THEN f.finding_type END AS original_finding_type, coalesce(s.finding_type, f.finding_type) AS finding_type,
+  CASE WHEN score_effect = 'score_free' THEN false WHEN score_effect = 'conditional' THEN false ELSE evaluation_state IN ('pass', 'fail') END AS score_eligible,
+  CASE WHEN score_effect = 'score_free' THEN 'audit_standard_' || usage END AS score_exclusion_reason, deduplication_key,
+  CASE WHEN usage IN ('disabled', 'diagnostic_only', 'fully_automated') THEN false WHEN s.review_status = 'required_before_scoring' THEN status IN ('Warning', 'Error') OR review_recommended = 1 ELSE review_recommended = 1 END AS review_recommended,
+  CASE usage WHEN 'fully_automated' THEN 'full' WHEN 'automated_with_limits' THEN 'partial' END AS automation_coverage, CASE WHEN s.check_id IS NOT NULL THEN '{RG.STANDARD_VERSION}' END AS standard_version
+FROM site_findings f LEFT JOIN {STANDARD} s ON s.check_id = f.check_id"""
+
+
+def _registry(s):
+    active, standards = RG.known_checks(s.spark, RG.library_checks()), RG.standard(s.spark)
+    return RG.entries(RG.observed(_results(s), s.table("finding_runs")), active, standards), active, standards
+
+
+QUERIES["registry_entries"] = _simple(lambda s: _registry(s)[0].select(
+    "check_id", "active", "validation_status", "default_severity", "finding_type", "score_effect", "positive_cases", "negative_cases", "observations", "runs", "domains"))
+QUERIES["registry_violations"] = _simple(lambda s: RG.violations(*_registry(s)))
+QUERIES["registry_summary"] = _simple(lambda s: RG.status_summary(_registry(s)[0]))
+ACTIVE = f"(SELECT * FROM (VALUES {_values([(check.id, check.priority, check.score_eligible) for check in RG.library_checks()])}) v(check_id, default_severity, scores))"
+REGISTRY = f"""(SELECT check_id, a.check_id IS NOT NULL AS active, CASE WHEN a.check_id IS NULL THEN 'deprecated' WHEN s.review_status = 'required_before_scoring' THEN 'manual_review_required'
+    WHEN domains >= 2 AND positive_cases > 0 AND negative_cases > 0 AND runs >= 2 THEN 'cross_domain_validated' WHEN domains >= 2 THEN 'validated_with_limits' WHEN domains = 1 THEN 'single_domain_validated' ELSE 'unvalidated' END AS validation_status,
+  coalesce(s.severity, a.default_severity, 'None') AS default_severity, coalesce(s.finding_type, 'core_issue') AS finding_type, coalesce(s.score_effect, CASE WHEN a.scores THEN 'score_capable' ELSE 'score_free' END) AS score_effect,
+  coalesce(positive_cases, 0) AS positive_cases, coalesce(negative_cases, 0) AS negative_cases, coalesce(observations, 0) AS observations, coalesce(runs, 0) AS runs, coalesce(domains, 0) AS domains, s.usage AS usage
+FROM (SELECT check_id, count(*) FILTER (f.status IN ('Warning', 'Error')) AS positive_cases, count(*) FILTER (f.status = 'OK') AS negative_cases, count(*) AS observations, count(DISTINCT f.run_id) AS runs, count(DISTINCT final_domain) AS domains
+  FROM site_findings f LEFT JOIN finding_runs r ON r.run_id = f.run_id GROUP BY 1) o FULL JOIN {ACTIVE} a USING (check_id) LEFT JOIN {STANDARD} s USING (check_id))"""
+ORACLE["registry_entries"] = f"SELECT check_id, active, validation_status, default_severity, finding_type, score_effect, positive_cases, negative_cases, observations, runs, domains FROM {REGISTRY} g"
+ORACLE["registry_violations"] = f"SELECT check_id, 'standard_check_not_active' AS \"constraint\" FROM {REGISTRY} g WHERE usage <> 'disabled' AND NOT active"
+ORACLE["registry_summary"] = f"""SELECT validation_status, count(*) AS checks, count(*) FILTER (active) AS active_checks,
+  count(*) FILTER (active AND validation_status IN ('cross_domain_validated', 'validated_with_limits', 'manual_review_required')) AS trusted_checks FROM {REGISTRY} g GROUP BY 1"""
 ORACLE = {name: with_views(text) for name, text in ORACLE.items()}

@@ -44,6 +44,17 @@ def stability(attempts: Column) -> Column:
     )
 
 
+def stability_of_counts(answers: Column, errors: Column, mixed: Column, last_status: Column) -> Column:
+    """The same verdict from counters: attempts with a status, attempts with an error, whether statuses differ, and the last status."""
+    return (
+        F.when((answers == 0) & (errors > 0), F.lit("technical_error"))
+        .when(answers == 0, F.lit("insufficient_evidence"))
+        .when(mixed | (errors > 0), F.lit("transient"))
+        .when(last_status.isin(*RETRY_SENSITIVE) & (answers < 2), F.lit("insufficient_evidence"))
+        .otherwise(F.lit("confirmed"))
+    )
+
+
 def permanent_chain(statuses: Column) -> Column:
     """True when a chain has redirects and all of them are permanent."""
     return (F.size(statuses) > 0) & F.forall(statuses, lambda status: status.isin(301, 308))

@@ -52,12 +52,16 @@ def reset_processing(queue: DataFrame) -> DataFrame:
 
 
 def attempt_history(attempts: DataFrame, keep: int = http.STORED_ATTEMPTS) -> DataFrame:
-    """Last attempts per URL with the stability verdict; only ``keep`` rows per URL reach the aggregate."""
+    """Stability verdict per URL over all its attempts, from counters; only the last ``keep`` outcomes are gathered, for show."""
     order = Window.partitionBy("url_key").orderBy(F.desc("attempt"))
-    last = attempts.withColumn("position", F.row_number().over(order)).where(c("position") <= keep)
-    grouped = last.groupBy("url_key").agg(F.array_sort(F.collect_list(F.struct("attempt", F.col("final_status").alias("final_status"), "error_type"))).alias("attempts"))
-    history = F.transform(c("attempts"), lambda a: F.struct(a["final_status"].alias("final_status"), a["error_type"].alias("error_type")))
-    return grouped.select("url_key", F.size("attempts").alias("kept"), http.stability(history).alias("stability"), F.array_join(F.transform("attempts", lambda a: F.coalesce(a["final_status"].cast("string"), a["error_type"])), ",").alias("outcomes"))
+    ranked = attempts.withColumn("position", F.row_number().over(order))
+    shown = F.when(c("position") <= keep, F.struct("attempt", F.coalesce(c("final_status").cast("string"), c("error_type")).alias("outcome")))
+    counted = ranked.groupBy("url_key").agg(
+        F.count(F.lit(1)).alias("attempts"), F.count("final_status").alias("answers"), F.count("error_type").alias("errors"), (F.min("final_status") != F.max("final_status")).alias("mixed"),
+        F.max_by("final_status", F.when(c("final_status").isNotNull(), c("attempt"))).alias("last_status"), F.array_sort(F.collect_list(shown)).alias("shown"),
+    )
+    verdict = http.stability_of_counts(c("answers"), c("errors"), F.coalesce(c("mixed"), F.lit(False)), c("last_status"))
+    return counted.select("url_key", "attempts", F.size("shown").alias("kept"), verdict.alias("stability"), F.array_join(F.transform("shown", lambda a: a["outcome"]), ",").alias("outcomes"))
 
 
 def run_health(queue: DataFrame, now: int) -> DataFrame:
