@@ -138,12 +138,11 @@ SELECT page_id, page_id % 5 IN (1, 2) AS has_date, CASE page_id % 5 WHEN 1 THEN
   page_id % 7 IN (2, 3) AS has_author, CASE page_id % 7 WHEN 2 THEN 'Ann Author' WHEN 3 THEN 'Jo' ELSE '' END AS bylines, CASE WHEN page_id % 7 IN (2, 3) THEN 'markup' WHEN page_id % 6 = 0 THEN 'json_ld' END AS author_evidence,
   CAST(CASE WHEN page_id % 9 IN (4, 5) THEN 1 ELSE 0 END AS INT) AS videos, CASE page_id % 3 WHEN 1 THEN 'https://journal.test/p' WHEN 2 THEN 'https://a.test/1' ELSE '' END AS source_targets FROM article_pages"""
 
-HTML_CHECKS = (*PC.head_checks(), *PC.structured_data_page_checks(), *PC.content_signal_checks())
-
 
 def _html_checks(s):
+    checks = [*PC.head_checks(), *PC.structured_data_page_checks(), *PC.content_signal_checks()]
     rows = PC.prepare(_from_html(s))
-    return inputs.flat_results(evaluate_checks(rows, rows.select("run_id").distinct(), HTML_CHECKS)).where(c("check_id").isin(*_HTML_ORACLE))
+    return inputs.flat_results(evaluate_checks(rows, rows.select("run_id").distinct(), checks)).where(c("check_id").isin(*_HTML_ORACLE))
 
 
 #: The same facts read from the markup with patterns.

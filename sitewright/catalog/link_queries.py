@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitewright.catalog import inputs
-from sitewright.catalog.oracle import HTML, check, failed, issue, state_case, union
+from sitewright.catalog.oracle import COMPLETE, CONTENT, HTML, check, failed, issue, state_case, union
 from sitewright.catalog.page_queries import STABLE
 from sitewright.catalog.site_views import Site, with_views
+from sitewright.operators import details as DT
+from sitewright.operators import frontier as FR
 from sitewright.operators import links as L
+from sitewright.operators import page_checks as PC
 from sitewright.operators import resources as R
+from sitewright.operators.predicates import evaluate_all
 
 QUERIES = {}
 ORACLE = {}
@@ -197,4 +201,31 @@ ORACLE["links_hydrated"] = """SELECT run_id, CASE WHEN k THEN ic END AS initial_
    SELECT l.run_id, p.initial_status_code AS ic, p.status_code AS sc, (l.link_type = 'internal' AND coalesce(replace(regexp_replace(l.target_url, '#.*$', ''), '?utm_source=feed', '') = replace(regexp_replace(p.url, '#.*$', ''), '?utm_source=feed', ''), false)) AS k
    FROM site_links l LEFT JOIN site_pages p ON p.run_id = l.run_id AND p.normalized_url = l.normalized_target_url) x GROUP BY 1, 2, 3"""
 
+
+DETAIL_CHECKS = {"tech.title_missing", "geo.low_structured_sections", "tech.images_without_width_height", "tech.too_many_js", "tech.redirect_pages"}
+QUERIES["detail_rows"] = _simple(lambda s: DT.rows_of(DT.tables_of(inputs.pages(s), s.table("site_images"), s.table("site_resources"), s.table("site_runs")), DETAIL_CHECKS))
+ORACLE["detail_rows"] = f"""
+SELECT run_id, 'tech.title_missing' AS check_id, url, url AS item FROM site_pages WHERE {CONTENT} AND {COMPLETE} AND coalesce(trim(title), '') = ''
+UNION ALL SELECT run_id, 'geo.low_structured_sections', url, url FROM site_pages WHERE low_structure = 1
+UNION ALL SELECT run_id, 'tech.redirect_pages', url, url FROM site_pages WHERE initial_status_code BETWEEN 300 AND 399
+UNION ALL SELECT run_id, 'tech.images_without_width_height', page_url, image_url FROM site_images WHERE {NOSIZE} AND NOT {DECO} AND extension <> '.svg'
+UNION ALL SELECT run_id, 'tech.too_many_js', url, url FROM {TOTALS} WHERE js > 25"""
+
+
+def _second_page(s):
+    """The page after the fiftieth row, found by the keys of that row, with the total of its listing."""
+    rows, keys = s.table("site_pages").select("run_id", "page_id", "url"), ["url", "page_id"]
+    shown = FR.page_after(rows, keys, None, 50).orderBy(*[F.desc(key) for key in keys]).first()
+    page = FR.page_after(rows, keys, (shown["url"], shown["page_id"]) if shown else None, 50)
+    return page.withColumn("total", F.lit(FR.totals(rows).first()["total"]).cast("bigint"))
+
+
+QUERIES["table_page_after"] = _simple(_second_page)
+ORACLE["table_page_after"] = "SELECT run_id, page_id, url, (SELECT count(*) FROM site_pages) AS total FROM site_pages ORDER BY url, page_id LIMIT 50 OFFSET 50"
+
+UNSEEN = ("tech.app_icons_incomplete", "tech.favicon_missing", "tech.webmanifest_missing")
+QUERIES["checks_technical_errors"] = _simple(lambda s: evaluate_all(inputs.pages(s).drop("manifest", "favicon"), s.table("site_runs"), PC.head_checks()).where("evaluation_state = 'technical_error'").select(
+    "run_id", "check_id", "evaluation_state", "status", "affected_count", "evidence"))
+ORACLE["checks_technical_errors"] = " UNION ALL ".join(
+    f"SELECT run_id, '{check}' AS check_id, 'technical_error' AS evaluation_state, 'NA' AS status, CAST(0 AS BIGINT) AS affected_count, 'UNRESOLVED_COLUMN.WITH_SUGGESTION' AS evidence FROM site_runs" for check in UNSEEN)
 ORACLE = {name: with_views(text) for name, text in ORACLE.items()}

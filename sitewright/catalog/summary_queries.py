@@ -118,7 +118,40 @@ QUERIES["registry_entries"] = _simple(lambda s: _registry(s)[0].select(
     "check_id", "active", "validation_status", "default_severity", "finding_type", "score_effect", "positive_cases", "negative_cases", "observations", "runs", "domains"))
 QUERIES["registry_violations"] = _simple(lambda s: RG.violations(*_registry(s)))
 QUERIES["registry_summary"] = _simple(lambda s: RG.status_summary(_registry(s)[0]))
-ACTIVE = f"(SELECT * FROM (VALUES {_values([(check.id, check.priority, check.score_eligible) for check in RG.library_checks()])}) v(check_id, default_severity, scores))"
+#: Checks of the library by default severity and whether they score, as text for DuckDB; a test holds it against the library.
+ACTIVE_CHECKS = {
+    ("Medium", True): (
+        "tech.title_missing", "tech.html_lang_missing", "tech.viewport_missing", "tech.4xx_pages", "tech.x_robots_tag_unusual",
+        "tech.rendered_word_count_delta", "tech.raw_internal_links_fewer_rendered", "tech.critical_content_raw_html_signal",
+        "tech.js_dependent_content", "tech.product_coverage_on_product_like_pages", "tech.large_js_total", "tech.large_css_total",
+        "tech.imported_resource_performance_signals", "tech.images_without_alt", "tech.canonical_missing",
+    ),
+    ("Low", False): (
+        "tech.meta_description_missing", "tech.title_too_short", "tech.title_too_long", "tech.meta_description_too_short",
+        "tech.meta_description_too_long", "tech.h1_missing", "tech.multiple_h1", "tech.nofollow_pages", "tech.raw_h1_missing_rendered_present",
+        "tech.third_party_scripts_detected", "tech.canonical_non_self",
+    ),
+    ("Low", True): (
+        "tech.webmanifest_missing", "tech.open_graph_basics_missing", "tech.favicon_missing", "tech.app_icons_incomplete",
+        "tech.hreflang_x_default_missing", "tech.consent_technical_signals", "tech.html_semantics_summary", "tech.raw_html_size_large",
+        "tech.resource_hints_summary", "tech.content_type_html_correct", "tech.charset_utf8_present", "tech.internal_search_noindex_policy",
+        "tech.article_coverage_on_article_like_pages", "tech.breadcrumb_missing_low_coverage", "geo.breadcrumblist_present",
+        "tech.faqpage_missing_low_coverage", "geo.faq_html_present_schema_missing", "tech.videoobject_schema_present_missing", "geo.tables_present",
+        "geo.bulletpoints_lists_present", "geo.visible_dates_present", "geo.author_hints_present", "geo.source_or_external_links_present",
+        "trust.eeat_signal_summary", "trust.ymyl_review_signal", "geo.low_structured_sections", "tech.too_many_js", "tech.too_many_css",
+        "tech.preload_missing", "tech.preconnect_missing", "tech.empty_alt_texts", "tech.images_without_width_height",
+        "tech.images_without_lazy_loading", "tech.hsts_header", "tech.content_security_policy", "tech.x_frame_options",
+        "tech.x_content_type_options", "tech.referrer_policy", "tech.permissions_policy", "tech.compression_header", "tech.cache_control_header",
+        "tech.cdn_cache_signals",
+    ),
+    ("High", True): (
+        "tech.5xx_pages",
+    ),
+    ("Medium", False): (
+        "tech.redirect_pages", "tech.noindex_pages", "geo.article_blog_pages_article_schema", "tech.canonical_to_other_domain",
+    ),
+}
+ACTIVE = f"(SELECT * FROM (VALUES {_values([(check, priority, scores) for (priority, scores), ids in ACTIVE_CHECKS.items() for check in ids])}) v(check_id, default_severity, scores))"
 REGISTRY = f"""(SELECT check_id, a.check_id IS NOT NULL AS active, CASE WHEN a.check_id IS NULL THEN 'deprecated' WHEN s.review_status = 'required_before_scoring' THEN 'manual_review_required'
     WHEN domains >= 2 AND positive_cases > 0 AND negative_cases > 0 AND runs >= 2 THEN 'cross_domain_validated' WHEN domains >= 2 THEN 'validated_with_limits' WHEN domains = 1 THEN 'single_domain_validated' ELSE 'unvalidated' END AS validation_status,
   coalesce(s.severity, a.default_severity, 'None') AS default_severity, coalesce(s.finding_type, 'core_issue') AS finding_type, coalesce(s.score_effect, CASE WHEN a.scores THEN 'score_capable' ELSE 'score_free' END) AS score_effect,

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitewright.operators.scoring import half_up, root_cause_id, scope_factor
+from sitewright.functions.numbers import half_up, root_cause_id, scope_factor
 
 __all__ = ["human_bytes", "hreflang_code", "imported_flag", "imported_list", "imported_number", "imported_score", "next_due", "root_cause_id", "scope_factor", "size_risk", "url_filter"]
 

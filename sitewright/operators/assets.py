@@ -35,27 +35,27 @@ def _line_struct(raw: Column, index: Column) -> Column:
 def robots_lines(assets: DataFrame) -> DataFrame:
     """Lines of every file with directive name, value and group number.
 
-    A file is one row and its lines stay an array: groups come from a fold over the array, so no shuffle is needed.
+    A file is one row and its lines stay an array, so no shuffle is needed. A group starts at a named user agent, unless the last line before it that opens or closes
+    a run of agents was one too. The starts cut the lines into slices, each of which is copied once: time is linear in the lines.
     """
-    text = F.regexp_replace(F.coalesce(c("content"), F.lit("")), "^﻿", "")
+    text = F.regexp_replace(F.coalesce(c("content"), F.lit("")), "^\ufeff", "")
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), _line_struct), lambda line: ~line["blank"])
-    start = F.struct(F.lit(0).alias("group"), F.lit(False).alias("open"), F.array().cast("array<struct<line:int,name:string,value:string,grp:int,error:string>>").alias("rows"))
+    rows = U.computed_once(assets, {"__lines": lines})
+    is_agent = lambda line: line["directive"] & (line["name"] == "user-agent")
+    mark = lambda line, at: F.struct(at.alias("at"), (is_agent(line) & (line["value"] != "")).alias("named"), (line["directive"] & ~is_agent(line)).alias("closing"))
+    rows = U.computed_once(rows, {"__marks": F.filter(F.transform("__lines", mark), lambda m: m["named"] | m["closing"])})
+    start = lambda m, at: F.when(m["named"] & F.coalesce(~F.get("__marks", at - 1)["named"], F.lit(True)), m["at"])
+    rows = U.computed_once(rows, {"__starts": F.array_compact(F.transform("__marks", start))})
+    spans = F.zip_with(F.concat(F.array(F.lit(0)), "__starts"), F.concat("__starts", F.array(F.size("__lines"))), lambda low, high: F.struct(low.alias("low"), (high - low).alias("size")))
+    rows = U.computed_once(rows, {"__spans": spans})
 
-    def step(state: Column, line: Column) -> Column:
-        agent = line["directive"] & (line["name"] == "user-agent")
-        named = agent & (line["value"] != "")
-        rule = line["directive"] & line["name"].isin("allow", "disallow")
-        fresh = named & (~state["open"] | (state["group"] == 0))
-        group = F.when(fresh, state["group"] + 1).otherwise(state["group"])
-        error = (
-            F.when(~line["directive"], "malformed_directive").when(agent & ~named, "empty_user_agent").when(rule & (group == 0), "rule_without_user_agent")
-        )
-        opened = F.when(named, F.lit(True)).when(~line["directive"] | agent, state["open"]).otherwise(F.lit(False))
-        row = F.struct(line["line"].alias("line"), line["name"].alias("name"), line["value"].alias("value"), group.alias("grp"), error.alias("error"))
-        return F.struct(group.alias("group"), opened.alias("open"), F.concat(state["rows"], F.array(row)).alias("rows"))
+    def row(line: Column, group: Column) -> Column:
+        agent, rule = is_agent(line), line["directive"] & line["name"].isin("allow", "disallow")
+        error = F.when(~line["directive"], "malformed_directive").when(agent & (line["value"] == ""), "empty_user_agent").when(rule & (group == 0), "rule_without_user_agent")
+        return F.struct(line["line"].alias("line"), line["name"].alias("name"), line["value"].alias("value"), group.alias("grp"), error.alias("error"))
 
-    parsed = U.computed_once(assets, {"parsed": F.aggregate(lines, start, step)["rows"]})
-    return parsed
+    parsed = F.flatten(F.transform("__spans", lambda span, group: F.transform(F.slice("__lines", span["low"] + 1, span["size"]), lambda line: row(line, group))))
+    return U.computed_once(rows, {"parsed": parsed}).drop("__lines", "__marks", "__starts", "__spans")
 
 
 def robots_directives(assets: DataFrame) -> DataFrame:
@@ -363,8 +363,8 @@ def llms_results(assets: DataFrame, runs: DataFrame) -> DataFrame:
 def markdown_twins(assets: DataFrame, runs: DataFrame) -> DataFrame:
     """A run passes when one of its text files answers and looks like Markdown or plain text."""
     kind, address = F.lower(F.coalesce(c("content_type"), F.lit(""))), F.lower(c("url"))
-    sample = F.trim(F.left(F.coalesce(c("content"), F.lit("")), F.lit(400)))
-    looks = sample.rlike(r"(?m)^#\s|\n#\s|^- |\n- |\[[^\]]+\]\([^)]+\)") | ~sample.rlike(r"(?i)<html[\s>]")
+    content = F.trim(F.coalesce(c("content"), F.lit("")))
+    looks = content.rlike(r"(?m)^#\s|^- |\[[^\]\n]+\]\([^)\n]+\)") | ~content.rlike(r"(?i)<html[\s>]")
     text = F.when(kind.rlike("text/markdown|text/plain|application/markdown"), True).when(kind.contains("text/html"), False).when(address.rlike(r"\.(md|markdown|txt)([?#]|$)"), looks).otherwise(False)
     found = assets.groupBy("run_id").agg(F.count_if((c("final_status") >= 200) & (c("final_status") < 300) & text).alias("twins"))
     rows = runs.select("run_id").join(found, "run_id", "left").na.fill(0).withColumn("evaluation_state", F.when(c("twins") > 0, "pass").otherwise("fail"))

@@ -125,6 +125,25 @@ def page_of(rows: DataFrame, order: list[Column], page: int, size: int) -> DataF
     return rows.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, keys: list[str], after: tuple | None, size: int) -> DataFrame:
+    """The rows that follow the key values of the last row shown, in the order of the keys. Every page costs as much as the first: a filter and a top-k sort.
+
+    Keys are unique together; nulls come first, as in Spark's ascending order.
+    """
+    if after is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for name, value in zip(keys, after, strict=True):
+            beyond = beyond | (equal & (c(name).isNotNull() if value is None else F.coalesce(c(name) > F.lit(value), F.lit(False))))
+            equal = equal & c(name).eqNullSafe(F.lit(value))
+        rows = rows.where(beyond)
+    return rows.orderBy(*[F.asc_nulls_first(name) for name in keys]).limit(size)
+
+
+def totals(rows: DataFrame, *groups: str) -> DataFrame:
+    """Rows of each listing, for its pages to state."""
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("total"))
+
+
 def table_statistics(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and text bytes per stored table, from one aggregate each."""
     parts = None

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -264,6 +265,46 @@ def evaluate_checks(
     )
 
 
+def runnable(rows: DataFrame, checks: Sequence[Check]) -> tuple[list[Check], dict[str, str]]:
+    """Checks whose measures the rows can give, and why the others cannot run. Only the analyser is asked, no job runs."""
+    able, failed = [], {}
+    for check in checks:
+        try:
+            _ = rows.select(*[condition.alias(name) for name, condition in check.measures.items()]).schema
+            able.append(check)
+        except AnalysisException as error:
+            failed[check.id] = error.getCondition() or type(error).__name__
+    return able, failed
+
+
+def evaluate_all(rows: DataFrame, runs: DataFrame, checks: Sequence[Check], **options) -> DataFrame:
+    """Result rows of all checks: one that cannot run gives a row of state technical_error for every run and does not stop the others."""
+    able, failed = runnable(rows, checks)
+    broken = {check.id: check for check in checks if check.id in failed}
+    errors = F.array(*[
+        F.struct(F.lit(check.id).alias("check_id"), F.lit(check.category).alias("category"), F.lit(check.priority).alias("priority"), F.lit(failed[check.id]).alias("evidence")) for check in broken.values()
+    ]) if broken else None
+    if errors is None:
+        return evaluate_checks(rows, runs, able, **options)
+    technical = runs.select("run_id", F.inline(errors)).withColumns({
+        "evaluation_state": F.lit(STATE_TECHNICAL), "status": F.lit("NA"), "affected_count": F.lit(0).cast("bigint"), "score_eligible": F.lit(False), "sample_urls": F.array().cast("array<string>"),
+    })
+    return evaluate_checks(rows, runs, able, **options).unionByName(technical) if able else technical
+
+
+def with_evidence(results: DataFrame) -> DataFrame:
+    """Findings without evidence become insufficient evidence: a warning or error that neither counts, names a sample nor notes a measure proves nothing."""
+    bare = _is_issue() & (F.coalesce(F.col("affected_count"), F.lit(0)) <= 0) & (F.size(F.coalesce(F.col("sample_urls"), F.array().cast("array<string>"))) == 0) & (F.trim(F.coalesce(F.col("evidence"), F.lit(""))) == "")
+    return results.withColumns({
+        "evaluation_state": F.when(bare, F.lit(STATE_INSUFFICIENT)).otherwise(F.col("evaluation_state")), "status": F.when(bare, F.lit("NA")).otherwise(F.col("status")),
+        "affected_count": F.greatest(F.coalesce(F.col("affected_count"), F.lit(0)), F.lit(0)).cast("bigint"), "score_eligible": F.when(bare, F.lit(False)).otherwise(F.col("score_eligible")),
+    })
+
+
+def _is_issue() -> Column:
+    return F.coalesce(F.col("status").isin("Warning", "Error"), F.lit(False))
+
+
 def affected_rows(rows: DataFrame, checks: list[Check], *columns: str) -> DataFrame:
     """All detail rows behind the checks: a row with each check whose sample measure selects it, from one scan."""
     hits = [F.when(F.coalesce(check.measures[check.sample or "hit"], F.lit(False)), F.lit(check.id)) for check in checks]

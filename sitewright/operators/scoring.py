@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewright.functions.numbers import SCOPE_FACTOR, half_up, lookup, root_cause_id, scope_factor
 from sitewright.functions import url as U
 from sitewright.operators import coverage as CV
 from sitewright.session import stored
@@ -21,7 +22,6 @@ SEVERITY_PENALTY = {"critical": 30, "high": 14, "medium": 5, "low": 1}
 SEVERITY_RANK = {"none": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
 CONFIDENCE_FACTOR = {"high": 1.0, "medium": 0.7, "low": 0.0}
 CONFIDENCE_RANK = {"high": 3, "medium": 2, "low": 1}
-SCOPE_FACTOR = {"url": 1.0, "template": 1.15, "sitewide": 1.25, "resource": 1.0, "external": 0.75, "service": 1.15, "unknown": 1.0}
 SCOPE_RANK = {"unknown": 0, "external": 1, "url": 2, "resource": 2, "template": 3, "service": 3, "sitewide": 4}
 TYPE_RANK = {"core_issue": 0, "best_practice": 1, "opportunity": 2, "llm_assisted": 3, "info": 4}
 CATEGORY_CAP = {
@@ -38,12 +38,6 @@ FINAL_COVERAGE, PROVISIONAL_COVERAGE = 80, 60
 ARTICLE_CHECKS = ("tech.article_coverage_on_article_like_pages", "geo.article_blog_pages_article_schema")
 
 
-def half_up(value: Column, places: int = 0) -> Column:
-    """Rounding of positive numbers with ties upwards."""
-    scale = float(10**places)
-    return F.floor(value * scale + 0.5) / scale
-
-
 def exact_sum(column: Column) -> Column:
     """Sum of values with four decimal places; summed as whole numbers, so the order of rows cannot change it."""
     return F.sum(F.round(column * 10000).cast("bigint")) / F.lit(10000.0)
@@ -54,13 +48,6 @@ def half_up_3(total: Column) -> Column:
     return F.floor((F.round(total * 10000).cast("bigint") + 5) / 10) / F.lit(1000.0)
 
 
-def lookup(column: Column, table: dict, default) -> Column:
-    rule = None
-    for key, value in table.items():
-        rule = F.when(column == key, F.lit(value)) if rule is None else rule.when(column == key, F.lit(value))
-    return rule.otherwise(F.lit(default))
-
-
 def name_of(rank: Column, table: dict[str, int]) -> Column:
     return lookup(rank, {value: key for key, value in table.items()}, None)
 
@@ -70,15 +57,6 @@ def clean_key(text: Column) -> Column:
     return F.nullif(F.regexp_replace(body, "^_+|_+$", ""), F.lit(""))
 
 
-def scope_factor(count: Column, scope: Column) -> Column:
-    growth = F.least(F.lit(1.75), 1 + F.log10(F.greatest(F.lit(1.0), count.cast("double"))) * 0.25)
-    return half_up(F.least(F.lit(2.0), growth * lookup(scope, SCOPE_FACTOR, 1.0)), 4)
-
-
-def root_cause_id(key: Column) -> Column:
-    return F.concat(F.lit("rc_"), F.left(F.sha2(F.coalesce(key, F.lit("unknown")), 256), F.lit(16)))
-
-
 def category_key(category: Column, check: Column, area: Column) -> Column:
     text = F.lower(F.concat_ws(" ", F.coalesce(category, F.lit("")), F.coalesce(check, F.lit(""))))
     return (

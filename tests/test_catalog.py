@@ -1,5 +1,9 @@
 """Registered queries against DuckDB on the smallest data set (a spread of them; the compare tool runs all)."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -32,3 +36,10 @@ def test_every_text_has_a_query():
 
 def test_entry(spark):
     assert contract.entry(spark).columns[:2] == ["run_id", "check_id"]
+
+
+def test_registration_needs_no_session():
+    """Queries and texts are listed before there is a session."""
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(contract.__file__), capture_output=True, text=True, check=True)
+    assert int(found.stdout.split()[-1]) >= 200

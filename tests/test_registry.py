@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sitewright.catalog.summary_queries import ACTIVE_CHECKS
 from sitewright.operators import registry as RG
 
 c = F.col
@@ -105,3 +106,8 @@ def test_observed_counts(spark):
     results = spark.createDataFrame([("a", "k", "C", "OK"), ("a", "k", "C", "Error"), ("b", "k", "C", "Warning"), ("c", "k", "C", "NA"), ("z", "l", "C", "OK")], "run_id string, check_id string, category string, status string")
     got = {r.check_id: (r.positive_cases, r.negative_cases, r.observations, r.runs, r.domains) for r in RG.observed(results, runs).collect()}
     assert got == {"k": (2, 1, 4, 3, 2), "l": (0, 1, 1, 1, 0)}
+
+
+def test_checks_named_for_duckdb(spark):
+    named = {(check, *key) for key, ids in ACTIVE_CHECKS.items() for check in ids}
+    assert named == {(check.id, check.priority, check.score_eligible) for check in RG.library_checks()}
