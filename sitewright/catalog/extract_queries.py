@@ -19,6 +19,7 @@ from sitewright.operators import structured_data as SD
 from sitewright.operators import suffixes as SX
 from sitewright.operators.predicates import evaluate_checks
 from sitewright.session import stored
+from sitewright.sources import retention as RT
 
 QUERIES = {}
 ORACLE = {}
@@ -192,4 +193,18 @@ SELECT page_id, h AS host, CASE WHEN x THEN regexp_replace(o, '^[^.]+[.]', '') W
   CASE WHEN x THEN o WHEN below AND strpos(regexp_replace(h, '[.][^.]+[.][^.]+$', ''), '.') > 0 THEN regexp_extract(h, '([^.]+[.][^.]+[.][^.]+[.][^.]+)$', 1) WHEN below THEN NULL ELSE regexp_extract(h, '([^.]+[.][^.]+)$', 1) END AS apex
 FROM (SELECT page_id, h, (SELECT max(host) FROM open WHERE h = host OR suffix(h, '.' || host)) AS o, (SELECT max(host) FROM open WHERE h = host OR suffix(h, '.' || host)) IS NOT NULL AS x,
   EXISTS (SELECT 1 FROM apexes WHERE apex LIKE 'example.%' AND suffix(h, '.' || apex)) AS below FROM (SELECT page_id, {HOST} AS h FROM article_pages) p) q"""
+
+
+def _evidence(s):
+    """Evidence of whole texts, their words and a trace, cut to a policy."""
+    found = F.to_json(F.struct("text", F.split("text", " ").alias("words"), F.struct(c("text").alias("stack")).alias("trace")))
+    rows = U.computed_once(s.table("documents"), {"kept": RT.pruned_evidence(found, RT.Policy(text=500, error_text=200, json_bytes=1_000_000))})
+    part = lambda path: F.get_json_object("kept.value", path)
+    return rows.select("doc_id", F.length(part("$.text")).alias("text_length"), F.json_array_length(part("$.words")).alias("words"), F.length(part("$.trace.stack")).alias("trace_length"), c("kept.truncated").alias("truncated"))
+
+
+QUERIES["evidence_pruned"] = _simple(_evidence)
+_CUT = "CAST(CASE WHEN length(text) <= {0} THEN length(text) ELSE {0} - 32 + length('... [truncated ' || (length(text) - {0} + 32) || ' chars]') END AS INT)".format
+ORACLE["evidence_pruned"] = f"""
+SELECT doc_id, {_CUT(500)} AS text_length, CAST(least(20, len(string_split(text, ' '))) AS INT) AS words, {_CUT(200)} AS trace_length, coalesce(length(text) > 200 OR len(string_split(text, ' ')) > 20, false) AS truncated FROM documents"""
 ORACLE = {name: with_views(text) for name, text in ORACLE.items()}

@@ -32,11 +32,6 @@ def reach_by_page_type(pages: DataFrame, findings: DataFrame) -> DataFrame:
     return pages.join(hit, ["run_id", "url"], "left").groupBy("run_id", kind.alias("page_type")).agg(F.count(F.lit(1)).alias("pages"), F.count("hit").alias("affected_pages"))
 
 
-def status_counts(registry: DataFrame) -> DataFrame:
-    """Checks of a validation registry by status."""
-    return registry.groupBy("status").agg(F.count(F.lit(1)).alias("checks"))
-
-
 def content_signals(pages: DataFrame) -> DataFrame:
     """Seven content signals of a run in one row."""
     return pages.groupBy("run_id").agg(*[F.count_if(F.coalesce(c(name), F.lit(0)) > 0).alias(name) for name in SIGNALS])
