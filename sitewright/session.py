@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,16 +28,10 @@ def build_session(app: str = "sitewright", master: str | None = None, shuffle_pa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset, a local session gets a temporary one; on a cluster that is an error, as executors could not see it.
-    """
+    """The folder named in spark.checkpoint.dir, which driver and executors share. A session has to be started with it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="sitewright-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("start the session with spark.checkpoint.dir, a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
