@@ -45,7 +45,7 @@ def test_stages(spark):
 def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     names = [name for name in contract.queries() if name.startswith("op")]
-    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 14))
     assert "pipeline" in contract.queries()
 
 
