@@ -17,6 +17,7 @@ from sitewright.operators import page_checks as PC
 from sitewright.operators import page_facts as PF
 from sitewright.operators import structured_data as SD
 from sitewright.operators import suffixes as SX
+from sitewright.operators.percentiles import percentiles
 from sitewright.operators.predicates import evaluate_checks
 from sitewright.session import stored
 from sitewright.sources import retention as RT
@@ -117,7 +118,8 @@ QUERIES["fn_schedule_due"] = _simple(lambda s: s.table("site_runs").select("run_
 ORACLE["fn_schedule_due"] = "SELECT run_id, schedule_id, CAST(epoch(CASE schedule_id % 3 WHEN 0 THEN t + INTERVAL 1 DAY WHEN 1 THEN t + INTERVAL 7 DAY ELSE t + INTERVAL 1 MONTH END) AS BIGINT) AS next_due FROM (SELECT *, TIMESTAMP '1970-01-01' + to_seconds(1706700000 + schedule_id * 86400) AS t FROM site_runs) x"
 QUERIES["fn_event_json"] = _simple(lambda s: s.table("events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(-1)).alias("k"), F.try_parse_json("props").isNotNull().alias("valid")))
 ORACLE["fn_event_json"] = "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), -1) AS k, json_valid(props) AS valid FROM events"
-QUERIES["fn_percentiles"] = _simple(lambda s: s.table("events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.percentile("value", 0.75), 4).alias("p75"), F.round(F.percentile("value", 0.9), 4).alias("p90"), F.round(F.percentile("value", 0.95), 4).alias("p95")))
+SHARES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+QUERIES["fn_percentiles"] = _simple(lambda s: percentiles(s.table("events"), ["event_type"], {name: (c("value"), share) for name, share in SHARES.items()}).select("event_type", *[F.round(name, 4).alias(name) for name in SHARES]))
 ORACLE["fn_percentiles"] = "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.75), 4) AS p75, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY 1"
 
 QUERIES["fn_json_summary"] = _simple(lambda s: s.table("events").select("event_id", CP.evidence_summary(F.concat(F.lit('{"list":[1,{"a":2}],"none":{},"props":'), c("props"), F.lit(',"text":"x"}'))).alias("summary")))

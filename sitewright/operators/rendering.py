@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright.functions import url as U
+from sitewright.operators.percentiles import percentiles
 from sitewright.operators import scopes as S
 
 c = F.col
@@ -198,21 +199,26 @@ def distribution(metrics: DataFrame, value: str) -> DataFrame:
     groupings = ("page_type", "raw_content_class", "render_decision", "settling_status")
     pairs = F.array(F.struct(F.lit("all").alias("grouping"), F.lit("").alias("value")), *[F.struct(F.lit(name).alias("grouping"), F.coalesce(c(name), F.lit("unknown")).alias("value")) for name in groupings])
     rows = metrics.select("run_id", F.col(value).alias("x"), F.explode(pairs).alias("g"))
-    return rows.groupBy("run_id", c("g.grouping").alias("grouping"), c("g.value").alias("value")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count("x").alias("measured"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.percentile("x", 0.5), 4).alias("p50"), F.round(F.percentile("x", 0.75), 4).alias("p75"),
-        F.round(F.percentile("x", 0.9), 4).alias("p90"), F.round(F.percentile("x", 0.95), 4).alias("p95"), F.max("x").alias("maximum"),
-    )
+    flat = rows.select("run_id", c("g.grouping").alias("grouping"), c("g.value").alias("value"), "x")
+    keys = ["run_id", "grouping", "value"]
+    totals = flat.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count("x").alias("measured"), F.round(F.avg("x"), 4).alias("mean"), F.max("x").alias("maximum"))
+    shares = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+    points = percentiles(flat, keys, {name: (c("x"), share) for name, share in shares.items()})
+    return totals.join(points, keys, "left").select(*keys, "rows", "measured", "mean", *[F.round(name, 4).alias(name) for name in shares], "maximum")
 
 
 def run_metrics(metrics: DataFrame) -> DataFrame:
     """Counters, sums and forecast inputs of a run."""
     ran = c("browser_run") == 1
     cost = F.when(ran, c("navigation_ms") + c("settling_ms"))
-    return metrics.groupBy("run_id").agg(
+    totals = metrics.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("urls"), F.count_if(ran).alias("rendered"), F.count_if(~ran & (c("render_decision") == "render_not_required")).alias("avoided"), F.count_if(c("render_decision") == "render_budget_exhausted").alias("exhausted"),
         F.count_if(c("settling_status") == "settling_timeout").alias("timeouts"), F.count_if(c("settling_status") == "rendering_unstable").alias("unstable"), F.sum("fetch_ms").alias("fetch_ms"), F.sum(F.when(ran, c("provenance_bytes"))).alias("bytes"),
-        F.round(F.percentile("fetch_ms", 0.5), 4).alias("p50_fetch_ms"), F.round(F.percentile(cost, 0.5), 4).alias("p50_render_ms"), F.round(F.percentile(cost, 0.9), 4).alias("p90_render_ms"), F.round(F.avg(F.when(ran, c("provenance_bytes"))), 4).alias("bytes_per_render"),
+        F.round(F.avg(F.when(ran, c("provenance_bytes"))), 4).alias("bytes_per_render"),
     )
+    points = percentiles(metrics, ["run_id"], {"p50_fetch_ms": (c("fetch_ms"), 0.5), "p50_render_ms": (cost, 0.5), "p90_render_ms": (cost, 0.9)})
+    rounded = points.select("run_id", *[F.round(name, 4).alias(name) for name in ("p50_fetch_ms", "p50_render_ms", "p90_render_ms")])
+    return totals.join(rounded, "run_id", "left")
 
 
 def forecasts(metrics: DataFrame, sizes: tuple[int, ...] = (10, 100, 1000, 10000)) -> DataFrame:
