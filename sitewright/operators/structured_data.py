@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from sitewright.functions.schema_types import type_name
 from sitewright.operators import scopes as S
+from sitewright.session import batched
 
 c = F.col
+#: Blocks read at a time; the rows of their entities leave the worker before the next ones are read.
+PIECE = 200
 DATA = "Structured Data"
 ENTITY_SCHEMA = (
     "page_id bigint, block_index int, parse_status string, snippet_hash string, body_length bigint, entity_index int, entity_path string, entity_id string, "
@@ -80,10 +83,12 @@ def entities(blocks: DataFrame) -> DataFrame:
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [row for page_id, index, body in zip(batch["page_id"], batch["block_index"], batch["body"]) for row in _block_rows(page_id, int(index), body or "")]
-            yield pd.DataFrame(rows, columns=columns)
+            for at in range(0, max(len(batch), 1), PIECE):
+                piece = batch.iloc[at : at + PIECE]
+                rows = [row for page_id, index, body in zip(piece["page_id"], piece["block_index"], piece["body"]) for row in _block_rows(page_id, int(index), body or "")]
+                yield pd.DataFrame(rows, columns=columns)
 
-    raw = blocks.select("page_id", "block_index", "body").mapInPandas(walk, ENTITY_SCHEMA)
+    raw = batched(blocks.select("page_id", "block_index", "body")).mapInPandas(walk, ENTITY_SCHEMA)
     return raw.withColumn("schema_type", type_name(c("raw_type"))).drop("raw_type")
 
 
