@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import url as U
 from sitewright.operators.scoring import half_up, lookup
+from sitewright.session import stored
 
 c = F.col
 
@@ -312,7 +313,8 @@ def run_maturity(pointed: DataFrame) -> DataFrame:
 
 def highlights(pointed: DataFrame, top: int = 5) -> DataFrame:
     """Strengths, weaknesses and next steps: up to ``top`` categories of each kind per run."""
-    rows = category_scores(pointed).where(c("score").isNotNull())
+    # Three rankings read the scores; stored, they are worked out once.
+    rows = stored(category_scores(pointed).where(c("score").isNotNull()))
     strong = Window.partitionBy("run_id").orderBy(F.desc("score"), F.desc("weight"), F.desc("passed"), "maturity_category")
     weak = Window.partitionBy("run_id").orderBy("score", F.desc("weight"), F.desc("errors"), F.desc("warnings"), "maturity_category")
     bad = c("warnings") + c("errors") + c("opportunities") > 0
