@@ -14,7 +14,7 @@ from sitewright.operators import page_facts as PF
 from sitewright.operators import summaries as SU
 from sitewright.operators import templates as TP
 from sitewright.operators.predicates import evaluate_checks
-from sitewright.session import shared_folder
+from sitewright.session import shared_folder, stored
 from sitewright.sources import crawler_exports as CE
 from sitewright.sources import exports as XP
 
@@ -59,7 +59,15 @@ def _scored(s):
 QUERIES["match_candidates"] = _simple(lambda s: _scored(s).select("run_id", "item_id", "finding_id", "check_id", "direct", "family_match", "match_score"))
 QUERIES["match_coverage"] = _simple(lambda s: MA.coverage(MA.map_items(_items(s)), _scored(s)).drop("expected_checks"))
 QUERIES["match_summary"] = _simple(lambda s: MA.coverage_summary(MA.coverage(MA.map_items(_items(s)), _scored(s))))
-QUERIES["match_extra_findings"] = _simple(lambda s: MA.extra_findings(_findings(s), _scored(s), MA.coverage(MA.map_items(_items(s)), _scored(s))))
+
+
+def _extra(s):
+    findings, mapped = stored(_findings(s)), MA.map_items(_items(s))
+    scored = stored(MA.candidates(mapped, findings))
+    return MA.extra_findings(findings, scored, MA.coverage(mapped, scored))
+
+
+QUERIES["match_extra_findings"] = _simple(_extra)
 
 QUERIES["export_status_summary"] = _simple(lambda s: XP.status_summary(s.table("site_pages")))
 ORACLE["export_status_summary"] = "SELECT run_id, coalesce(status_code, 0) AS status_code, count(*) AS pages, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY run_id), 2) AS share FROM site_pages GROUP BY 1, 2"

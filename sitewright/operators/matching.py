@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sitewright.functions import text as TX
 from sitewright.functions import url as U
 from sitewright.operators.maturity import CATEGORY_CHECKS
+from sitewright.session import stored
 
 c = F.col
 # fixed values: mapping rules (pattern, category, checks, needs)
@@ -305,7 +306,8 @@ def map_items(items: DataFrame) -> DataFrame:
 def candidates(mapped: DataFrame, findings: DataFrame) -> DataFrame:
     """Scored (item, finding) pairs with a usable link and a score of 25 or more. A run has one finding for each check; of several the one of smallest id counts."""
     others = [name for name in findings.columns if name not in ("run_id", "check_id")]
-    findings = findings.groupBy("run_id", "check_id").agg(F.min_by(F.struct(*others), "finding_id").alias("one")).select("run_id", "check_id", "one.*")
+    # Families, words and scores each read the findings; stored, they are grouped once.
+    findings = stored(findings.groupBy("run_id", "check_id").agg(F.min_by(F.struct(*others), "finding_id").alias("one")).select("run_id", "check_id", "one.*"))
     left = mapped.select("run_id", "item_id", "title", "description", "recommendation", "category", "priority", F.col("affected_count").alias("item_affected"), "expected_checks")
     tagged = left.select("run_id", "item_id", F.explode(F.array_distinct(F.transform("expected_checks", check_family))).alias("family"))
     family = findings.withColumn("family", check_family(c("check_id"))).select("run_id", "finding_id", "family")
