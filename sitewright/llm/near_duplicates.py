@@ -39,9 +39,8 @@ MOST_BANDS = 40
 SMALL_BUCKET = 12
 #: Members of a large bucket that are compared with all its others at first.
 PIVOTS = 4
-#: Bits of the sketches by which the other members of large buckets are compared, and members compared in one block.
+#: Bits of the sketches by which the other members of large buckets are compared, and members in one packed block.
 SKETCH, BLOCK = 2048, 4096
-_LONG = [f"l{i}" for i in range(SKETCH // 64)]
 
 
 @dataclass(frozen=True)
@@ -223,15 +222,60 @@ def _sketches(sets: DataFrame) -> DataFrame:
                 for j, factor in enumerate(factors):
                     np.multiply(shingle, factor, out=turned)
                     low[:, j] = (np.minimum.reduceat(turned, first) >> np.uint64(8)) & np.uint64(1)
-                packed = np.packbits(low, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(column)) for column in packed.T]], ["fp", *_LONG])
+                packed = np.packbits(low, axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([row.tobytes() for row in packed], pa.binary())], ["fp", "sketch"])
 
-    return sets.select("fp", "shingles").mapInArrow(rows, "fp long, " + ", ".join(f"{name} long" for name in _LONG))
+    return sets.select("fp", "shingles").mapInArrow(rows, "fp long, sketch binary")
 
 
-def _far_estimate(left: str, right: str) -> Column:
-    apart = [F.bit_count(F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}"))) for name in _LONG]
-    return 1 - 2 * sum(apart[1:], apart[0]) / F.lit(float(SKETCH))
+@dataclass(frozen=True)
+class _Block:
+    """Members of a bucket as arrays; the buckets of each are filled up with its first one."""
+
+    fp: np.ndarray
+    label: np.ndarray
+    sketch: np.ndarray
+    buckets: np.ndarray
+
+    @classmethod
+    def of(cls, members: pa.StructArray) -> _Block:
+        fp, label, sketch, buckets = (members.field(name) for name in ("fp", "label", "sketch", "buckets"))
+        sizes = np.diff(buckets.offsets.to_numpy())
+        at = np.arange(sizes.max())
+        first = buckets.offsets.to_numpy()[:-1, None]
+        filled = buckets.values.to_numpy()[first + np.where(at < sizes[:, None], at, 0)]
+        return cls(fp.to_numpy(), label.to_numpy(), np.frombuffer(b"".join(sketch.to_pylist()), dtype=np.uint64).reshape(len(fp), -1), filled)
+
+
+def _close_pairs(least: float):
+    """Pairs from two blocks of a bucket, or from one, that differ in label, may be links by their sketches and share no smaller bucket."""
+    most = math.floor((1 - least) * SKETCH / 2)
+
+    def of(table: pa.Table) -> pa.Table:
+        bucket, low, high = (table[name][0].as_py() for name in ("bucket", "low", "high"))
+        found = {block: _Block.of(members.values) for block, members in zip(table["block"].to_pylist(), table["members"], strict=True)}
+        pairs = [np.empty((2, 0), dtype=np.int64)]
+        if low in found and high in found:
+            x, y = found[low], found[high]
+            for at in range(0, len(x.fp), 64):
+                part = slice(at, at + 64)
+                apart = np.zeros((len(x.fp[part]), len(y.fp)), dtype=np.uint16)
+                for one, other in zip(x.sketch[part].T, y.sketch.T, strict=True):
+                    apart += np.bitwise_count(one[:, None] ^ other)
+                i, j = np.nonzero((apart <= most) & (x.label[part, None] != y.label))
+                i += at
+                if low == high:
+                    i, j = i[i < j], j[i < j]
+                for some in range(0, len(i), 4096):
+                    left, right = i[some : some + 4096], j[some : some + 4096]
+                    earlier = x.buckets[left] < bucket
+                    met = (x.buckets[left][:, :, None] == y.buckets[right][:, None, :]).any(axis=2)
+                    first = ~(earlier & met).any(axis=1)
+                    pairs.append(np.stack([x.fp[left[first]], y.fp[right[first]]]))
+        a, b = np.concatenate(pairs, axis=1)
+        return pa.table({"a": a, "b": b})
+
+    return of
 
 
 def _candidates(members: DataFrame, links: _Links) -> None:
@@ -239,14 +283,15 @@ def _candidates(members: DataFrame, links: _Links) -> None:
 
     A text from which many copies were made shares buckets with most of them, so the members that meet the most others are the pivots.
     All that are linked with one pivot are in one component and need no comparison. Members of a large bucket outside its main
-    component are compared with its other members, in blocks. The comparison is of longer sketches, inside the join, and a pair counts in
-    the first bucket that it shares; only what may be a link leaves the join.
+    component are compared with its other members, one pair of packed blocks at a time. The comparison is of longer sketches, and a pair
+    counts in the first bucket that it shares; only what may be a link leaves it. Degrees, labels and sketches stay with a class and
+    its buckets, one row for each class: no join makes a row for each bucket of each member.
     """
     sized = tables.stored(members.groupBy("bucket").agg(F.count("*").alias("size")))
     small = members.join(sized.where(F.col("size") <= SMALL_BUCKET).select("bucket"), "bucket")
     met = members.join(sized.where(F.col("size") > SMALL_BUCKET), "bucket")
-    degrees = tables.stored(met.groupBy("fp").agg(F.sum("size").alias("degree"), F.array_sort(F.collect_list("bucket")).alias("buckets")))
-    large, facts = tables.stored_with(met.join(degrees.drop("buckets"), "fp").select("bucket", "fp", "degree"), n=F.count("*"))
+    degrees, facts = tables.stored_with(met.groupBy("fp").agg(F.sum("size").alias("degree"), F.array_sort(F.collect_list("bucket")).alias("buckets")), n=F.count("*"))
+    large = degrees.select(F.explode("buckets").alias("bucket"), "fp", "degree")
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.fp") < F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     if not facts["n"]:
         links.confirm(pairs)
@@ -256,23 +301,30 @@ def _candidates(members: DataFrame, links: _Links) -> None:
     links.confirm(pairs.unionByName(pivots.select("bucket", "a").join(large.select("bucket", F.col("fp").alias("b")), "bucket").select("a", "b")))
     hubs = pivots.select("a", "of").distinct()
     star = hubs.join(links.both_ways(), "a").unionByName(hubs.withColumn("b", F.col("a"))).groupBy(F.col("b").alias("fp")).agg(F.max_by("a", F.struct("of", "a")).alias("label"))
-    known = degrees.select("fp", "buckets").join(star, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    labelled = tables.stored(large.select("bucket", "fp").join(known.select("fp", "label"), "fp"))
-    shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("part"))
+    known = tables.stored(degrees.select("fp", "buckets").join(star, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    shares = known.select(F.explode("buckets").alias("bucket"), "label").groupBy("bucket", "label").agg(F.count("*").alias("part"))
     split = shares.groupBy("bucket").agg(F.max_by("label", "part").alias("main"), F.sum("part").alias("size"), F.max("part").alias("most")).where("most < size")
-    split = tables.stored(split.select("bucket", "main", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("long").alias("blocks")))
-    left = labelled.join(split, "bucket").where("label <> main").join(pivots.select("bucket", F.col("a").alias("fp")), ["bucket", "fp"], "left_anti")
-    left, facts = tables.stored_with(left.select("bucket", "fp", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("block")), n=F.count("*"))
-    if not facts["n"]:
+    blocks = (F.ceil(count / BLOCK).cast("long") for count in (F.col("size") - F.col("most"), F.col("most")))
+    split = split.select("bucket", "main", *[count.alias(name) for count, name in zip(blocks, ("lefts", "rests"), strict=True)])
+    split = tables.stored(split.join(pivots.groupBy("bucket").agg(F.collect_list("a").alias("pivots")), "bucket"))
+
+    def placed(classes: DataFrame) -> DataFrame:
+        """Members of split buckets: those to be compared in the blocks below `lefts`, the others behind them."""
+        mixed = F.xxhash64("fp")
+        left = (F.col("label") != F.col("main")) & ~F.array_contains("pivots", F.col("fp"))
+        block = F.when(left, F.pmod(mixed, F.col("lefts"))).otherwise(F.col("lefts") + F.pmod(mixed, F.col("rests")))
+        return classes.withColumn("bucket", F.explode("buckets")).join(split, "bucket").withColumn("block", block)
+
+    if placed(known).where("block < lefts").isEmpty():
         return
-    sketched = tables.stored(known.join(_sketches(links.sets.join(degrees.select("fp"), "fp", "left_semi")), "fp"))
-    one = left.join(sketched, "fp").alias("x")
-    other = labelled.select("bucket", "fp").join(split.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")), "bucket").join(sketched, "fp").alias("y")
-    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block"))
+    sketched = tables.stored(known.join(_sketches(links.sets.join(placed(known).select("fp").distinct(), "fp", "left_semi")), "fp"))
+    # Dealt by block and by pair of blocks: rows that lie by bucket already would stay so, and one task would compare a whole bucket.
+    packed = placed(sketched).repartition("bucket", "block").groupBy("bucket", "lefts", "rests", "block").agg(F.collect_list(F.struct("fp", "label", "sketch", "buckets")).alias("members"))
+    last = F.when(F.col("block") < F.col("lefts"), F.col("lefts") + F.col("rests")).otherwise(F.col("lefts")) - 1
+    facing = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    facing = facing.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "members")
     least = links.plan.percent / 100 - 12 * math.sqrt((1 - (links.plan.percent / 100) ** 2) / 4 / SKETCH)
-    close = (F.col("x.label") != F.col("y.label")) & (_far_estimate("x", "y") >= least)
-    first = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")
-    links.confirm(one.join(other, same & close & first).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
+    links.confirm(facing.repartition("bucket", "low", "high").groupBy("bucket", "low", "high").applyInArrow(_close_pairs(least), "a long, b long"))
 
 
 def groups(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:

@@ -130,6 +130,36 @@ def test_large_bucket_loses_no_link(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_large_buckets_are_stored_by_class(spark, monkeypatch, block):
+    """Sixty classes that share twenty buckets make rows by class, and by bucket and pivot, but none for each class of each bucket."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    draw = random.Random(11)
+    sets = [[draw.getrandbits(62) for _ in range(100)] for _ in range(58)]
+    sets += [sets[50][:95] + [1, 2, 3, 4, 5], sets[51][:50] + sets[52][50:]]
+
+    class Links(near_duplicates._Links):
+        asked = []
+
+        def confirm(self, pairs):
+            self.asked.append(sorted((min(row), max(row)) for row in pairs.collect()))
+            self.links = spark.createDataFrame([], "a long, b long")
+
+    links = Links(near_duplicates.Bands.of(80), None, spark.createDataFrame(list(enumerate(sets)), "fp long, shingles array<long>"))
+    members = spark.createDataFrame([(bucket, fp) for bucket in range(20) for fp in range(60)], "bucket long, fp long")
+    counts, stored = [], near_duplicates.tables.stored
+
+    def counted(frame):
+        frame = stored(frame)
+        counts.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(near_duplicates.tables, "stored", counted)
+    near_duplicates._candidates(members, links)
+    assert links.asked[1] == [(50, 58)]
+    assert max(counts) == 20 * near_duplicates.PIVOTS
+
+
 def test_near_duplicate_stage_keeps_one_of_each_group(docs, spark):
     kept = near_duplicates.without_near_duplicates(docs, 80)
     assert kept.columns == docs.columns
