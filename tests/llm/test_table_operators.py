@@ -201,6 +201,40 @@ def test_queries_of_a_bucket_come_in_blocks(spark, monkeypatch):
     assert seen.value == 0
 
 
+def test_scanned_cells_hold_the_neighbours(spark, monkeypatch):
+    """Large tables are scanned by blocks of queries; no query or vector is dealt out by buckets."""
+    for name, value in (("CELL", 16), ("SENT", 100), ("AT_ONCE", 4096)):
+        monkeypatch.setattr(neighbours.vector_scan, name, value)
+    monkeypatch.setattr(neighbours, "SCANNED", 1000)
+    monkeypatch.setattr(neighbours, "_blocks", None)
+    draw = np.random.default_rng(4)
+    alone = draw.normal(size=(1200, 32))
+    vectors = np.concatenate([clustered(draw, 1800), alone / np.linalg.norm(alone, axis=1, keepdims=True)])
+    vectors[:1500] *= draw.uniform(0.2, 1, size=(1500, 1))
+    vectors[7] *= 10
+    found = np.sort(recalls(spark, draw.permutation(vectors)))
+    assert found.mean() >= 0.9 and found[:15].mean() >= 0.7
+
+
+def test_scanned_tables_give_what_buckets_give(spark, monkeypatch):
+    """Odd rows, copies, an id with two vectors, very small and very large numbers; each query gets k neighbours."""
+    monkeypatch.setattr(neighbours, "SCANNED", 0)
+    monkeypatch.setattr(neighbours, "_blocks", None)
+    test_neighbours(spark)
+    draw = np.random.default_rng(9)
+    vectors = draw.normal(size=(400, 8))
+    vectors[100:200] *= 1e-200
+    vectors[200:300] *= 1e120
+    rows = [*enumerate(vectors.tolist()), (20, vectors[3].tolist())]
+    found = {}
+    for row in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        found.setdefault(row.query_id, []).append((-row.score, row.vec_id))
+    ids, all_vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for query in range(0, 400, 20):
+        items = {(-float((v * own).sum()), i) for q, own in rows if q == query for i, v in zip(ids.tolist(), all_vectors, strict=True) if i != query}
+        assert np.allclose([far for far, _ in sorted(found[query])], [far for far, _ in sorted(items)[:20]], rtol=1e-9, atol=0)
+
+
 @pytest.mark.parametrize("hashes", [1, 4, 8])
 def test_visits_reach_their_chance_with_many_directions(hashes):
     hashing = neighbours._Hashing(64, neighbours.BUCKET * 4**hashes, 1.0)
